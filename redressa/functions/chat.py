@@ -100,16 +100,14 @@ def plain_message(text: Column) -> Column:
     return F.array(F.struct(F.lit("PlainText").alias("contentType"), text.alias("content")))
 
 
-def _action(kind: str, intent: Column, message: Column, slot: Column | None = None, state: Column | None = None,
-            slots: Column | None = None, attributes: Column | None = None, request: Column | None = None) -> Column:
-    """One response record; every kind of action has the same fields, so they can be unioned."""
+def action(kind: Column, intent: Column, message: Column, slot: Column | None = None, state: Column | None = None,
+           slots: Column | None = None, attributes: Column | None = None, request: Column | None = None) -> Column:
+    """One response record; every kind of action has the same fields, so one table holds them all."""
     none = F.lit(None).cast("string")
     no_map = F.lit(None).cast("map<string,string>")
     return F.struct(
         F.struct(
-            F.struct(F.lit(kind).alias("type"), (none if slot is None else slot).alias("slotToElicit")).alias(
-                "dialogAction"
-            ),
+            F.struct(kind.alias("type"), (none if slot is None else slot).alias("slotToElicit")).alias("dialogAction"),
             F.struct(
                 intent.alias("name"),
                 (none if state is None else state).alias("state"),
@@ -123,20 +121,20 @@ def _action(kind: str, intent: Column, message: Column, slot: Column | None = No
 
 
 def close(intent: Column, state: Column, message: Column) -> Column:
-    return _action("Close", intent, message, state=state)
+    return action(F.lit("Close"), intent, message, state=state)
 
 
 def elicit_slot(intent: Column, slot: Column, slots: Column, message: Column) -> Column:
-    return _action("ElicitSlot", intent, message, slot=slot, slots=slots)
+    return action(F.lit("ElicitSlot"), intent, message, slot=slot, slots=slots)
 
 
 def elicit_intent(intent: Column, slots: Column, message: Column) -> Column:
-    return _action("ElicitIntent", intent, message, slots=slots)
+    return action(F.lit("ElicitIntent"), intent, message, slots=slots)
 
 
 def delegate(intent: Column, state: Column, slots: Column, message: Column, attributes: Column,
              request: Column) -> Column:
-    return _action("Delegate", intent, message, state=state, slots=slots, attributes=attributes, request=request)
+    return action(F.lit("Delegate"), intent, message, state=state, slots=slots, attributes=attributes, request=request)
 
 
 def derive_reply(state: Column, slot: Column, messages: Column) -> Column:

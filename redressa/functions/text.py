@@ -8,9 +8,9 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white-space characters, as a character-class body. The list is spelled
-# out because "\s" means a different set in Python, Java and most SQL engines.
-WHITESPACE = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# The white-space characters (tab to carriage return, the four separators, space
+# and the Unicode spaces) as the body of a character class; needs the (?U) flag.
+WHITESPACE = r"\s\x1c-\x1f"
 
 # The white space a browser trims from an input field.
 BROWSER_WHITESPACE = r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
@@ -78,13 +78,24 @@ def remove_stopwords(text: Column, words: Iterable[str]) -> Column:
 
 
 def collapse_whitespace(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(text, f"[{WHITESPACE}]+", " "))
+    return F.btrim(F.regexp_replace(text, f"(?U)[{WHITESPACE}]+", " "))
 
 
 def has_apostrophe(text: Column) -> Column:
     return text.contains("'") | text.contains("’")
 
 
+def _expand_word(word: Column) -> Column:
+    expanded = F.replace(word, F.lit("’"), F.lit("'"))
+    for pattern, replacement in contraction_rules():
+        expanded = F.regexp_replace(expanded, pattern, replacement)
+    return F.when(has_apostrophe(word), expanded).otherwise(word)
+
+
+def _map_words(text: Column, change) -> Column:
+    return F.array_join(F.transform(F.split(text, " "), change), " ")
+
+
 def expand_contractions(text: Column, table: Mapping[str, str] | None = None, needed: Column | None = None) -> Column:
     """Expand contractions by rule, then whole words by ``table``; white space collapses.
 
@@ -92,28 +103,28 @@ def expand_contractions(text: Column, table: Mapping[str, str] | None = None, ne
     tell from another column than from ``text``.
     """
     words = collapse_whitespace(text)
-    expanded = F.translate(words, "’", "'")
-    for pattern, replacement in contraction_rules():
-        expanded = F.regexp_replace(expanded, pattern, replacement)
-    words = F.when(has_apostrophe(text) if needed is None else needed, expanded).otherwise(words)
+    words = F.when(has_apostrophe(text) if needed is None else needed, _map_words(words, _expand_word)).otherwise(words)
     if table:
         lookup = F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
-        words = F.array_join(
-            F.transform(F.split(words, " "), lambda w: F.coalesce(F.try_element_at(lookup, F.lower(w)), w)),
-            " ",
-        )
+        words = _map_words(words, lambda w: F.coalesce(F.try_element_at(lookup, F.lower(w)), w))
     return words
 
 
+def _keep(text: Column, runs: str) -> Column:
+    # Collecting the runs that stay costs far less than replacing each run that goes.
+    return F.array_join(F.regexp_extract_all(text, F.lit(runs), F.lit(0)), "")
+
+
 def remove_special_characters(text: Column) -> Column:
     """Keep ASCII letters, digits and white space; accented letters go too."""
-    return F.regexp_replace(text, f"[^a-zA-Z0-9{WHITESPACE}]", "")
+    return _keep(text, f"(?U)[a-zA-Z0-9{WHITESPACE}]+")
 
 
 def preprocess(text: Column, stop_words: Iterable[str] | None = None, table: Mapping[str, str] | None = None) -> Column:
     """Clean a complaint; ``text`` should be a plain column, as it is read more than once."""
     kept = remove_stopwords(text, effective_stop_words() if stop_words is None else stop_words)
-    return remove_special_characters(expand_contractions(kept, table, has_apostrophe(text)))
+    # Only plain spaces are left to keep at this point.
+    return _keep(expand_contractions(kept, table, has_apostrophe(text)), "[a-zA-Z0-9 ]+")
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -29,9 +29,15 @@ def by_lexicon(lexicon: DataFrame) -> Classifier:
 
 
 def pack(cleaned: DataFrame, token_limit: int = packing.TOKEN_LIMIT, run_size: int = packing.RUN_SIZE) -> DataFrame:
-    """Place every complaint in a prompt: only ids and lengths are put in order."""
-    lengths = cleaned.select("raised_ts", "ticket_id", F.length("cleaned").alias("chars"))
-    return packing.pack_batches(packing.with_runs(lengths, ["raised_ts", "ticket_id"], run_size), token_limit)
+    """Place every complaint in a prompt.
+
+    Putting rows in order reads them more than once, so only the keys go through it; the
+    texts are cleaned once, and no more than their lengths is shuffled.
+    """
+    order = ["raised_ts", "ticket_id"]
+    runs = packing.with_runs(cleaned.select(*order), order, run_size).drop("raised_ts")
+    lengths = cleaned.select("ticket_id", F.length("cleaned").alias("chars"))
+    return packing.pack_batches(lengths.join(runs, "ticket_id"), token_limit)
 
 
 def score_packed(cleaned: DataFrame, make_scorer: Callable[[], Scorer], concurrency: int | None = None,

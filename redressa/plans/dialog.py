@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redressa.functions.chat import (
-    FALLBACK, close, delegate, elicit_intent, elicit_slot, map_intent, route_intent, set_slot, slot_value,
-)
+from redressa.functions.chat import FALLBACK, action, map_intent, route_intent, set_slot, slot_value
 
 
 def set_intent_word(events: DataFrame) -> DataFrame:
@@ -21,23 +19,40 @@ def dialog_actions(events: DataFrame) -> DataFrame:
     """Adds ``action``, the response of each turn.
 
     Takes (sessionState, requestAttributes, found, answer): ``found`` tells whether the asked
-    ticket exists, ``answer`` is the model's word for a turn that has to branch.
+    ticket exists, ``answer`` is the model's word for a turn that has to branch. The kind of
+    action is chosen first and fills one record, which keeps the generated code small.
     """
-    intent, state = F.col("sessionState.intent.name"), F.col("sessionState.intent.state")
-    slots, attributes = F.col("slots"), F.col("sessionState.sessionAttributes")
+    intent, slots = F.col("sessionState.intent.name"), F.col("slots")
     ticket = slot_value(slots, "ticket_id")
-    done = lambda text: close(intent, F.lit("Fulfilled"), text)
-    action = (
-        F.when(F.col("handler") == "check_status", done(F.format_string("Looked up ticket %s.", ticket)))
-        .when((F.col("handler") == "resolve_ticket") & ~F.col("found"),
-              elicit_slot(intent, F.lit("ticket_id"), slots, F.lit("There is no such ticket. Please enter the id again.")))
-        .when(F.col("handler") == "resolve_ticket", done(F.format_string("Ticket %s is now resolved.", ticket)))
-        .when(F.col("handler") == "submit_complaint", done(F.lit("Your complaint has been recorded.")))
-        .when((F.col("handler") == "choose_branch") & F.col("intent_word").isNull(),
-              elicit_intent(intent, slots, F.format_string("Going on with %s.", intent)))
-        .when(F.col("handler") == "choose_branch",
-              delegate(intent, state, slots, F.format_string("Going on with the choice %s.", F.col("intent_word")),
-                       attributes, F.col("requestAttributes")))
-        .otherwise(done(F.lit(FALLBACK)))
+    handler, kind = F.col("handler"), F.col("kind")
+    chosen = (
+        F.when((handler == "resolve_ticket") & ~F.col("found"), "ElicitSlot")
+        .when(handler != "choose_branch", "Close")
+        .when(F.col("intent_word").isNull(), "ElicitIntent")
+        .otherwise("Delegate")
+    )
+    message = (
+        F.when(kind == "ElicitSlot", "There is no such ticket. Please enter the id again.")
+        .when(kind == "ElicitIntent", F.format_string("Going on with %s.", intent))
+        .when(kind == "Delegate", F.format_string("Going on with the choice %s.", F.col("intent_word")))
+        .when(handler == "check_status", F.format_string("Looked up ticket %s.", ticket))
+        .when(handler == "resolve_ticket", F.format_string("Ticket %s is now resolved.", ticket))
+        .when(handler == "submit_complaint", "Your complaint has been recorded.")
+        .otherwise(FALLBACK)
+    )
+    response = action(
+        kind,
+        intent,
+        message,
+        slot=F.when(kind == "ElicitSlot", "ticket_id"),
+        state=F.when(kind == "Close", "Fulfilled").when(kind == "Delegate", F.col("sessionState.intent.state")),
+        slots=F.when(kind != "Close", slots),
+        attributes=F.when(kind == "Delegate", F.col("sessionState.sessionAttributes")),
+        request=F.when(kind == "Delegate", F.col("requestAttributes")),
+    )
+    return (
+        set_intent_word(events)
+        .withColumn("handler", route_intent(intent))
+        .withColumn("kind", chosen)
+        .withColumn("action", response)
     )
-    return set_intent_word(events).withColumn("handler", route_intent(intent)).withColumn("action", action)

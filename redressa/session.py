@@ -14,6 +14,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8) -> Spar
         SparkSession.builder.master(master)
         .appName("redressa")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")

@@ -6,8 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def read_table(spark: SparkSession, folder: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """A table; with ``spread_by`` also one of few splits keeps all cores busy.
+
+    Heavy work per row on a table of one file would run in one task. Such a table is spread
+    by a hash of ``spread_by``; a table with as many splits as cores is read as it is.
+    """
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by and table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores, spread_by)
+    return table
 
 
 def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from redressa.functions.text import BROWSER_WHITESPACE, STOP_WORDS, WHITESPACE
+from redressa.functions.text import BROWSER_WHITESPACE, STOP_WORDS
 from redressa.operators.packing import PROMPT_HEAD
 
+# The white-space characters, as the body of a character class.
+WHITESPACE = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
 _DROPPED = ", ".join(f"'{word}'" for word in STOP_WORDS if "'" not in word)
 _KEPT = f"[^a-zA-Z0-9{WHITESPACE}]"
 

@@ -182,8 +182,8 @@ def lifecycle_stream(spark, folder):
 # --- text ----------------------------------------------------------------------------
 
 
-def _documents(spark, folder):
-    return read_table(spark, folder, "documents")
+def _documents(spark, folder, spread_by="doc_id"):
+    return read_table(spark, folder, "documents", spread_by)
 
 
 @registered
@@ -234,7 +234,7 @@ def filter_nonblank(spark, folder):
 
 
 def _cleaned(spark, folder):
-    return delegate.clean(views.complaints(spark, folder))
+    return delegate.clean(views.complaints(spark, folder, spread=True))
 
 
 @registered
@@ -310,22 +310,22 @@ def classify_intent_turns(spark, folder):
 
 @registered
 def group_by_team(spark, folder):
-    return digests.group_by_key(views.classified(spark, folder), "team")
+    return digests.group_by_key(views.written_classified(spark, folder), "team")
 
 
 @registered
 def group_by_user(spark, folder):
-    return digests.group_by_key(views.classified(spark, folder), "user_id", page_size=5)
+    return digests.group_by_key(views.written_classified(spark, folder), "user_id", page_size=5)
 
 
 @registered
 def first_seen_keys(spark, folder):
-    return digests.first_seen_keys(views.classified(spark, folder), "team")
+    return digests.first_seen_keys(views.written_classified(spark, folder), "team")
 
 
 @registered
 def first_seen_users(spark, folder):
-    return digests.first_seen_keys(views.classified(spark, folder), "user_id")
+    return digests.first_seen_keys(views.written_classified(spark, folder), "user_id")
 
 
 @registered
@@ -385,9 +385,9 @@ def dialog_actions(spark, folder):
     asked = events.select("event_id", chat.slot_value(F.col("sessionState.intent.slots"), "ticket_id").alias("ticket_id"))
     known = service.resolve_found(asked, views.store(spark, folder)).select("event_id", F.lit(True).alias("found"))
     turns = events.join(known, "event_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
-    body = F.from_json(F.to_json("action"), DIALOG_ACTION)
-    state = F.col("body.sessionState")
-    return dialog.dialog_actions(turns).select("event_id", body.alias("body")).select(
+    read_back = F.inline_outer(F.array(F.from_json(F.to_json("action"), DIALOG_ACTION)))
+    state = F.col("sessionState")
+    return dialog.dialog_actions(turns).select("event_id", read_back).select(
         "event_id",
         state["dialogAction"]["type"].alias("type"),
         state["dialogAction"]["slotToElicit"].alias("slot_to_elicit"),
@@ -395,7 +395,7 @@ def dialog_actions(spark, folder):
         state["intent"]["state"].alias("state"),
         chat.slot_value(state["intent"]["slots"], "ticket_id").alias("ticket_id"),
         state["sessionAttributes"]["lang"].alias("lang"),
-        F.get(F.col("body.messages"), F.lit(0))["content"].alias("content"),
+        F.get("messages", F.lit(0))["content"].alias("content"),
     )
 
 
@@ -427,7 +427,7 @@ def minute_markers(spark, folder):
 
 def _addresses(spark, folder):
     address = F.concat_ws("@", "lang", "source", F.lit("example.com"))
-    return _documents(spark, folder).select("doc_id", address.alias("address"))
+    return _documents(spark, folder, None).select("doc_id", address.alias("address"))
 
 
 @registered

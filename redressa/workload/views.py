@@ -11,6 +11,7 @@ from redressa.functions.status import TEAMS
 from redressa.functions.text import collapse_whitespace, remove_special_characters
 from redressa.plans.delegate import by_lexicon, clean
 from redressa.schemas import CHAT_RESPONSE, DIALOG_EVENT, RESPONSE_MESSAGE, SLOTS
+from redressa.session import checkpointed
 from redressa.sources.queue import publish
 from redressa.sources.tables import read_table
 
@@ -25,10 +26,10 @@ def _mail(number: Column) -> Column:
     return F.concat(F.lit("user"), number.cast("string"), F.lit("@example.com"))
 
 
-def complaints(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as complaints; every fifth has no order."""
+def complaints(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
+    """Documents as complaints; every fifth has no order. ``spread`` is for work on the text."""
     raised = F.timestamp_seconds(F.lit(EPOCH) + F.col("doc_id") * 37)
-    return read_table(spark, folder, "documents").select(
+    return read_table(spark, folder, "documents", "doc_id" if spread else None).select(
         "doc_id",
         "lang",
         _ticket_id("doc_id").alias("ticket_id"),
@@ -50,7 +51,7 @@ def store(spark: SparkSession, folder: str) -> DataFrame:
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """Complaints as queue bodies; English ones are delivered twice, German ones are cut short."""
-    bodies = publish(complaints(spark, folder), keep=["doc_id", "lang"])
+    bodies = publish(complaints(spark, folder, spread=True), keep=["doc_id", "lang"])
     cut = F.expr("substring(body, 1, length(body) - 7)")
     bodies = bodies.withColumn("body", F.when(F.col("lang") == "de", cut).otherwise(F.col("body")))
     return bodies.unionByName(bodies.filter(F.col("lang") == "en"))
@@ -66,11 +67,16 @@ def lexicon(spark: SparkSession, folder: str) -> DataFrame:
 
 def classified(spark: SparkSession, folder: str) -> DataFrame:
     """(ticket_id, raised_ts, user_id, team, severity) of all complaints."""
-    return by_lexicon(lexicon(spark, folder))(clean(complaints(spark, folder)))
+    return by_lexicon(lexicon(spark, folder))(clean(complaints(spark, folder, spread=True)))
+
+
+def written_classified(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, written once, for work that reads it more than once."""
+    return checkpointed(classified(spark, folder))
 
 
 def classified_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return classified(spark, folder).join(complaints(spark, folder).select("ticket_id", "complaint_text"), "ticket_id")
+    return written_classified(spark, folder).join(complaints(spark, folder).select("ticket_id", "complaint_text"), "ticket_id")
 
 
 def tickets(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,8 +93,8 @@ def tickets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+def events(spark: SparkSession, folder: str, spread_by: str | None = None) -> DataFrame:
+    return read_table(spark, folder, "events", spread_by).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,9 +183,8 @@ def dialog_events(spark: SparkSession, folder: str) -> DataFrame:
     )
     answers = {0: "check_status", 1: "resolve_status", 2: "new_complaint"}
     answer = F.coalesce(*[F.when(F.col("user_id") % 4 == k, v) for k, v in answers.items()], F.lit("no idea"))
-    return events(spark, folder).select("event_id", F.from_json(body, DIALOG_EVENT).alias("event"), answer.alias("answer")).select(
-        "event_id", "event.*", "answer"
-    )
+    parsed = F.inline_outer(F.array(F.from_json(body, DIALOG_EVENT)))
+    return events(spark, folder, "event_id").select("event_id", answer.alias("answer"), parsed)
 
 
 def submit_dialogs(spark: SparkSession, folder: str) -> DataFrame:
