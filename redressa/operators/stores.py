@@ -60,8 +60,14 @@ def latest_per_ticket(changes: DataFrame, version: str) -> DataFrame:
 
 
 def upsert(store: DataFrame, updates: DataFrame, version: str) -> DataFrame:
-    """Whole-record replacement by key, as a change log read at its latest version."""
-    return latest_per_ticket(store.unionByName(updates), version)
+    """The store with whole records replaced by the newest update of their key.
+
+    Only the keys of the updates meet the store, so a small batch leaves a large store where
+    it lies. Updates are taken to be newer than the store.
+    """
+    newest = latest_per_ticket(updates, version)
+    untouched = lookup_join(store, newest.select("ticket_id"), ["ticket_id"], "left_anti")
+    return untouched.unionByName(newest)
 
 
 def dedupe_tickets(messages: DataFrame) -> DataFrame:
