@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redressa.operators.stores import advance_status, apply_status_updates, sample_open
+from redressa.session import checkpointed
 
 
 def progress(tickets: DataFrame, store: DataFrame, selected: DataFrame, as_of: F.Column) -> tuple[DataFrame, DataFrame]:
@@ -16,7 +17,12 @@ def progress(tickets: DataFrame, store: DataFrame, selected: DataFrame, as_of: F
 
 
 def progress_sample(tickets: DataFrame, store: DataFrame, as_of: F.Column, k: int = 2, seed: str = "1"):
-    return progress(tickets, store, sample_open(tickets, k, seed), as_of)
+    """The same for ``k`` tickets picked by ``seed``.
+
+    The pick is written before it is used: both tables get the same one, and it is found by
+    a top-k per task, which as a part of the joins below would become a sort of the table.
+    """
+    return progress(tickets, store, checkpointed(sample_open(tickets, k, seed)), as_of)
 
 
 def resolve(tickets: DataFrame, requests: DataFrame, as_of: F.Column) -> DataFrame:

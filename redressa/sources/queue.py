@@ -56,5 +56,7 @@ def cap_messages(messages: DataFrame, arrival: Sequence[str], cap: int = DRAIN_C
 def parse_chat_envelope(requests: DataFrame, default_sender: str, keep: Sequence[str] = ()) -> DataFrame:
     """Sender and text of a chat request's first message; no message gives a null text."""
     first = F.get(F.from_json("body", CHAT_REQUEST)["messages"], F.lit(0))["unstructured"]
-    sender = F.coalesce(first["id"], F.lit(default_sender))
-    return requests.select(*keep, sender.alias("sender"), session_key(sender).alias("session"), first["text"].alias("text"))
+    sender = F.coalesce("id", F.lit(default_sender))
+    return requests.select(*keep, F.inline_outer(F.array(first))).select(
+        *keep, sender.alias("sender"), session_key(sender).alias("session"), "text"
+    )
