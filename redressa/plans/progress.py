@@ -5,24 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redressa.operators.stores import advance_status, apply_status_updates, sample_open
-from redressa.session import checkpointed
+from redressa.operators.stores import advance_status, apply_status_updates, latest_per_ticket
+from redressa.sources.tables import read_batch, read_batches, write_batch
 
 
-def progress(tickets: DataFrame, store: DataFrame, selected: DataFrame, as_of: F.Column) -> tuple[DataFrame, DataFrame]:
-    """Both tables after ``selected`` (ticket_id, status) has moved on, from one set of updates."""
-    updates = advance_status(selected, as_of)
-    new_store = apply_status_updates(store.withColumn("resolved_ts", F.lit(None).cast("timestamp")), updates)
-    return apply_status_updates(tickets, updates), new_store.drop("resolved_ts")
+def progress(selected: DataFrame, as_of: F.Column, folder: str, batch_id: int) -> None:
+    """Advance ``selected`` (ticket_id, status) and append the updates for both tables.
 
+    The selection is written before it is used, so both tables get the same one even when a
+    task is repeated; a replay of the batch replaces its own updates. Only changes are
+    written, the tables themselves stay where they are.
+    """
+    write_batch(advance_status(selected, as_of), f"{folder}/ticket_updates", batch_id)
+    written = read_batch(selected.sparkSession, f"{folder}/ticket_updates", batch_id)
+    write_batch(written.select("ticket_id", "status"), f"{folder}/store_updates", batch_id)
 
-def progress_sample(tickets: DataFrame, store: DataFrame, as_of: F.Column, k: int = 2, seed: str = "1"):
-    """The same for ``k`` tickets picked by ``seed``.
 
-    The pick is written before it is used: both tables get the same one, and it is found by
-    a top-k per task, which as a part of the joins below would become a sort of the table.
-    """
-    return progress(tickets, store, checkpointed(sample_open(tickets, k, seed)), as_of)
+def progressed_tickets(tickets: DataFrame, folder: str) -> DataFrame:
+    """The warehouse with all updates appended so far."""
+    log = read_batches(tickets.sparkSession, f"{folder}/ticket_updates")
+    return apply_status_updates(tickets, latest_per_ticket(log, "batch_id"))
+
+
+def progressed_store(store: DataFrame, folder: str) -> DataFrame:
+    """The operational store, which keeps no resolve time, with the same updates."""
+    no_time = F.lit(None).cast("timestamp")
+    log = read_batches(store.sparkSession, f"{folder}/store_updates")
+    updates = latest_per_ticket(log, "batch_id").withColumn("resolved_ts", no_time)
+    return apply_status_updates(store.withColumn("resolved_ts", no_time), updates).drop("resolved_ts")
 
 
 def resolve(tickets: DataFrame, requests: DataFrame, as_of: F.Column) -> DataFrame:

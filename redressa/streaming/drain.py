@@ -9,7 +9,8 @@ from redressa.functions.status import DELEGATED
 from redressa.operators.digests import outbox
 from redressa.operators.stores import latest_per_ticket, lifecycle_state
 from redressa.plans.delegate import Classifier, delegate_batch, read_complaints, ticket_rows
-from redressa.sources.queue import parse_complaints, quarantine
+from redressa.plans.intake import submit_complaints
+from redressa.sources.queue import parse_complaints, publish, quarantine
 from redressa.sources.tables import read_batch, read_batches, read_earlier_batches, write_batch
 
 
@@ -71,28 +72,59 @@ def read_tickets(spark: SparkSession, folder: str) -> DataFrame:
     return latest_per_ticket(read_batches(spark, f"{folder}/tickets"), "batch_id")
 
 
-def track_lifecycle(folder: str):
+def submit(folder: str):
+    """Handler: submit dialogs to complaint records, stored and put on the queue.
+
+    Both outputs come from the one written table, so a record is never stored without being
+    published.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        write_batch(submit_complaints(batch), f"{folder}/complaints", batch_id)
+        written = read_batch(batch.sparkSession, f"{folder}/complaints", batch_id)
+        publish(written).write.mode("overwrite").text(f"{folder}/queue/batch_id={batch_id}")
+
+    return handle
+
+
+def _newest_state(log: DataFrame) -> DataFrame:
+    newest = F.max(F.struct("batch_id", "state")).alias("newest")
+    return log.groupBy("key").agg(newest).select("key", "newest.state")
+
+
+def _states_before(spark: SparkSession, folder: str, batch_id: int, every: int) -> DataFrame | None:
+    """(batch_id, key, state) to know the state before a batch: the last snapshot and what follows."""
+    snapshot = (batch_id - 1) // every * every
+    changes = read_earlier_batches(spark, f"{folder}/changes", batch_id)
+    if changes is None or snapshot <= 0:
+        return changes
+    kept = read_batch(spark, f"{folder}/snapshots", snapshot).withColumn("batch_id", F.lit(snapshot))
+    return changes.filter(F.col("batch_id") > snapshot).unionByName(kept)
+
+
+def track_lifecycle(folder: str, snapshot_every: int = 50):
     """Handler: the state of every key seen so far, as a change log of (key, state).
 
     Takes event batches in time order. The prior state is read from earlier batches only, so
-    a replayed batch starts from the same state.
+    a replayed batch starts from the same state; a snapshot now and then keeps that read from
+    growing with the age of the stream.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prior = read_earlier_batches(spark, folder, batch_id)
-        if prior is not None:
-            keys = batch.select("key").distinct()
-            newest = F.max(F.struct("batch_id", "state")).alias("newest")
-            prior = prior.join(keys, "key", "left_semi").groupBy("key").agg(newest).select("key", "newest.state")
-        write_batch(lifecycle_state(batch, prior), folder, batch_id)
+        before = _states_before(spark, folder, batch_id, snapshot_every)
+        keys = batch.select("key").distinct()
+        prior = None if before is None else _newest_state(before.join(keys, "key", "left_semi"))
+        write_batch(lifecycle_state(batch, prior), f"{folder}/changes", batch_id)
+        if before is not None and batch_id % snapshot_every == 0:
+            changed = read_batch(spark, f"{folder}/changes", batch_id).withColumn("batch_id", F.lit(batch_id))
+            write_batch(_newest_state(before.unionByName(changed)), f"{folder}/snapshots", batch_id)
 
     return handle
 
 
 def read_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
-    newest = F.max(F.struct("batch_id", "state")).alias("newest")
-    return read_batches(spark, folder).groupBy("key").agg(newest).select("key", "newest.state")
+    return _newest_state(read_batches(spark, f"{folder}/changes"))
 
 
 def dedupe_stream(complaints: DataFrame, horizon: str = "1 day") -> DataFrame:

@@ -419,5 +419,6 @@ _SQL = {
 }
 
 _SQL["lifecycle_stream"] = _SQL["lifecycle_state"]
+_SQL["submit_stream"] = _SQL["submit_complaints"]
 
 ORACLES = {name: _query(sql) for name, sql in _SQL.items()}

@@ -481,13 +481,30 @@ def delegate_stream(spark, folder):
     return _ticket_columns(drain.read_tickets(spark, target)).join(status, "ticket_id")
 
 
+def _progressed(spark, folder):
+    target = work_folder(spark, "progress")
+    progress.progress(stores.sample_open(views.tickets(spark, folder), k=2, seed="7"), _as_of(), target, 0)
+    return target
+
+
 @registered
 def progress_open(spark, folder):
-    moved, _ = progress.progress_sample(views.tickets(spark, folder), views.store(spark, folder), _as_of(), k=2, seed="7")
-    return _ticket_columns(moved)
+    return _ticket_columns(progress.progressed_tickets(views.tickets(spark, folder), _progressed(spark, folder)))
 
 
 @registered
 def progress_store(spark, folder):
-    _, kept = progress.progress_sample(views.tickets(spark, folder), views.store(spark, folder), _as_of(), k=2, seed="7")
+    kept = progress.progressed_store(views.store(spark, folder), _progressed(spark, folder))
     return kept.select("ticket_id", "user_id", "order_id", "status", "timestamp")
+
+
+@registered
+def submit_stream(spark, folder):
+    """Submit dialogs as a stream of files; the result is what the next stage reads off the queue."""
+    target = work_folder(spark, "intake")
+    dialogs = views.submit_dialogs(spark, folder)
+    dialogs.write.parquet(f"{target}/dialogs")
+    stream = spark.readStream.schema(dialogs.schema).parquet(f"{target}/dialogs")
+    drain.drain(stream, drain.submit(target), f"{target}/offsets")
+    bodies = spark.read.text(f"{target}/queue").select(F.col("value").alias("body"))
+    return queue.parse_complaints(bodies).select(*COMPLAINT.fieldNames())

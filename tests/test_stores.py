@@ -89,10 +89,15 @@ def test_open_tickets_without_status_are_left_out(spark):
 def test_progress_stamps_what_it_resolves(spark):
     as_of = F.to_timestamp(F.lit("2024-05-01 00:00:00"))
     tickets = store(spark).withColumn("resolved_ts", F.lit(None).cast("timestamp"))
-    moved, kept = progress.progress(tickets, store(spark), stores.scan_open(tickets), as_of)
+    folder = work_folder(spark, "progress")
+    for _ in range(2):  # the second is a replay
+        progress.progress(stores.scan_open(tickets), as_of, folder, 0)
+    moved = progress.progressed_tickets(tickets, folder)
     got = {r.ticket_id: (r.status, r.resolved_ts is not None) for r in moved.collect()}
     assert got == {"t1": ("resolved", True), "t2": ("pending", False), "t3": ("resolved", True), "t4": ("resolved", False), "t5": (None, False)}
-    assert {r.ticket_id: r.status for r in kept.collect()} == {k: v[0] for k, v in got.items()}
+    assert {r.ticket_id: r.status for r in progress.progressed_store(store(spark), folder).collect()} == {k: v[0] for k, v in got.items()}
+    progress.progress(stores.scan_open(moved), as_of, folder, 1)
+    assert {r.ticket_id: r.status for r in progress.progressed_tickets(tickets, folder).collect()}["t2"] == "resolved"
 
 
 def test_sample_is_repeatable(spark):
@@ -230,21 +235,36 @@ def test_stream_is_replayed_after_a_failure(spark):
     assert all("<b>" not in m.body for m in mails)
 
 
-def test_lifecycle_stream_over_batches(spark):
+@pytest.mark.parametrize("every", [1, 2, 50])
+def test_lifecycle_stream_over_batches(spark, every):
     folder = work_folder(spark, "life")
-    steps = [["submit", "delegate"], ["advance"], ["advance", "submit"], ["resolve"]]
-    handle = drain.track_lifecycle(f"{folder}/states")
+    steps = [[("k", "submit"), ("k", "delegate"), ("old", "submit")], [("k", "advance")], [("k", "advance"), ("k", "submit")],
+             [("z", "resolve")], [("old", "delegate"), ("k", "resolve")]]
+    states = [{"k": "delegated", "old": "new"}, {"k": "pending", "old": "new"}, {"k": "new", "old": "new"},
+              {"k": "new", "old": "new", "z": None}, {"k": "resolved", "old": "delegated", "z": None}]
+    handle = drain.track_lifecycle(folder, snapshot_every=every)
     number = 0
     for i, events in enumerate(steps):
         rows = []
-        for e in events:
+        for key, e in events:
             number += 1
-            rows.append(("k", number, number, e))
+            rows.append((key, number, number, e))
         batch = spark.createDataFrame(rows, "key string, ts long, event_id long, event string")
         handle(batch, i)
         handle(batch, i)  # a replay
-        state = {0: "delegated", 1: "pending", 2: "new", 3: "resolved"}[i]
-        assert drain.read_lifecycle(spark, f"{folder}/states").first().state == state
+        assert {r.key: r.state for r in drain.read_lifecycle(spark, folder).collect()} == states[i]
+
+
+def test_a_submitted_complaint_is_stored_and_published(spark):
+    folder = work_folder(spark, "intake")
+    events = dialogs(spark, [event("SubmitComplaint", {"order_id": None, "complaint_text": slot("broken")})])
+    events = events.withColumn("received_ts", F.to_timestamp(F.lit("2024-02-03 04:05:06")))
+    handle = drain.submit(folder)
+    handle(events, 0)
+    handle(events, 0)
+    stored = read_batches(spark, f"{folder}/complaints").drop("batch_id").collect()
+    sent = spark.read.text(f"{folder}/queue").selectExpr("value AS body")
+    assert len(stored) == 1 and queue.parse_complaints(sent).drop("raised_ts").collect() == stored
 
 
 def test_watermarked_dedupe(spark):
