@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from redressa.session import checkpointed
+
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 HOT_SHARES = 1000
@@ -39,13 +41,10 @@ def lookup_join(
 
 
 def _split_hot_keys(facts: DataFrame, dim: DataFrame, on: list[str], how: str) -> DataFrame:
-    total = facts.count()
-    hot = F.broadcast(
-        facts.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") * HOT_SHARES > F.lit(total))
-        .select(*on)
-    )
+    # Counted once and written: the hot keys are used three times below.
+    counts = checkpointed(facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(counts.filter(F.col("_n") * HOT_SHARES > F.lit(total)).select(*on))
     on_hot_rows = facts.join(hot, on, "left_semi").join(F.broadcast(dim.join(hot, on, "left_semi")), on, how)
     on_other_rows = facts.join(hot, on, "left_anti").join(dim, on, how)
     return on_hot_rows.unionByName(on_other_rows)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from redressa.functions.chat import BROKEN_REPLY, NOT_IMPLEMENTED, product_card
 from redressa.functions.status import ticket_key
 from redressa.operators.lookup import lookup_join
+from redressa.session import checkpointed
 
 NOT_FOUND, NO_STATUS = "Ticket not found", "No status available"
 
@@ -19,9 +20,12 @@ def _with_key(requests: DataFrame) -> DataFrame:
 
 
 def _asked(requests: DataFrame, store: DataFrame) -> DataFrame:
-    """The store rows somebody asks for, by (key, status); a popular ticket is asked for once."""
+    """The store rows somebody asks for, by (key, status); a popular ticket is asked for once.
+
+    Written, so that measuring them and joining them reads the store once.
+    """
     keys = _with_key(requests).select("key").distinct()
-    return store.select(F.col("ticket_id").alias("key"), "status").join(keys, "key", "left_semi")
+    return checkpointed(store.select(F.col("ticket_id").alias("key"), "status").join(keys, "key", "left_semi"))
 
 
 def status_lookup(requests: DataFrame, store: DataFrame) -> DataFrame:

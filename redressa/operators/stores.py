@@ -9,6 +9,7 @@ from redressa.functions.status import (
     DELEGATED, NEW, PENDING, RESOLVED, advance, is_open, resolution_stamp, ticket_key,
 )
 from redressa.operators.lookup import lookup_join
+from redressa.session import checkpointed
 
 
 def scan_open(tickets: DataFrame) -> DataFrame:
@@ -65,9 +66,8 @@ def upsert(store: DataFrame, updates: DataFrame, version: str) -> DataFrame:
     Only the keys of the updates meet the store, so a small batch leaves a large store where
     it lies. Updates are taken to be newer than the store.
     """
-    newest = latest_per_ticket(updates, version)
-    untouched = lookup_join(store, newest.select("ticket_id"), ["ticket_id"], "left_anti")
-    return untouched.unionByName(newest)
+    untouched = lookup_join(store, updates.select("ticket_id").distinct(), ["ticket_id"], "left_anti")
+    return untouched.unionByName(latest_per_ticket(updates, version))
 
 
 def dedupe_tickets(messages: DataFrame) -> DataFrame:
@@ -99,6 +99,7 @@ def lifecycle_state(log: DataFrame, prior: DataFrame | None = None) -> DataFrame
         anchors = anchors.withColumn("before", F.lit(None).cast("string"))
     else:
         anchors = anchors.join(prior.select("key", F.col("state").alias("before")), "key", "left")
+    anchors = checkpointed(anchors)  # one narrow row per key, read three times below
     steps = keyed.filter(event.isin("delegate", "advance"))
     tail = lookup_join(steps, anchors.select("key", "submitted"), ["key"], "inner").filter(
         F.col("submitted").isNull() | (F.col("at") > F.col("submitted"))

@@ -40,15 +40,25 @@ def pack(cleaned: DataFrame, token_limit: int = packing.TOKEN_LIMIT, run_size: i
     return packing.pack_batches(lengths.join(runs, "ticket_id"), token_limit)
 
 
+def write_cleaned(cleaned: DataFrame, folder: str) -> DataFrame:
+    """Cleaned texts, written once: lengths and prompts both need them, and cleaning costs more than a read."""
+    cleaned.select("ticket_id", "raised_ts", "cleaned").write.parquet(f"{folder}/cleaned")
+    return cleaned.sparkSession.read.parquet(f"{folder}/cleaned")
+
+
+def prompts_of(items: DataFrame, cleaned: DataFrame) -> DataFrame:
+    return packing.build_prompts(items.join(cleaned.select("ticket_id", F.col("cleaned").alias("text")), "ticket_id"))
+
+
 def score_packed(cleaned: DataFrame, make_scorer: Callable[[], Scorer], concurrency: int | None = None,
                  token_limit: int = packing.TOKEN_LIMIT, run_size: int = packing.RUN_SIZE) -> tuple[DataFrame, DataFrame]:
     """(items, answers) of one scoring round; answers are written once, before anyone reads them."""
     spark = cleaned.sparkSession
     folder = work_folder(spark, "scored")
-    pack(cleaned, token_limit, run_size).write.parquet(f"{folder}/items")
+    written = write_cleaned(cleaned, folder)
+    pack(written, token_limit, run_size).write.parquet(f"{folder}/items")
     items = spark.read.parquet(f"{folder}/items")
-    texts = items.join(cleaned.select("ticket_id", F.col("cleaned").alias("text")), "ticket_id")
-    score_prompts(packing.build_prompts(texts), make_scorer, concurrency).write.parquet(f"{folder}/answers")
+    score_prompts(prompts_of(items, written), make_scorer, concurrency).write.parquet(f"{folder}/answers")
     return items, spark.read.parquet(f"{folder}/answers")
 
 

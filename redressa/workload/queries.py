@@ -254,9 +254,8 @@ def pack_batches(spark, folder):
 
 @registered
 def build_prompts(spark, folder):
-    cleaned = _cleaned(spark, folder)
-    texts = cleaned.select("ticket_id", F.col("cleaned").alias("text"))
-    return packing.build_prompts(delegate.pack(cleaned).join(texts, "ticket_id"))
+    cleaned = delegate.write_cleaned(_cleaned(spark, folder), work_folder(spark, "prompts"))
+    return delegate.prompts_of(delegate.pack(cleaned), cleaned)
 
 
 @registered
