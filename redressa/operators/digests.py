@@ -56,7 +56,7 @@ def _digest(tickets: DataFrame, key: str, heads: list[str], cells: list[Column],
     rows = tickets.join(pages, "ticket_id").select(key, "page", "position", _row(*cells).alias("row"))
     header = "<tr>" + "".join(f"<th>{head}</th>" for head in heads) + "</tr>"
     body = F.concat(
-        F.lit(f"<html><body><p>{intro[0]}"), escape_html(F.col(key)),
+        F.lit(f"<html><body><p>{intro[0]}"), escape_html(F.coalesce(key, F.lit(""))),
         F.lit(f"{intro[1]}</p><table>{header}"), F.array_join("rows.row", ""),
         F.lit(f"</table><p>{closing}</p></body></html>"),
     )

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from redressa.session import checkpointed
 
@@ -18,10 +19,9 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     """Measure ``df``: the answer is one row of partial sums, whatever its size."""
     width = F.lit(0)
     for field in df.schema.fields:
-        if field.dataType.simpleString() in ("string", "binary"):
-            width = width + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0)) + 16
-        else:
-            width = width + 16
+        width = width + 16
+        if not isinstance(field.dataType, (T.NumericType, T.DatetimeType, T.BooleanType)):
+            width = width + F.coalesce(F.octet_length(F.col(field.name).cast("string")), F.lit(0))
     rows, size = df.agg(F.count(F.lit(1)), F.sum(width.cast("long"))).first()
     return rows <= max_rows and (size or 0) <= max_bytes
 

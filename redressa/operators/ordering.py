@@ -20,7 +20,8 @@ def with_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), n
     empty) into one task. Here rows are range-partitioned on (by, order), so a hot key spreads
     over many tasks; each row knows its index in its slice, and the rows of the same key in
     earlier slices are counted from a table of one row per key and slice. ``order`` must be
-    unique within ``by``; keys must not be null. Pass narrow rows: they are written once.
+    unique within ``by``; a null key is a key like others. Pass narrow rows that are cheap to
+    read: they are sampled, then written once.
     """
     keys = list(by)
     numbered = (
@@ -31,17 +32,17 @@ def with_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), n
         .withColumn("_index", F.col("_id").bitwiseAND(F.lit((1 << _LOCAL_INDEX_BITS) - 1)))
         .drop("_id")
     )
-    numbered = checkpointed(numbered)
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # A struct of the keys equals itself also where a key is null.
+    numbered = checkpointed(numbered.withColumn("_group", F.struct(F.lit(0).alias("_"), *keys)))
+    earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        numbered.groupBy(*keys, "_slice")
+        numbered.groupBy("_group", "_slice")
         .agg(F.min("_index").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-        .select(
-            *keys, "_slice", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift")
-        )
+        .withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1)
+        .select("_group", "_slice", "_shift")
     )
     return (
-        lookup_join(numbered, starts, [*keys, "_slice"], "inner")
+        lookup_join(numbered, starts, ["_group", "_slice"], "inner")
         .withColumn(name, (F.col("_index") + F.col("_shift")).cast("long"))
-        .drop("_slice", "_index", "_shift")
+        .drop("_group", "_slice", "_index", "_shift")
     )

@@ -21,7 +21,8 @@ Classifier = Callable[[DataFrame], DataFrame]
 
 
 def clean(complaints: DataFrame, stop_words=None, table=None) -> DataFrame:
-    return complaints.withColumn("cleaned", preprocess(F.col("complaint_text"), stop_words, table))
+    text = F.coalesce("complaint_text", F.lit(""))
+    return complaints.withColumn("cleaned", preprocess(text, stop_words, table))
 
 
 def by_lexicon(lexicon: DataFrame) -> Classifier:

@@ -39,6 +39,12 @@ def test_positions_spread_a_hot_key(spark):
     assert slices.filter("key = 'hot'").select("s").distinct().count() > 1
 
 
+def test_positions_under_a_null_key(spark):
+    frame = spark.createDataFrame([(i, None if i % 2 else "a", i) for i in range(50)], "id long, key string, at long")
+    got = {r.id: r.position for r in with_position(frame, ["at"], ["key"]).collect()}
+    assert got == {i: i // 2 + 1 for i in range(50)}
+
+
 def test_positions_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, key string, at long")
     assert with_position(empty, ["at", "id"], ["key"]).count() == 0

@@ -279,6 +279,33 @@ def test_watermarked_dedupe(spark):
     assert spark.read.parquet(f"{folder}/out").count() == 3
 
 
+def admin_scorer():
+    def connect():
+        import re
+
+        def score(prompt):
+            numbers = re.findall(r"^(\d+)\. ", prompt, re.MULTILINE)
+            return "\n".join(f"{n}. Admin, 2" for n in numbers), len(prompt)
+
+        return score
+
+    return connect
+
+
+@pytest.mark.parametrize("by_scorer", [False, True])
+def test_missing_fields_lose_no_ticket(spark, by_scorer):
+    folder = work_folder(spark, "gaps")
+    gaps = [body(1, user_id=None), body(2, None), body(3, timestamp=None), body(4, timestamp="soon"), body(5, "")]
+    put(spark, f"{folder}/in", "a", gaps)
+    classify = delegate.by_scorer(admin_scorer()) if by_scorer else delegate.by_lexicon(lexicon(spark))
+    drain.drain(drain.read_queue(spark, f"{folder}/in/*"), drain.delegate(folder, classify), f"{folder}/offsets")
+    got = drain.read_tickets(spark, folder).collect()
+    expected = ("Admin", 2) if by_scorer else ("Miscellaneous", 3)
+    assert {(r.ticket_id, r.team_name, r.severity_level) for r in got} == {(f"t{i}", *expected) for i in range(1, 6)}
+    mails = read_batches(spark, f"{folder}/outbox").collect()
+    assert all(m.body for m in mails) and sum(m.body.count("<tr><td>") for m in mails) == 10
+
+
 def test_nothing_to_do(spark):
     empty = bodies(spark, [])
     received = delegate.read_complaints(empty)
