@@ -12,6 +12,7 @@ from redressa.functions.status import ticket_key
 from redressa.operators.lookup import lookup_join
 from redressa.session import checkpointed
 
+# The status text of a missing ticket and of a ticket without a status.
 NOT_FOUND, NO_STATUS = "Ticket not found", "No status available"
 
 

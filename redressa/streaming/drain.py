@@ -128,5 +128,10 @@ def read_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dedupe_stream(complaints: DataFrame, horizon: str = "1 day") -> DataFrame:
-    """Drop copies delivered within ``horizon`` of each other; later ones meet the keyed read."""
+    """Drop copies delivered within ``horizon`` of each other.
+
+    Spark also drops rows that arrive later than ``horizon`` behind the newest one, so it must
+    be longer than any delivery may be late. Where no such bound is known, use the batch form
+    in the handler and read the outputs by key, as ``read_tickets`` does.
+    """
     return complaints.withWatermark("raised_ts", horizon).dropDuplicatesWithinWatermark(["ticket_id"])
