@@ -309,7 +309,7 @@ _SQL = {
                CASE WHEN usable THEN severity ELSE CAST(3 AS INTEGER) END AS severity
         FROM answered JOIN complaints USING (ticket_id)""",
     "map_intent": "SELECT event_id, answer, intent_word FROM dialogs",
-    "classify_intent_turns": f"""
+    "classify_intent": f"""
         SELECT conv_id, turn, word,
                CASE word WHEN 'check_status' THEN 'check' WHEN 'resolve_status' THEN 'resolve' WHEN 'new_complaint' THEN 'new' END
                AS intent_word

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redressa.functions import chat, text
-from redressa.operators import digests, packing, predictions, service, stores
-from redressa.operators.classify import classify_intent
+from redressa.operators import classify, digests, packing, predictions, service, stores
 from redressa.plans import delegate, dialog, intake, progress
 from redressa.schemas import COMPLAINT, DIALOG_ACTION
 from redressa.session import prepare, work_folder
@@ -287,8 +286,8 @@ def default_predictions(spark, folder):
 
 @registered
 def classify_with_scorer(spark, folder):
-    classify = delegate.by_scorer(views.word_count_scorer(), concurrency=4)
-    return classify(_cleaned(spark, folder)).select("ticket_id", "user_id", "team", "severity")
+    by_scorer = delegate.by_scorer(views.word_count_scorer(), concurrency=4)
+    return by_scorer(_cleaned(spark, folder)).select("ticket_id", "user_id", "team", "severity")
 
 
 @registered
@@ -299,8 +298,8 @@ def map_intent(spark, folder):
 
 
 @registered
-def classify_intent_turns(spark, folder):
-    word = classify_intent(F.col("text"), INTENT_KEYWORDS)
+def classify_intent(spark, folder):
+    word = classify.classify_intent(F.col("text"), INTENT_KEYWORDS)
     return views.turns(spark, folder).select("conv_id", "turn", word.alias("word"), chat.map_intent(word).alias("intent_word"))
 
 
@@ -460,16 +459,16 @@ def format_raised_ts(spark, folder):
 @registered
 def delegate_batch(spark, folder):
     received = delegate.read_complaints(views.messages(spark, folder))
-    classify = delegate.by_lexicon(views.lexicon(spark, folder))
-    return _ticket_columns(delegate.ticket_rows(delegate.delegate_batch(received, classify)))
+    by_lexicon = delegate.by_lexicon(views.lexicon(spark, folder))
+    return _ticket_columns(delegate.ticket_rows(delegate.delegate_batch(received, by_lexicon)))
 
 
 def _delegate_stream(spark, folder):
     target = _publish_files(spark, folder)
     # Written once: every micro-batch looks words up in the same lexicon.
     views.lexicon(spark, folder).write.parquet(f"{target}/lexicon")
-    classify = delegate.by_lexicon(spark.read.parquet(f"{target}/lexicon"))
-    drain.drain(drain.read_queue(spark, f"{target}/in"), drain.delegate(target, classify), f"{target}/offsets")
+    by_lexicon = delegate.by_lexicon(spark.read.parquet(f"{target}/lexicon"))
+    drain.drain(drain.read_queue(spark, f"{target}/in"), drain.delegate(target, by_lexicon), f"{target}/offsets")
     return target
 
 

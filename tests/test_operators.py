@@ -77,7 +77,7 @@ def test_broadcast_is_measured(spark):
 
 
 def greedy(chars, limit, head):
-    """Reference packing: one line after the other."""
+    """Packing by hand: one line after the other."""
     out, batch, item, used = [], 1, 0, head // 4
     for n in chars:
         line = (n + len(str(item + 1)) + 3) // 4
