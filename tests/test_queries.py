@@ -4,6 +4,8 @@ import pytest
 from compare import connect, difference
 
 from __spark_entry__ import entry, oracle_sql, queries
+from redressa.workload.oracles import ORACLES
+from redressa.workload.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,14 +15,15 @@ def tables():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_as_sql(spark, tables, name):
-    frame = queries()[name](spark, FOLDER)
-    assert difference(frame, tables, oracle_sql()[name]) is None
+    frame = QUERIES[name](spark, FOLDER)
+    assert difference(frame, tables, ORACLES[name]) is None
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_entry(spark):
