@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redressa.llm import language, token_files
+from redressa.llm import language, token_files, toxicity
 from redressa.llm.common import table
 from redressa.session import prepare
 
@@ -32,3 +32,8 @@ def op4_token_files(spark, folder):
 @registered
 def op7_language(spark, folder):
     return language.identify(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@registered
+def op10_toxicity(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -14,6 +14,9 @@ BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 WHITE = np.zeros(256, bool)
 WHITE[9:14] = WHITE[32] = True
+#: For words of letters: everything below 128 but a-z separates; texts are lower case by then.
+NOT_LETTER = np.arange(256) < 128
+NOT_LETTER[97:123] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -67,17 +70,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.zeros(0, np.uint8) if held is None else np.frombuffer(held, np.uint8)), offsets
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray) -> list[int]:
+def _cuts(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> list[int]:
     """Ends of segments at the start of a text or after white space, so that no word is split."""
     cuts, at, end = [int(offsets[0])], int(offsets[0]), int(offsets[-1])
     while at < end:
         aim = min(at + SEGMENT, end)
         if aim < end:
             text = int(offsets[np.searchsorted(offsets, aim, "right") - 1])
-            white = np.flatnonzero(WHITE[data[at:aim]][::-1][: 1 << 16])
+            white = np.flatnonzero(gap[data[at:aim]][::-1][: 1 << 16])
             found = max(text, aim - int(white[0]) if len(white) else at)
             if found <= at:  # one word longer than a segment
-                ahead = np.flatnonzero(WHITE[data[aim:end]])
+                ahead = np.flatnonzero(gap[data[aim:end]])
                 found = min(int(offsets[np.searchsorted(offsets, aim, "right")]), aim + int(ahead[0]) + 1 if len(ahead) else end)
             aim = found
         cuts.append(aim)
@@ -85,16 +88,16 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> list[int]:
     return cuts
 
 
-def words_of(column: pa.Array, lower: bool = False, base: int = BASE_A) -> Words:
-    """Runs of bytes other than space and 9 to 13, with a hash of each; ``lower`` folds A-Z only."""
+def words_of(column: pa.Array, lower: bool = False, base: int = BASE_A, gap: np.ndarray = WHITE) -> Words:
+    """Runs of bytes that are no gap (space and 9 to 13), with a hash of each; ``lower`` folds A-Z only."""
     data, offsets = text_bytes(column)
     if lower and len(data):
         data = LOWER[data]
     starts, ends, hashes = [], [], []
-    cuts = _cuts(data, offsets)
+    cuts = _cuts(data, offsets, gap)
     for lo, hi in zip(cuts, cuts[1:]):
         part = data[lo:hi]
-        white = WHITE[part]
+        white = gap[part]
         edge = white.copy()  # no word goes on into this byte from the one before
         inner = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo
         edge[inner] = True
