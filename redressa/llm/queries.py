@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redressa.llm import language, token_files, toxicity
+from redressa.llm import embedding_join, language, token_files, toxicity
 from redressa.llm.common import table
 from redressa.session import prepare
 
@@ -37,3 +37,28 @@ def op7_language(spark, folder):
 @registered
 def op10_toxicity(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@registered
+def op1_embedding_links(spark, folder):
+    return embedding_join.near_vectors(table(spark, folder, "embeddings"))
+
+
+ORACLES["op1_embedding_links"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT a AS src, a AS dst FROM links
+  UNION SELECT r.src, l.b FROM reach r JOIN links l ON r.dst = l.a
+)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.root, e.vec_id) AS component_id,
+  e.vec_id = coalesce(c.root, e.vec_id) AS kept
+FROM embeddings e
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id
+LEFT JOIN (SELECT src, min(dst) AS root FROM reach GROUP BY src) c ON c.src = e.vec_id
+"""
