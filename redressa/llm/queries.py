@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redressa.llm import embedding_join, language, token_files, toxicity
+from redressa.llm import embedding_join, language, near_duplicates, token_files, toxicity
 from redressa.llm.common import table
 from redressa.session import prepare
 
@@ -62,3 +62,30 @@ FROM embeddings e
 LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id
 LEFT JOIN (SELECT src, min(dst) AS root FROM reach GROUP BY src) c ON c.src = e.vec_id
 """
+
+
+@registered
+def op5_near_duplicates(spark, folder):
+    return near_duplicates.near_duplicates(table(spark, folder, "documents"), words=3, share=85)
+
+
+ORACLES["op5_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM w
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k
+  FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL
+), links AS (SELECT a, b FROM c WHERE 100 * k >= 85 * (na + nb - k)
+), reach AS (SELECT a AS src, a AS dst FROM links UNION SELECT r.src, l.b FROM reach r JOIN links l ON r.dst = l.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(r.root, s.doc_id) AS component_id,
+  s.doc_id = coalesce(r.root, s.doc_id) AS kept
+FROM s LEFT JOIN (SELECT src, min(dst) AS root FROM reach GROUP BY src) r ON r.src = s.doc_id
+"""
