@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from redressa.llm import embedding_join, language, near_duplicates, token_files, toxicity
+from redressa.llm import embedding_join, language, near_duplicates, substrings, token_files, toxicity
 from redressa.llm.common import table
 from redressa.session import prepare
 
@@ -89,3 +90,25 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(r.root, s.doc_id) AS c
   s.doc_id = coalesce(r.root, s.doc_id) AS kept
 FROM s LEFT JOIN (SELECT src, min(dst) AS root FROM reach GROUP BY src) r ON r.src = s.doc_id
 """
+
+
+@registered
+def op2_substring_dedup(spark, folder):
+    cut = substrings.remove_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op2_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, t.i, md5(array_to_string(w[t.i:t.i + 34], ' ')) AS h FROM w, unnest(range(1, len(w) - 33)) t(i)
+), m AS (
+  SELECT DISTINCT doc_id, u.p FROM g JOIN (SELECT h FROM g GROUP BY h HAVING count(*) > 1) USING (h), unnest(range(i, i + 35)) u(p)
+), k AS (
+  SELECT w.doc_id, string_agg(w.w[u.p], ' ' ORDER BY u.p) AS kept
+  FROM w, unnest(range(1, len(w.w) + 1)) u(p) ANTI JOIN m ON m.doc_id = w.doc_id AND m.p = u.p GROUP BY w.doc_id
+)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id) n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
