@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redressa.llm import embedding_join, language, near_duplicates, substrings, token_files, toxicity
+from redressa.llm import context_tree, embedding_join, language, near_duplicates, substrings, token_files, toxicity
 from redressa.llm.common import table
 from redressa.session import prepare
 
@@ -112,3 +112,8 @@ WITH w AS (
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id) n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
+
+
+@registered
+def op6_context_tree(spark, folder):
+    return context_tree.language_model(table(spark, folder, "documents"))
