@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redressa.llm import context_tree, embedding_join, language, near_duplicates, substrings, token_files, toxicity
+from redressa.llm import context_tree, decontaminate, embedding_join, language, near_duplicates, substrings, token_files, toxicity
 from redressa.llm.common import table
 from redressa.session import prepare
 
@@ -117,3 +117,31 @@ FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id) n USING (
 @registered
 def op6_context_tree(spark, folder):
     return context_tree.language_model(table(spark, folder, "documents"))
+
+
+@registered
+def op3_decontaminate(spark, folder):
+    return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op3_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[t.i:t.i + 9], ' ') AS g
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) WHERE len(w) > 0
+), g AS (
+  SELECT d.doc_id, t.i, s.n, array_to_string(d.w[t.i:t.i + s.n - 1], ' ') AS g
+  FROM d, (SELECT DISTINCT n FROM win) s, unnest(range(1, len(d.w) - s.n + 2)) t(i)
+), m AS (SELECT g.doc_id, g.i, g.n, win.item_id FROM g JOIN win ON g.g = win.g AND g.n = win.n
+), h AS (SELECT doc_id, count(DISTINCT u.p) AS n FROM m, unnest(range(i, i + n)) u(p) GROUP BY doc_id
+), x AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(x.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(x.ids, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
