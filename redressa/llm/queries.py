@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redressa.llm import context_tree, decontaminate, embedding_join, language, near_duplicates, substrings, token_files, toxicity
+from redressa.llm import context_tree, decontaminate, embedding_join, language, mixing, near_duplicates, substrings, token_files, toxicity
 from redressa.llm.common import table
 from redressa.session import prepare
 
@@ -145,3 +145,55 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
   sha256(coalesce(x.ids, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)
 """
+
+
+MIX_LEVELS = ["domain", "lang", "source"]
+MIX_WEIGHTS = {"domain": {"domain0": 3, "domain1": 2, "domain2": 4}, "lang": {"en": 4, "de": 3, "fr": 2, "es": 2}, "source": {"src0": 2, "src1": 0.5}}
+
+
+@registered
+def op8_source_mix(spark, folder):
+    docs = mixing.described(table(spark, folder, "documents"))
+    return mixing.mix(docs, MIX_LEVELS, MIX_WEIGHTS, share=0.9, epochs=2, seed=11).drop("tag")
+
+
+def _mix_level(parent: str, name: str, weight: str, above: str, out: str) -> str:
+    """One level of the tree, as a chain of common table expressions."""
+    on = f"USING ({parent})"
+    part = f"PARTITION BY {parent}"
+    keys = f"{parent}, {name}"
+    return f"""
+{out}0 AS (SELECT {keys}, sum(tokens) * 2.0::DOUBLE AS c, any_value({weight}) AS w FROM leaf GROUP BY {keys}),
+{out}1 AS (SELECT *, c / w AS r FROM {out}0 JOIN {above} {on}),
+{out}2 AS (SELECT *, coalesce(sum(c) OVER ({part} ORDER BY r, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  + r * sum(w) OVER ({part} ORDER BY r, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= b + 1e-6 AS sat FROM {out}1),
+{out} AS (SELECT {keys}, CASE WHEN sat THEN c ELSE greatest(0, b - coalesce(sum(CASE WHEN sat THEN c END) OVER ({part}), 0))
+  / sum(CASE WHEN sat THEN 0 ELSE w END) OVER ({part}) * w END AS b FROM {out}2)"""
+
+
+ORACLES["op8_source_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, text, 'domain' || coalesce(try_cast(regexp_extract(source, '(\d+)$', 1) AS BIGINT) % 3, 0) AS domain,
+    coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents
+), leaf AS (
+  SELECT domain, lang, source, sum(n_tokens)::DOUBLE AS tokens, 0 AS root,
+    CASE domain WHEN 'domain0' THEN 3 WHEN 'domain1' THEN 2 WHEN 'domain2' THEN 4 ELSE 1 END::DOUBLE AS wd,
+    CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 3 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END::DOUBLE AS wl,
+    CASE source WHEN 'src0' THEN 2 WHEN 'src1' THEN 0.5 ELSE 1 END::DOUBLE AS ws
+  FROM d GROUP BY domain, lang, source
+), top AS (SELECT root, sum(tokens) * 0.9::DOUBLE AS b FROM leaf GROUP BY root),""" + ",".join([
+    _mix_level("root", "domain", "wd", "top", "x"), _mix_level("root, domain", "lang", "wl", "x", "y"),
+    _mix_level("root, domain, lang", "source", "ws", "y", "z"),
+]) + r""", plan AS (
+  SELECT domain, lang, source, tokens, floor(round(b, 3))::BIGINT AS budget,
+    CASE WHEN tokens > 0 THEN least(2, floor(floor(round(b, 3)) / tokens)) ELSE 0 END::BIGINT AS whole
+  FROM z JOIN leaf USING (domain, lang, source)
+), o AS (
+  SELECT doc_id, domain, lang, source, n_tokens, budget, whole, budget - whole * tokens AS rest,
+    sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('11:' || whole || ':' || doc_id), doc_id, n_tokens
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM d JOIN plan USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, n_tokens, budget, whole + CASE WHEN upto <= rest AND whole < 2 THEN 1 ELSE 0 END AS copies FROM o
+"""
