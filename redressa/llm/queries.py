@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redressa.llm import context_tree, decontaminate, embedding_join, language, mixing, near_duplicates, substrings, token_files, toxicity
+from redressa.llm import context_tree, decontaminate, embedding_join, language, line_runs, mixing, near_duplicates, substrings, token_files, toxicity
 from redressa.llm.common import table
 from redressa.session import prepare
 
@@ -197,3 +197,30 @@ WITH d AS (
 )
 SELECT doc_id, domain, lang, source, n_tokens, budget, whole + CASE WHEN upto <= rest AND whole < 2 THEN 1 ELSE 0 END AS copies FROM o
 """
+
+
+@registered
+def op9_line_runs(spark, folder):
+    cut = line_runs.remove_runs(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op9_line_runs"] = r"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, CASE WHEN length(text) > 0 THEN string_split(text, chr(10)) ELSE [] END AS w FROM documents
+), p AS (SELECT doc_id, u.i, w[u.i] AS line, rtrim(w[u.i], ' ') AS x FROM l, unnest(range(1, len(w) + 1)) u(i)
+), r AS (
+  SELECT doc_id, i, 1 AS n, md5(x) AS h FROM p QUALIFY count(*) OVER (PARTITION BY md5(x)) > 1
+  UNION ALL
+  SELECT r.doc_id, r.i, r.n + 1, md5(r.h || p.x) FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + r.n
+  QUALIFY count(*) OVER (PARTITION BY md5(r.h || p.x)) > 1
+), two AS (
+  SELECT a.doc_id, a.i, row_number() OVER (PARTITION BY a.x, b.x ORDER BY a.doc_id, a.i) AS k
+  FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i = a.i + 1
+), gone AS (SELECT DISTINCT doc_id, u.j AS i FROM two, unnest([i, i + 1]) u(j) WHERE k > 1
+), kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM p ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT l.doc_id, len(l.w)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(m.n, 0)::BIGINT AS longest_run,
+  sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM l LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+LEFT JOIN (SELECT doc_id, max(n) AS n FROM r GROUP BY doc_id) m USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
