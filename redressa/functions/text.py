@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from itertools import chain
 
@@ -41,6 +42,19 @@ IRREGULAR_CONTRACTIONS = {
     "ma'am": "madam",
 }
 
+# Informal forms, written without an apostrophe.
+INFORMAL_CONTRACTIONS = {
+    "gonna": "going to",
+    "wanna": "want to",
+    "gotta": "got to",
+    "kinda": "kind of",
+    "sorta": "sort of",
+    "outta": "out of",
+    "lemme": "let me",
+    "gimme": "give me",
+    "dunno": "do not know",
+}
+
 # Suffix rules, tried in this order; the group keeps the word before the suffix.
 SUFFIX_CONTRACTIONS = {
     r"([a-zA-Z])n't": "$1 not",
@@ -60,13 +74,19 @@ def contraction_rules() -> list[tuple[str, str]]:
     return [(f"(?i){rule}(?![a-zA-Z0-9_])", long) for rule, long in words + list(SUFFIX_CONTRACTIONS.items())]
 
 
-def is_contraction(word: str) -> bool:
-    return "'" in word
+def contraction_keys(words: Iterable[str], table: Mapping[str, str] | None = None) -> set[str]:
+    """Those of ``words`` that a rule, the informal forms or ``table`` would expand."""
+    known = set(INFORMAL_CONTRACTIONS) | {key.lower() for key in table or ()}
+    rules = [re.compile(pattern) for pattern, _ in contraction_rules()]
+    plain = {word: word.lower().replace("’", "'") for word in words}
+    return {word for word, form in plain.items() if form in known or any(rule.search(form) for rule in rules)}
 
 
-def effective_stop_words(words: Iterable[str] = STOP_WORDS) -> list[str]:
-    """Stop words without contractions, so that "don't" survives to be expanded."""
-    return [word for word in words if not is_contraction(word)]
+def effective_stop_words(words: Iterable[str] = STOP_WORDS, table: Mapping[str, str] | None = None) -> list[str]:
+    """Stop words without those that expansion knows, so that "don't" survives to be expanded."""
+    words = list(words)
+    expanded = contraction_keys(words, table)
+    return [word for word in words if word not in expanded]
 
 
 def remove_stopwords(text: Column, words: Iterable[str]) -> Column:
@@ -97,17 +117,16 @@ def _map_words(text: Column, change) -> Column:
 
 
 def expand_contractions(text: Column, table: Mapping[str, str] | None = None, needed: Column | None = None) -> Column:
-    """Expand contractions by rule, then whole words by ``table``; white space collapses.
+    """Expand contractions by rule, then informal forms and the words of ``table``; white space collapses.
 
     Text that does not need the rules skips them; ``needed`` says so where it is cheaper to
     tell from another column than from ``text``.
     """
     words = collapse_whitespace(text)
     words = F.when(has_apostrophe(text) if needed is None else needed, _map_words(words, _expand_word)).otherwise(words)
-    if table:
-        lookup = F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
-        words = _map_words(words, lambda w: F.coalesce(F.try_element_at(lookup, F.lower(w)), w))
-    return words
+    whole = {**INFORMAL_CONTRACTIONS, **{key.lower(): long for key, long in (table or {}).items()}}
+    lookup = F.create_map(*[F.lit(x) for x in chain.from_iterable(whole.items())])
+    return _map_words(words, lambda w: F.when(F.lower(w).isin(list(whole)), F.try_element_at(lookup, F.lower(w))).otherwise(w))
 
 
 def _keep(text: Column, runs: str) -> Column:
@@ -121,8 +140,11 @@ def remove_special_characters(text: Column) -> Column:
 
 
 def preprocess(text: Column, stop_words: Iterable[str] | None = None, table: Mapping[str, str] | None = None) -> Column:
-    """Clean a complaint; ``text`` should be a plain column, as it is read more than once."""
-    kept = remove_stopwords(text, effective_stop_words() if stop_words is None else stop_words)
+    """Clean a complaint; ``text`` should be a plain column, as it is read more than once.
+
+    Words that expansion knows are never dropped as stop words, whichever list is passed.
+    """
+    kept = remove_stopwords(text, effective_stop_words(STOP_WORDS if stop_words is None else stop_words, table))
     # Only plain spaces are left to keep at this point.
     return _keep(expand_contractions(kept, table, has_apostrophe(text)), "[a-zA-Z0-9 ]+")
 

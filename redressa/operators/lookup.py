@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redressa.session import checkpointed
+from redressa.session import materialized
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
@@ -27,22 +29,30 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
 
 
 def lookup_join(
-    facts: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS
+    facts: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS,
+    unique_facts: bool = False,
 ) -> DataFrame:
     """Join ``facts`` to ``dim`` (one row per key) without a task per hot key.
 
-    A measured-small ``dim`` is broadcast. Otherwise the keys that hold more than a
-    thousandth of all facts (fewer than a thousand, by counting) are joined by broadcasting
-    their few ``dim`` rows, and the remaining rows by a shuffle in which no key is large.
+    ``dim`` is written, measured, and broadcast if it is small. Otherwise rows with a null in the key,
+    which match nothing, take no part in the join, and the keys that hold more than a thousandth of all facts
+    (fewer than a thousand, by counting) are joined by broadcasting their few ``dim`` rows, the others
+    by a shuffle in which no key is large. With ``unique_facts`` no key is: nothing is counted.
     """
+    dim = materialized(dim, "lookup")
     if fits_broadcast(dim, max_rows):
         return facts.join(F.broadcast(dim), list(on), how)
-    return _split_hot_keys(facts, dim, list(on), how)
+    whole = reduce(and_, [F.col(name).isNotNull() for name in on])
+    keyed = facts.filter(whole)
+    joined = keyed.join(dim, list(on), how) if unique_facts else _split_hot_keys(keyed, dim, list(on), how)
+    if how not in ("left", "left_anti"):
+        return joined
+    return joined.unionByName(facts.filter(~whole), allowMissingColumns=True)
 
 
 def _split_hot_keys(facts: DataFrame, dim: DataFrame, on: list[str], how: str) -> DataFrame:
     # Counted once and written: the hot keys are used three times below.
-    counts = checkpointed(facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")))
+    counts = materialized(facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
     total = counts.agg(F.sum("_n")).first()[0] or 0
     hot = F.broadcast(counts.filter(F.col("_n") * HOT_SHARES > F.lit(total)).select(*on))
     on_hot_rows = facts.join(hot, on, "left_semi").join(F.broadcast(dim.join(hot, on, "left_semi")), on, how)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redressa.operators.lookup import lookup_join
-from redressa.session import checkpointed
+from redressa.session import materialized
 
 _LOCAL_INDEX_BITS = 33  # monotonically_increasing_id keeps the row index in its lower 33 bits
 
@@ -33,7 +33,7 @@ def with_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), n
         .drop("_id")
     )
     # A struct of the keys equals itself also where a key is null.
-    numbered = checkpointed(numbered.withColumn("_group", F.struct(F.lit(0).alias("_"), *keys)))
+    numbered = materialized(numbered.withColumn("_group", F.struct(F.lit(0).alias("_"), *keys)))
     earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         numbered.groupBy("_group", "_slice")

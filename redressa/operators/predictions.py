@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,31 +15,50 @@ ANSWER_LINE = r"^\s*(\d+)\.\s*(.+?)\s*,\s*([1-5])\s*$"
 Scorer = Callable[[str], tuple[str, int]]
 
 
-def score_prompts(prompts: DataFrame, make_scorer: Callable[[], Scorer], concurrency: int | None = None) -> DataFrame:
-    """Call the scorer once per prompt: (run, batch, answer, tokens_used).
+def score_prompts(
+    prompts: DataFrame, make_scorer: Callable[[], Scorer], attempts: int = 3, timeout: float | None = None
+) -> DataFrame:
+    """Call the scorer for every prompt: (run, batch, answer, tokens_used, status, error).
 
-    ``make_scorer`` runs once per task, so a task opens one connection. A call that fails
-    gives a null answer and zero tokens, which later turns into the default prediction for
-    that batch alone. ``concurrency`` caps the number of simultaneous callers. Write the
+    ``make_scorer`` runs once per task, so a task opens one connection; there are as many tasks as the
+    prompts have partitions, and the cores per task (``spark.task.cpus``) bound the callers of an executor.
+    A call that fails or takes longer than ``timeout`` seconds is repeated up to ``attempts`` times. A
+    prompt without an answer then has the status ``failed``, the last error, a null answer and zero
+    tokens; its tickets get the default prediction, and :func:`run_counts` shows how many. Write the
     result before using it twice: Spark may call again when a task is repeated.
     """
 
     def call(frames):
-        scorer = make_scorer()
-        for frame in frames:
-            answers, used = [], []
-            for prompt in frame["prompt"]:
+        scorer, pool = make_scorer(), ThreadPoolExecutor(attempts)
+
+        def ask(prompt):
+            error = None
+            for _ in range(attempts):
                 try:
-                    answer, tokens = scorer(prompt)
-                except Exception:
-                    answer, tokens = None, 0
-                answers.append(answer)
-                used.append(tokens)
-            yield frame[["run", "batch"]].assign(answer=answers, tokens_used=used)
-
-    if concurrency:
-        prompts = prompts.repartition(concurrency)
-    return prompts.mapInPandas(call, "run long, batch int, answer string, tokens_used long")
+                    return (*pool.submit(scorer, prompt).result(timeout), "ok", None)
+                except Exception as failure:
+                    error = f"{type(failure).__name__}: {failure}"
+            return None, 0, "failed", error
+
+        for frame in frames:
+            rows = [ask(prompt) for prompt in frame["prompt"]]
+            names = ["answer", "tokens_used", "status", "error"]
+            yield frame[["run", "batch"]].assign(**{name: [row[i] for row in rows] for i, name in enumerate(names)})
+
+    return prompts.mapInPandas(call, "run long, batch int, answer string, tokens_used long, status string, error string")
+
+
+def tokens_used(answers: DataFrame) -> DataFrame:
+    """What all calls have used, as reported by the model: one row."""
+    return answers.agg(F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("tokens_used"))
+
+
+def run_counts(paired: DataFrame, answers: DataFrame) -> DataFrame:
+    """(outcome, n) of one scoring round: tickets classified, those that got the default for want of a
+    usable line, and prompts answered and failed."""
+    tickets = paired.select(F.when(F.col("team").isNull(), "tickets defaulted").otherwise("tickets classified").alias("outcome"))
+    prompts = answers.select(F.when(F.col("status") == "failed", "prompts failed").otherwise("prompts answered").alias("outcome"))
+    return tickets.unionByName(prompts).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def parse_answers(answers: DataFrame) -> DataFrame:

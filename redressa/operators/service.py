@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from redressa.functions.chat import BROKEN_REPLY, NOT_IMPLEMENTED, product_card
 from redressa.functions.status import ticket_key
 from redressa.operators.lookup import lookup_join
-from redressa.session import checkpointed
+from redressa.session import materialized
 
 # The status text of a missing ticket and of a ticket without a status.
 NOT_FOUND, NO_STATUS = "Ticket not found", "No status available"
@@ -26,7 +26,7 @@ def _asked(requests: DataFrame, store: DataFrame) -> DataFrame:
     Written, so that measuring them and joining them reads the store once.
     """
     keys = _with_key(requests).select("key").distinct()
-    return checkpointed(store.select(F.col("ticket_id").alias("key"), "status").join(keys, "key", "left_semi"))
+    return materialized(store.select(F.col("ticket_id").alias("key"), "status").join(keys, "key", "left_semi"))
 
 
 def status_lookup(requests: DataFrame, store: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from redressa.functions.status import (
     DELEGATED, NEW, PENDING, RESOLVED, advance, is_open, resolution_stamp, ticket_key,
 )
 from redressa.operators.lookup import lookup_join
-from redressa.session import checkpointed
+from redressa.session import materialized
 
 
 def scan_open(tickets: DataFrame) -> DataFrame:
@@ -19,16 +19,15 @@ def scan_open(tickets: DataFrame) -> DataFrame:
 def batch_get_new(store: DataFrame, keys: DataFrame) -> DataFrame:
     """Records of the asked keys that are still new."""
     wanted = keys.select(ticket_key(F.col("ticket_id")).alias("ticket_id")).distinct()
-    return lookup_join(store.filter(F.col("status") == NEW), wanted, ["ticket_id"], "left_semi")
+    return lookup_join(store.filter(F.col("status") == NEW), wanted, ["ticket_id"], "left_semi", unique_facts=True)
 
 
-def sample_open(tickets: DataFrame, k: int = 2, seed: str = "1") -> DataFrame:
-    """``k`` open tickets in an order that depends on the seed only, so a retry picks the same."""
-    return (
-        scan_open(tickets)
-        .orderBy(F.md5(F.concat(F.lit(seed), F.col("ticket_id"))), "ticket_id")
-        .limit(k)
-    )
+def sample_open(tickets: DataFrame, k: int | None = 2, seed: str = "1") -> DataFrame:
+    """``k`` open tickets in an order that depends on the seed only, so a retry picks the same; all for None."""
+    opened = scan_open(tickets)
+    if k is None:
+        return opened
+    return opened.orderBy(F.md5(F.concat(F.lit(seed), F.col("ticket_id"))), "ticket_id").limit(k)
 
 
 def advance_status(selected: DataFrame, as_of: F.Column) -> DataFrame:
@@ -44,7 +43,7 @@ def apply_status_updates(tickets: DataFrame, updates: DataFrame) -> DataFrame:
         F.col("status").alias("_status"),
         F.col("resolved_ts").alias("_resolved_ts"),
     )
-    return lookup_join(tickets, changes, ["ticket_id"], "left").select(
+    return lookup_join(tickets, changes, ["ticket_id"], "left", unique_facts=True).select(
         *[c for c in tickets.columns if c not in ("status", "resolved_ts")],
         F.coalesce("_status", "status").alias("status"),
         F.coalesce("_resolved_ts", "resolved_ts").alias("resolved_ts"),
@@ -66,17 +65,24 @@ def upsert(store: DataFrame, updates: DataFrame, version: str) -> DataFrame:
     Only the keys of the updates meet the store, so a small batch leaves a large store where
     it lies. Updates are taken to be newer than the store.
     """
-    untouched = lookup_join(store, updates.select("ticket_id").distinct(), ["ticket_id"], "left_anti")
+    untouched = lookup_join(store, updates.select("ticket_id").distinct(), ["ticket_id"], "left_anti", unique_facts=True)
     return untouched.unionByName(latest_per_ticket(updates, version))
 
 
 def dedupe_tickets(messages: DataFrame) -> DataFrame:
-    """One record per ticket: copies are folded within each task before anything is shuffled."""
+    """One record per ticket: the one with most fields set, of those the newest, then the greatest hash.
+
+    Equal records are one. The choice is made on four numbers per record, combined within each task; the
+    records are written once and only the chosen ones are read on, so no text is sorted or shuffled
+    while the chosen numbers are few enough to be sent to the readers.
+    """
     others = [c for c in messages.columns if c != "ticket_id"]
-    one = F.min(F.struct(*others)).alias("one")
-    return messages.groupBy("ticket_id").agg(one).select(*[
-        "ticket_id" if c == "ticket_id" else F.col(f"one.{c}").alias(c) for c in messages.columns
-    ])
+    filled = sum((F.col(c).isNotNull().cast("int") for c in others), F.lit(0))
+    when = F.coalesce(F.unix_micros("raised_ts"), F.lit(0)) if "raised_ts" in others else F.lit(0)
+    rows = materialized(messages.withColumn("_row", F.monotonically_increasing_id()), "received")
+    rank = F.struct(filled, when, F.xxhash64(*others), F.col("_row").alias("_row"))
+    chosen = rows.groupBy("ticket_id").agg(F.max(rank).alias("best")).select(F.col("best._row").alias("_row"))
+    return lookup_join(rows, chosen, ["_row"], "left_semi", unique_facts=True).select(*messages.columns)
 
 
 def lifecycle_state(log: DataFrame, prior: DataFrame | None = None) -> DataFrame:
@@ -99,7 +105,7 @@ def lifecycle_state(log: DataFrame, prior: DataFrame | None = None) -> DataFrame
         anchors = anchors.withColumn("before", F.lit(None).cast("string"))
     else:
         anchors = anchors.join(prior.select("key", F.col("state").alias("before")), "key", "left")
-    anchors = checkpointed(anchors)  # one narrow row per key, read three times below
+    anchors = materialized(anchors)  # one narrow row per key, read three times below
     steps = keyed.filter(event.isin("delegate", "advance"))
     tail = lookup_join(steps, anchors.select("key", "submitted"), ["key"], "inner").filter(
         F.col("submitted").isNull() | (F.col("at") > F.col("submitted"))

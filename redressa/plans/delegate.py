@@ -51,7 +51,7 @@ def prompts_of(items: DataFrame, cleaned: DataFrame) -> DataFrame:
     return packing.build_prompts(items.join(cleaned.select("ticket_id", F.col("cleaned").alias("text")), "ticket_id"))
 
 
-def score_packed(cleaned: DataFrame, make_scorer: Callable[[], Scorer], concurrency: int | None = None,
+def score_packed(cleaned: DataFrame, make_scorer: Callable[[], Scorer], attempts: int = 3,
                  token_limit: int = packing.TOKEN_LIMIT, run_size: int = packing.RUN_SIZE) -> tuple[DataFrame, DataFrame]:
     """(items, answers) of one scoring round; answers are written once, before anyone reads them."""
     spark = cleaned.sparkSession
@@ -59,16 +59,16 @@ def score_packed(cleaned: DataFrame, make_scorer: Callable[[], Scorer], concurre
     written = write_cleaned(cleaned, folder)
     pack(written, token_limit, run_size).write.parquet(f"{folder}/items")
     items = spark.read.parquet(f"{folder}/items")
-    score_prompts(prompts_of(items, written), make_scorer, concurrency).write.parquet(f"{folder}/answers")
+    score_prompts(prompts_of(items, written), make_scorer, attempts).write.parquet(f"{folder}/answers")
     return items, spark.read.parquet(f"{folder}/answers")
 
 
-def by_scorer(make_scorer: Callable[[], Scorer], concurrency: int | None = None,
+def by_scorer(make_scorer: Callable[[], Scorer], attempts: int = 3,
               token_limit: int = packing.TOKEN_LIMIT) -> Classifier:
     """Classification by a remote model behind ``make_scorer``."""
 
     def classify(cleaned: DataFrame) -> DataFrame:
-        items, answers = score_packed(cleaned, make_scorer, concurrency, token_limit)
+        items, answers = score_packed(cleaned, make_scorer, attempts, token_limit)
         paired = zip_predictions(items, parse_answers(answers))
         return cleaned.select("ticket_id", "raised_ts", "user_id").join(paired, "ticket_id", "left").select(
             "ticket_id", "raised_ts", "user_id", *default_predictions()

@@ -46,16 +46,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where all intermediate tables of this application go; see :func:`clean_up`."""
+    return f"{shared_folder(spark).rstrip('/')}/redressa/{spark.sparkContext.applicationId}"
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared folder; never reused, so nothing is overwritten."""
-    return f"{shared_folder(spark).rstrip('/')}/redressa/{name}-{uuid.uuid4().hex}"
+    """A fresh sub-folder of the run's folder; never reused, so nothing is overwritten."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the written rows.
+def materialized(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and go on from the written rows.
 
-    Used where two branches must see the same partition numbers: the written rows
-    survive the loss of an executor, a recomputed branch might not agree.
+    Used where two readers must see the same rows, or would compute them twice: what is written survives
+    the loss of an executor, is read by column, and cuts the lineage.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application, once no result that reads them is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

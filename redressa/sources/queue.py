@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from redressa.functions.chat import parse_time, session_key
+from redressa.functions.status import ticket_key
 from redressa.schemas import CHAT_REQUEST, COMPLAINT
 
 CORRUPT = "corrupt"
@@ -38,9 +39,9 @@ def _is_good() -> Column:
 
 
 def parse_complaints(messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Well-formed bodies as records; the time is parsed too, as ``raised_ts``."""
+    """Well-formed bodies as records, ids in lower case; the time is parsed too, as ``raised_ts``."""
     good = _parsed(messages).filter(_is_good()).select(*keep, *COMPLAINT.fieldNames())
-    return good.withColumn("raised_ts", parse_time(F.col("timestamp")))
+    return good.withColumn("ticket_id", ticket_key(F.col("ticket_id"))).withColumn("raised_ts", parse_time(F.col("timestamp")))
 
 
 def quarantine(messages: DataFrame) -> DataFrame:
@@ -49,8 +50,16 @@ def quarantine(messages: DataFrame) -> DataFrame:
 
 
 def cap_messages(messages: DataFrame, arrival: Sequence[str], cap: int = DRAIN_CAP, read: int = READ_SIZE) -> DataFrame:
-    """The messages one bounded drain takes: whole reads only, the oldest first."""
-    return messages.orderBy(*arrival).limit(cap // read * read)
+    """All messages with ``taken``: whether the next bounded drain takes them, or they stay on the queue.
+
+    A drain takes the oldest messages in whole reads, as long as ``cap`` is not exceeded. Only the
+    ``cap`` first keys are put in order; ``arrival`` must tell messages apart.
+    """
+    if cap < read:
+        raise ValueError(f"a drain of {cap} takes no read of {read}")
+    first = messages.select(*arrival).orderBy(*arrival).limit(cap // read * read).withColumn("taken", F.lit(True))
+    # At most ``cap`` rows.
+    return messages.join(F.broadcast(first), list(arrival), "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
 
 
 def parse_chat_envelope(requests: DataFrame, default_sender: str, keep: Sequence[str] = ()) -> DataFrame:

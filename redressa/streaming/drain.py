@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from redressa.functions.status import DELEGATED
 from redressa.operators.digests import outbox
+from redressa.operators.lookup import lookup_join
 from redressa.operators.stores import latest_per_ticket, lifecycle_state
 from redressa.plans.delegate import Classifier, delegate_batch, read_complaints, ticket_rows
 from redressa.plans.intake import submit_complaints
+from redressa.session import materialized
 from redressa.sources.queue import parse_complaints, publish, quarantine
 from redressa.sources.tables import read_batch, read_batches, read_earlier_batches, write_batch
 
@@ -47,8 +49,9 @@ def store_complaints(folder: str):
 def delegate(folder: str, classify: Classifier, stop_words=None, table=None):
     """Handler: the delegation batch with its outputs.
 
-    The classified frame is written first and read back by the other outputs, so a model is
-    not asked again for each of them and all of them agree.
+    A ticket that an earlier batch has delegated is left out of all outputs, so a message that is
+    delivered again mails nobody twice. The classified frame is written first and read back by the
+    other outputs, so a model is not asked again for each of them and all of them agree.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -57,7 +60,13 @@ def delegate(folder: str, classify: Classifier, stop_words=None, table=None):
             return read_batch(batch.sparkSession, f"{folder}/{table}", batch_id)
 
         written(quarantine(batch), "quarantine")
-        complaints = written(read_complaints(batch), "complaints")
+        received = read_complaints(batch)
+        earlier = read_earlier_batches(batch.sparkSession, f"{folder}/tickets", batch_id)
+        if earlier is not None:
+            received = materialized(received, "received")
+            again = earlier.select("ticket_id").join(received.select("ticket_id"), "ticket_id", "left_semi").distinct()
+            received = lookup_join(received, again, ["ticket_id"], "left_anti", unique_facts=True)
+        complaints = written(received, "complaints")
         classified = written(delegate_batch(complaints, classify, stop_words, table), "classified")
         texts = complaints.select("ticket_id", "complaint_text")
         written(ticket_rows(classified), "tickets")
@@ -87,44 +96,46 @@ def submit(folder: str):
     return handle
 
 
-def _newest_state(log: DataFrame) -> DataFrame:
-    newest = F.max(F.struct("batch_id", "state")).alias("newest")
-    return log.groupBy("key").agg(newest).select("key", "newest.state")
+def _newest(log: DataFrame) -> DataFrame:
+    newest = F.max(F.struct("batch_id", "state", "seen")).alias("newest")
+    return log.groupBy("key").agg(newest).select("key", "newest.state", "newest.seen")
 
 
-def _states_before(spark: SparkSession, folder: str, batch_id: int, every: int) -> DataFrame | None:
-    """(batch_id, key, state) to know the state before a batch: the last snapshot and what follows."""
-    snapshot = (batch_id - 1) // every * every
-    changes = read_earlier_batches(spark, f"{folder}/changes", batch_id)
-    if changes is None or snapshot <= 0:
-        return changes
-    kept = read_batch(spark, f"{folder}/snapshots", snapshot).withColumn("batch_id", F.lit(snapshot))
-    return changes.filter(F.col("batch_id") > snapshot).unionByName(kept)
+def track_lifecycle(folder: str):
+    """Handler: the state of every key seen so far, as a change log of (key, state, seen).
 
-
-def track_lifecycle(folder: str, snapshot_every: int = 50):
-    """Handler: the state of every key seen so far, as a change log of (key, state).
-
-    Takes event batches in time order. The prior state is read from earlier batches only, so
-    a replayed batch starts from the same state; a snapshot now and then keeps that read from
-    growing with the age of the stream.
+    ``seen`` is the newest event of the key so far. A key all of whose new events are newer goes on from
+    its state; where an event comes late, the key's state is made anew from its logged events, so the
+    order of the batches does not matter. Only keys of the batch are read or written. States and log
+    are read up to the batch itself, so a replayed batch gives the same.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _states_before(spark, folder, batch_id, snapshot_every)
-        keys = batch.select("key").distinct()
-        prior = None if before is None else _newest_state(before.join(keys, "key", "left_semi"))
-        write_batch(lifecycle_state(batch, prior), f"{folder}/changes", batch_id)
-        if before is not None and batch_id % snapshot_every == 0:
-            changed = read_batch(spark, f"{folder}/changes", batch_id).withColumn("batch_id", F.lit(batch_id))
-            write_batch(_newest_state(before.unionByName(changed)), f"{folder}/snapshots", batch_id)
+        write_batch(batch.select("key", "ts", "event_id", "event"), f"{folder}/log", batch_id)
+        events = read_batch(spark, f"{folder}/log", batch_id)
+        at = F.struct("ts", "event_id")
+        keys = materialized(events.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last")), "keys")
+        changes = read_earlier_batches(spark, f"{folder}/changes", batch_id)
+        if changes is None:
+            states, known = lifecycle_state(events), keys.withColumn("seen", F.col("last"))
+        else:
+            prior = _newest(changes.join(keys.select("key"), "key", "left_semi"))
+            known = materialized(keys.join(prior, "key", "left"), "keys")
+            late = known.filter(F.col("first") < F.col("seen")).select("key")
+            going_on = known.join(late, "key", "left_anti").filter("seen is not null").select("key", "state")
+            log = read_batches(spark, f"{folder}/log").filter(F.col("batch_id") <= batch_id).drop("batch_id")
+            states = lifecycle_state(events.join(late, "key", "left_anti"), going_on).unionByName(
+                lifecycle_state(log.join(late, "key", "left_semi"))
+            )
+        seen = known.select("key", F.greatest("last", F.coalesce("seen", "last")).alias("seen"))
+        write_batch(states.join(seen, "key"), f"{folder}/changes", batch_id)
 
     return handle
 
 
 def read_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
-    return _newest_state(read_batches(spark, f"{folder}/changes"))
+    return _newest(read_batches(spark, f"{folder}/changes")).select("key", "state")
 
 
 def dedupe_stream(complaints: DataFrame, horizon: str = "1 day") -> DataFrame:

@@ -8,7 +8,12 @@ from redressa.operators.packing import PROMPT_HEAD
 # The white-space characters, as the body of a character class.
 WHITESPACE = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+# All stop words but those with an apostrophe, which expansion knows; none of its informal forms is a stop word.
 _DROPPED = ", ".join(f"'{word}'" for word in STOP_WORDS if "'" not in word)
+# Written down by hand: what becomes of the informal forms.
+_INFORMAL = {
+    "gonna": "going to", "wanna": "want to", "gotta": "got to", "kinda": "kind of", "sorta": "sort of", "outta": "out of",
+}
 _KEPT = f"[^a-zA-Z0-9{WHITESPACE}]"
 
 # (pattern, replacement) in the order in which they apply.
@@ -48,10 +53,12 @@ def _expand(text: str) -> str:
     word = "replace(w, '’', '''')"
     for pattern, long in _CONTRACTIONS:
         word = f"regexp_replace({word}, {_quoted(pattern)}, {_quoted(long)}, 'gi')"
-    return (
+    ruled = (
         f"array_to_string(list_transform(string_split({_collapsed(text)}, ' '),"
         f" lambda w: CASE WHEN w LIKE '%''%' OR w LIKE '%’%' THEN {word} ELSE w END), ' ')"
     )
+    informal = " ".join(f"WHEN '{short}' THEN '{long}'" for short, long in _INFORMAL.items())
+    return f"array_to_string(list_transform(string_split({ruled}, ' '), lambda w: CASE lower(w) {informal} ELSE w END), ' ')"
 
 
 def _preprocessed(text: str) -> str:
@@ -82,7 +89,7 @@ _VIEWS = {
                TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 37) AS raised_ts,
                strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 37), '%Y-%m-%d %H:%M:%S') AS timestamp
         FROM documents""",
-    "received": "SELECT * FROM complaints WHERE lang <> 'de'",
+    "received": "SELECT * FROM complaints",
     "store": """
         SELECT * REPLACE (CASE WHEN doc_id % 29 = 0 THEN NULL
             ELSE ['new', 'delegated', 'pending', 'resolved'][doc_id % 4 + 1] END AS status)
@@ -116,6 +123,7 @@ _VIEWS = {
     "picked": """
         SELECT ticket_id, status FROM store WHERE status <> 'resolved'
         ORDER BY md5('7' || ticket_id), ticket_id LIMIT 2""",
+    "opened": "SELECT ticket_id, status FROM store WHERE status <> 'resolved'",
     "lines": """
         SELECT ticket_id, cleaned, length(cleaned) AS chars, (k - 1) // 1000 AS run, (k - 1) % 1000 + 1 AS place
         FROM (SELECT ticket_id, cleaned, row_number() OVER (ORDER BY raised_ts, ticket_id) AS k FROM cleaned)""",
@@ -222,7 +230,7 @@ _SQL = {
                CASE WHEN role = 'system' THEN 'unknown' ELSE 'user' || conv_id || '@example.com' END AS sender,
                CASE WHEN role = 'system' THEN 'unknown' ELSE 'user' || conv_id || '-at-example.com' END AS session
         FROM conversations""",
-    "cap_batch": "SELECT event_id, ticket_id FROM requests ORDER BY ts, event_id LIMIT 1000",
+    "cap_batch": "SELECT event_id, ticket_id, row_number() OVER (ORDER BY ts, event_id) <= 1000 AS taken FROM requests",
     "append_tickets": f"SELECT {_TICKET} FROM born",
     "scan_open_tickets": "SELECT ticket_id, status FROM store WHERE status <> 'resolved'",
     "batch_get_new": """
@@ -295,7 +303,17 @@ _SQL = {
         FROM packed p JOIN lines USING (ticket_id) GROUP BY p.run, batch""",
     "sum_tokens": f"""
         SELECT CAST(sum(tokens) AS BIGINT) AS line_tokens,
-               CAST(count(*) FILTER (item = 1) * {len(PROMPT_HEAD) // 4} AS BIGINT) AS head_tokens FROM packed""",
+               CAST(count(*) FILTER (item = 1) * {len(PROMPT_HEAD) // 4} AS BIGINT) AS head_tokens,
+               (SELECT CAST(sum(n) AS BIGINT) FROM (
+                  SELECT ({len(PROMPT_HEAD)} + sum(chars + length(CAST(item AS VARCHAR)) + 3)) // 4 AS n
+                  FROM packed JOIN lines USING (ticket_id) GROUP BY packed.run, batch)) AS tokens_used
+        FROM packed""",
+    "run_counts": """
+        SELECT CASE WHEN usable THEN 'tickets classified' ELSE 'tickets defaulted' END AS outcome, count(*) AS n FROM answered GROUP BY ALL
+        UNION ALL SELECT 'prompts answered', count(DISTINCT (run, batch)) FROM answered HAVING count(*) > 0""",
+    "delegate_outputs": """
+        SELECT 'quarantine' AS output, count(*) AS n FROM documents WHERE lang = 'de' HAVING count(*) > 0
+        UNION ALL SELECT 'complaints', count(*) FROM documents UNION ALL SELECT 'classified', count(*) FROM documents""",
     "parse_predictions": """
         SELECT CAST(run AS BIGINT) AS run, CAST(batch AS INTEGER) AS batch, CAST(item AS INTEGER) AS item, team, severity
         FROM answered WHERE usable""",
@@ -404,21 +422,21 @@ _SQL = {
     "format_raised_ts": """
         SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS raised, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS seconds
         FROM events""",
-    "delegate_batch": f"SELECT {_TICKET} FROM born WHERE lang <> 'de'",
-    "delegate_stream": f"SELECT {_TICKET}, 'delegated' AS store_status FROM born WHERE lang <> 'de'",
+    "delegate_batch": f"SELECT {_TICKET} FROM born",
+    "delegate_stream": f"SELECT {_TICKET}, 'delegated' AS store_status, CAST(1 AS BIGINT) AS store_rows FROM born",
     "progress_open": f"""
         SELECT {_TICKET}
         FROM (SELECT t.* REPLACE (CASE WHEN p.status IS NULL THEN t.status WHEN p.status = 'delegated' THEN 'pending'
                                        ELSE 'resolved' END AS status,
                                   CASE WHEN p.status IN ('new', 'pending') THEN {_DONE} ELSE t.resolved_ts END AS resolved_ts)
-              FROM tickets t LEFT JOIN picked p USING (ticket_id))""",
+              FROM tickets t LEFT JOIN opened p USING (ticket_id))""",
     "progress_store": """
         SELECT s.ticket_id, user_id, order_id, timestamp,
                CASE WHEN p.status IS NULL THEN s.status WHEN p.status = 'delegated' THEN 'pending' ELSE 'resolved' END AS status
-        FROM store s LEFT JOIN picked p ON p.ticket_id = s.ticket_id""",
+        FROM store s LEFT JOIN opened p ON p.ticket_id = s.ticket_id""",
 }
 
-_SQL["lifecycle_stream"] = _SQL["lifecycle_state"]
+_SQL["lifecycle_stream"] = _SQL["lifecycle_stream_table"] = _SQL["lifecycle_state"]
 _SQL["submit_stream"] = _SQL["submit_complaints"]
 
 ORACLES = {name: _query(sql) for name, sql in _SQL.items()}

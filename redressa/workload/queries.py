@@ -89,7 +89,7 @@ def parse_chat_envelope(spark, folder):
 @registered
 def cap_batch(spark, folder):
     capped = queue.cap_messages(views.requests(spark, folder), ["ts", "event_id"])
-    return capped.select("event_id", "ticket_id")
+    return capped.select("event_id", "ticket_id", "taken")
 
 
 @registered
@@ -171,9 +171,21 @@ def lifecycle_state(spark, folder):
 
 @registered
 def lifecycle_stream(spark, folder):
+    """The log as a stream of several files whose times overlap, so that most batches bring late events."""
     target = work_folder(spark, "lifecycle")
-    schema = read_table(spark, folder, "events").schema
-    log = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    given = views.ticket_log(views.events(spark, folder))
+    given.repartition(4, "event_id").write.parquet(f"{target}/in")
+    log = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/in")
+    drain.drain(log, drain.track_lifecycle(f"{target}/states"), f"{target}/offsets")
+    return drain.read_lifecycle(spark, f"{target}/states")
+
+
+@registered
+def lifecycle_stream_table(spark, folder):
+    """The same, straight from the given table, a file or a folder of part files."""
+    target = work_folder(spark, "lifecycle")
+    # A pattern that fits this one name: a stream takes a pattern for a file as well as for a folder.
+    log = spark.readStream.schema(read_table(spark, folder, "events").schema).parquet(f"{folder}/events.parque[t]")
     drain.drain(views.ticket_log(log), drain.track_lifecycle(f"{target}/states"), f"{target}/offsets")
     return drain.read_lifecycle(spark, f"{target}/states")
 
@@ -257,13 +269,22 @@ def build_prompts(spark, folder):
     return delegate.prompts_of(delegate.pack(cleaned), cleaned)
 
 
+def _scored(spark, folder):
+    return delegate.score_packed(_cleaned(spark, folder), views.word_count_scorer())
+
+
 @registered
 def sum_tokens(spark, folder):
-    return packing.sum_tokens(delegate.pack(_cleaned(spark, folder)))
+    """Tokens as estimated for the prompts and as reported by the model; both are one row."""
+    items, answers = _scored(spark, folder)
+    estimated = packing.sum_tokens(items).withColumn("one", F.lit(1))
+    return estimated.join(predictions.tokens_used(answers).withColumn("one", F.lit(1)), "one").drop("one")
 
 
-def _scored(spark, folder):
-    return delegate.score_packed(_cleaned(spark, folder), views.word_count_scorer())
+@registered
+def run_counts(spark, folder):
+    items, answers = _scored(spark, folder)
+    return predictions.run_counts(predictions.zip_predictions(items, predictions.parse_answers(answers)), answers)
 
 
 @registered
@@ -286,7 +307,7 @@ def default_predictions(spark, folder):
 
 @registered
 def classify_with_scorer(spark, folder):
-    by_scorer = delegate.by_scorer(views.word_count_scorer(), concurrency=4)
+    by_scorer = delegate.by_scorer(views.word_count_scorer())
     return by_scorer(_cleaned(spark, folder)).select("ticket_id", "user_id", "team", "severity")
 
 
@@ -468,20 +489,32 @@ def _delegate_stream(spark, folder):
     # Written once: every micro-batch looks words up in the same lexicon.
     views.lexicon(spark, folder).write.parquet(f"{target}/lexicon")
     by_lexicon = delegate.by_lexicon(spark.read.parquet(f"{target}/lexicon"))
-    drain.drain(drain.read_queue(spark, f"{target}/in"), drain.delegate(target, by_lexicon), f"{target}/offsets")
+    # A few files at a time: most second deliveries come in a later batch than the first.
+    drain.drain(drain.read_queue(spark, f"{target}/in", 8), drain.delegate(target, by_lexicon), f"{target}/offsets")
     return target
 
 
 @registered
 def delegate_stream(spark, folder):
     target = _delegate_stream(spark, folder)
-    status = read_batches(spark, f"{target}/store").groupBy("ticket_id").agg(F.max("status").alias("store_status"))
+    status = read_batches(spark, f"{target}/store").groupBy("ticket_id").agg(
+        F.max("status").alias("store_status"), F.count(F.lit(1)).alias("store_rows")
+    )
     return _ticket_columns(drain.read_tickets(spark, target)).join(status, "ticket_id")
 
 
+@registered
+def delegate_outputs(spark, folder):
+    """Rows of the other outputs of the stream: mails are by team and page, bad bodies by their number."""
+    target = _delegate_stream(spark, folder)
+    size = lambda name: read_batches(spark, f"{target}/{name}").select(F.lit(name).alias("output"))
+    counted = size("quarantine").unionByName(size("complaints")).unionByName(size("classified"))
+    return counted.groupBy("output").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _progressed(spark, folder):
     target = work_folder(spark, "progress")
-    progress.progress(stores.sample_open(views.tickets(spark, folder), k=2, seed="7"), _as_of(), target, 0)
+    progress.progress(stores.sample_open(views.store(spark, folder), k=None), _as_of(), target, 0)
     return target
 
 

@@ -11,7 +11,7 @@ from redressa.functions.status import TEAMS
 from redressa.functions.text import collapse_whitespace, remove_special_characters
 from redressa.plans.delegate import by_lexicon, clean
 from redressa.schemas import CHAT_RESPONSE, DIALOG_EVENT, RESPONSE_MESSAGE, SLOTS
-from redressa.session import checkpointed
+from redressa.session import materialized
 from redressa.sources.queue import publish
 from redressa.sources.tables import read_table
 
@@ -50,11 +50,10 @@ def store(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Complaints as queue bodies; English ones are delivered twice, German ones are cut short."""
+    """Complaints as queue bodies; English ones come twice, German ones also with a copy that was cut short."""
     bodies = publish(complaints(spark, folder, spread=True), keep=["doc_id", "lang"])
-    cut = F.expr("substring(body, 1, length(body) - 7)")
-    bodies = bodies.withColumn("body", F.when(F.col("lang") == "de", cut).otherwise(F.col("body")))
-    return bodies.unionByName(bodies.filter(F.col("lang") == "en"))
+    cut = bodies.filter(F.col("lang") == "de").withColumn("body", F.expr("substring(body, 1, length(body) - 7)"))
+    return bodies.unionByName(bodies.filter(F.col("lang") == "en")).unionByName(cut)
 
 
 def lexicon(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,7 +71,7 @@ def classified(spark: SparkSession, folder: str) -> DataFrame:
 
 def written_classified(spark: SparkSession, folder: str) -> DataFrame:
     """The same, written once, for work that reads it more than once."""
-    return checkpointed(classified(spark, folder))
+    return materialized(classified(spark, folder))
 
 
 def classified_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,19 +187,20 @@ def dialog_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def submit_dialogs(spark: SparkSession, folder: str) -> DataFrame:
-    """User turns as submit dialogs; the text of a conversation's first turn comes without an order."""
+    """All turns as dialogs: users submit, the assistant checks, the system is welcomed; a first turn has no order."""
     order = F.when(F.col("turn") == 0, "null").otherwise(F.col("conv_id").cast("string"))
     received = F.timestamp_seconds(F.lit(EPOCH) + F.col("conv_id") * 600 + F.col("turn"))
     slots = F.create_map(F.lit("order_id"), slot_struct(order), F.lit("complaint_text"), slot_struct(F.col("text")))
-    return turns(spark, folder).filter(F.col("role") == "user").select(
+    intent = F.when(F.col("role") == "user", "SubmitComplaint").when(F.col("role") == "assistant", "CheckComplaintStatus")
+    return turns(spark, folder).select(
         session_key(_mail(F.col("conv_id"))).alias("sessionId"),
-        F.struct(F.struct(F.lit("SubmitComplaint").alias("name"), slots.alias("slots")).alias("intent")).alias("sessionState"),
+        F.struct(F.struct(F.coalesce(intent, F.lit("WelcomeIntent")).alias("name"), slots.alias("slots")).alias("intent")).alias("sessionState"),
         received.alias("received_ts"),
     )
 
 
 def word_count_scorer():
-    """Stands in for a remote model: answers by the number of words, with the faults models have."""
+    """A test double for a remote model: answers by the number of words, with the faults models have."""
     teams = list(TEAMS)
 
     def connect():

@@ -10,10 +10,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from redressa.session import build_session
+    from redressa.session import build_session, clean_up
 
     session = build_session("local[8]")
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield session
+    clean_up(session)
     session.stop()

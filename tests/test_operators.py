@@ -33,12 +33,6 @@ def test_positions(spark, by):
     assert {r.id: r.position for r in got.collect()} == expected
 
 
-def test_positions_spread_a_hot_key(spark):
-    _, frame = skewed(spark)
-    slices = frame.repartitionByRange(8, "key", "at", "id").withColumn("s", F.spark_partition_id())
-    assert slices.filter("key = 'hot'").select("s").distinct().count() > 1
-
-
 def test_positions_under_a_null_key(spark):
     frame = spark.createDataFrame([(i, None if i % 2 else "a", i) for i in range(50)], "id long, key string, at long")
     got = {r.id: r.position for r in with_position(frame, ["at"], ["key"]).collect()}
@@ -63,11 +57,17 @@ def test_lookup_join(spark, how, max_rows):
     assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
 
 
-def test_hot_keys_are_few(spark):
-    _, frame = skewed(spark)
-    total = frame.count()
-    hot = frame.groupBy("key").count().filter(F.col("count") * lookup.HOT_SHARES > total)
-    assert hot.count() < lookup.HOT_SHARES
+@pytest.mark.parametrize("how", ["left", "left_anti"])
+def test_lookup_leaves_no_large_task(spark, how):
+    """A third of the keys null, a third one key, past the broadcast bound."""
+    key = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "hot").otherwise(F.col("id").cast("string"))
+    facts = spark.range(30_000).withColumn("key", key).repartition(12)
+    dim = facts.filter("key is not null and id % 2 = 0").select("key").distinct().withColumn("extra", F.lit(1))
+    joined = lookup_join(facts, dim, ["key"], how, max_rows=0)
+    sizes = [r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == facts.join(dim, "key", how).count()
+    assert max(sizes) < 0.2 * sum(sizes)
+
 
 
 def test_broadcast_is_measured(spark):
@@ -151,8 +151,30 @@ def test_a_failing_call_costs_its_batch_only(spark):
         return score
 
     prompts = spark.createDataFrame([(0, 1, "good"), (0, 2, "bad"), (0, 3, "good")], "run long, batch int, prompt string")
-    got = {r.batch: (r.answer, r.tokens_used) for r in score_prompts(prompts, connect, concurrency=2).collect()}
-    assert got == {1: ("1. Admin, 1", 7), 2: (None, 0), 3: ("1. Admin, 1", 7)}
+    rows = {r.batch: r for r in score_prompts(prompts.repartition(2), connect).collect()}
+    assert {b: (r.answer, r.tokens_used, r.status) for b, r in rows.items()} == {
+        1: ("1. Admin, 1", 7, "ok"), 2: (None, 0, "failed"), 3: ("1. Admin, 1", 7, "ok")
+    }
+    assert rows[2].error == "RuntimeError: no answer"
+
+
+def test_a_call_is_repeated_and_bounded_in_time(spark):
+    def connect():
+        import time
+
+        asked = []
+
+        def score(prompt):
+            asked.append(prompt)
+            if "slow" in prompt or asked.count(prompt) < 3:
+                time.sleep(5 if "slow" in prompt else 0)
+                raise RuntimeError("try again")
+            return "1. Admin, 1", 7
+        return score
+
+    prompts = spark.createDataFrame([(0, 1, "good"), (0, 2, "slow")], "run long, batch int, prompt string")
+    rows = {r.batch: r.status for r in score_prompts(prompts.coalesce(1), connect, attempts=3, timeout=0.2).collect()}
+    assert rows == {1: "ok", 2: "failed"}
 
 
 @pytest.mark.parametrize("broadcast_rows", [0, 1000])

@@ -70,6 +70,18 @@ def test_contractions_are_no_stop_words():
     assert "don't" not in words and "not" in words and len(words) < len(text.STOP_WORDS)
 
 
+def test_words_that_expansion_knows_are_kept():
+    """Expected by hand."""
+    assert text.effective_stop_words(["don't", "stop", "Gonna", "it"], {"IT": "that thing"}) == ["stop"]
+    assert text.effective_stop_words(["'tis", "it", "you’re"]) == ["'tis", "it"]
+
+
+def test_a_table_entry_wins_over_the_stop_word(spark):
+    clean = lambda x: text.preprocess(x, table={"it": "that thing"})
+    assert one(spark, "fix it please, gonna kinda wanna go", clean) == "fix that thing please going to kind of want to go"
+    assert one(spark, "don't stop", lambda x: text.preprocess(x, ["don't", "stop"])) == "do not"
+
+
 @pytest.mark.parametrize("value, tokens", [("", 0), ("abc", 0), ("abcd", 1), ("ééééé", 1), ("12345678", 2)])
 def test_estimate_tokens(spark, value, tokens):
     assert one(spark, value, text.estimate_tokens) == tokens
