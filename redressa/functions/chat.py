@@ -100,43 +100,23 @@ def plain_message(text: Column) -> Column:
     return F.array(F.struct(F.lit("PlainText").alias("contentType"), text.alias("content")))
 
 
-def action(kind: Column, intent: Column, message: Column, slot: Column | None = None, state: Column | None = None,
-           slots: Column | None = None, attributes: Column | None = None, request: Column | None = None) -> Column:
-    """One response record; every kind of action has the same fields, so one table holds them all."""
-    none = F.lit(None).cast("string")
-    no_map = F.lit(None).cast("map<string,string>")
+def action(kind: Column, intent: Column, message: Column, slot: Column, state: Column, slots: Column,
+           offered: Column, attributes: Column, request: Column) -> Column:
+    """One response record; every kind of action has the same fields, so one table holds them all.
+
+    ``slots`` go back with the intent, ``offered`` with the action itself.
+    """
     return F.struct(
         F.struct(
-            F.struct(kind.alias("type"), (none if slot is None else slot).alias("slotToElicit")).alias("dialogAction"),
-            F.struct(
-                intent.alias("name"),
-                (none if state is None else state).alias("state"),
-                (F.lit(None) if slots is None else slots).cast(SLOTS).alias("slots"),
-            ).alias("intent"),
-            (no_map if attributes is None else attributes).alias("sessionAttributes"),
+            F.struct(kind.alias("type"), slot.alias("slotToElicit"), offered.cast(SLOTS).alias("slots")).alias("dialogAction"),
+            F.struct(intent.alias("name"), state.alias("state"), slots.cast(SLOTS).alias("slots")).alias("intent"),
+            attributes.alias("sessionAttributes"),
         ).alias("sessionState"),
         plain_message(message).alias("messages"),
-        (no_map if request is None else request).alias("requestAttributes"),
+        request.alias("requestAttributes"),
     )
 
 
-def close(intent: Column, state: Column, message: Column) -> Column:
-    return action(F.lit("Close"), intent, message, state=state)
-
-
-def elicit_slot(intent: Column, slot: Column, slots: Column, message: Column) -> Column:
-    return action(F.lit("ElicitSlot"), intent, message, slot=slot, slots=slots)
-
-
-def elicit_intent(intent: Column, slots: Column, message: Column) -> Column:
-    return action(F.lit("ElicitIntent"), intent, message, slots=slots)
-
-
-def delegate(intent: Column, state: Column, slots: Column, message: Column, attributes: Column,
-             request: Column) -> Column:
-    return action(F.lit("Delegate"), intent, message, state=state, slots=slots, attributes=attributes, request=request)
-
-
 def derive_reply(state: Column, slot: Column, messages: Column) -> Column:
     """What the user sees: the slot prompt while a slot is asked for, else the first message."""
     plain = F.get(F.filter(messages, lambda m: m["contentType"] == "PlainText"), F.lit(0))["content"]

@@ -18,37 +18,44 @@ def set_intent_word(events: DataFrame) -> DataFrame:
 def dialog_actions(events: DataFrame) -> DataFrame:
     """Adds ``action``, the response of each turn.
 
-    Takes (sessionState, requestAttributes, found, answer): ``found`` tells whether the asked
-    ticket exists, ``answer`` is the model's word for a turn that has to branch. The kind of
-    action is chosen first and fills one record, which keeps the generated code small.
+    Takes (sessionState, requestAttributes, answer) and what the store said: ``found`` and ``status_text``
+    of the asked ticket, ``new_ticket_id`` of a submitted complaint, and ``failed`` where it could not be
+    reached. ``answer`` is the model's word for a turn that has to branch. The kind of action is chosen
+    first and fills one record, which keeps the generated code small.
     """
     intent, slots = F.col("sessionState.intent.name"), F.col("slots")
     ticket = slot_value(slots, "ticket_id")
     handler, kind = F.col("handler"), F.col("kind")
+    stored = handler.isin("check_status", "resolve_ticket", "submit_complaint")
+    broken = stored & F.coalesce("failed", F.lit(False))
     chosen = (
-        F.when((handler == "resolve_ticket") & ~F.col("found"), "ElicitSlot")
+        F.when(broken, "Close")
+        .when((handler == "resolve_ticket") & ~F.col("found"), "ElicitSlot")
         .when(handler != "choose_branch", "Close")
         .when(F.col("intent_word").isNull(), "ElicitIntent")
         .otherwise("Delegate")
     )
     message = (
-        F.when(kind == "ElicitSlot", "There is no such ticket. Please enter the id again.")
+        F.when(broken, "Your request could not be carried out. Please try again later.")
+        .when(kind == "ElicitSlot", "There is no such ticket. Please enter the id again.")
         .when(kind == "ElicitIntent", F.format_string("Going on with %s.", intent))
         .when(kind == "Delegate", F.format_string("Going on with the choice %s.", F.col("intent_word")))
-        .when(handler == "check_status", F.format_string("Looked up ticket %s.", ticket))
+        .when(handler == "check_status", F.format_string("Ticket %s has this status: %s.", ticket, F.col("status_text")))
         .when(handler == "resolve_ticket", F.format_string("Ticket %s is now resolved.", ticket))
-        .when(handler == "submit_complaint", "Your complaint has been recorded.")
+        .when(handler == "submit_complaint", F.format_string("Your complaint has been recorded as ticket %s.", F.col("new_ticket_id")))
         .otherwise(FALLBACK)
     )
+    delegated = kind == "Delegate"
     response = action(
         kind,
         intent,
         message,
         slot=F.when(kind == "ElicitSlot", "ticket_id"),
-        state=F.when(kind == "Close", "Fulfilled").when(kind == "Delegate", F.col("sessionState.intent.state")),
+        state=F.when(broken, "Failed").when(kind == "Close", "Fulfilled").when(delegated, F.col("sessionState.intent.state")),
         slots=F.when(kind != "Close", slots),
-        attributes=F.when(kind == "Delegate", F.col("sessionState.sessionAttributes")),
-        request=F.when(kind == "Delegate", F.col("requestAttributes")),
+        offered=F.when(delegated, slots),
+        attributes=F.when(delegated, F.col("sessionState.sessionAttributes")),
+        request=F.when(delegated, F.col("requestAttributes")),
     )
     return (
         set_intent_word(events)

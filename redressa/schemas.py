@@ -35,7 +35,7 @@ DIALOG_EVENT = record(
 )
 DIALOG_ACTION = record(
     sessionState=record(
-        dialogAction=record(type=_S, slotToElicit=_S), intent=_INTENT, sessionAttributes=_ATTRIBUTES
+        dialogAction=record(type=_S, slotToElicit=_S, slots=SLOTS), intent=_INTENT, sessionAttributes=_ATTRIBUTES
     ),
     messages=T.ArrayType(record(contentType=_S, content=_S)),
     requestAttributes=_ATTRIBUTES,

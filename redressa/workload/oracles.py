@@ -375,23 +375,27 @@ _SQL = {
     "set_slot": "SELECT event_id, intent_word, ticket_id, CAST(2 AS INTEGER) AS n_slots FROM dialogs",
     "dialog_actions": """
         SELECT event_id,
-               CASE WHEN missing THEN 'ElicitSlot' WHEN NOT branch THEN 'Close'
+               CASE WHEN broken THEN 'Close' WHEN missing THEN 'ElicitSlot' WHEN NOT branch THEN 'Close'
                     WHEN intent_word IS NULL THEN 'ElicitIntent' ELSE 'Delegate' END AS type,
-               CASE WHEN missing THEN 'ticket_id' END AS slot_to_elicit,
+               CASE WHEN missing AND NOT broken THEN 'ticket_id' END AS slot_to_elicit,
                intent,
-               CASE WHEN missing THEN NULL WHEN NOT branch THEN 'Fulfilled' WHEN intent_word IS NOT NULL THEN 'InProgress' END AS state,
-               CASE WHEN missing OR branch THEN ticket_id END AS ticket_id,
+               CASE WHEN broken THEN 'Failed' WHEN missing THEN NULL WHEN NOT branch THEN 'Fulfilled'
+                    WHEN intent_word IS NOT NULL THEN 'InProgress' END AS state,
+               CASE WHEN (missing AND NOT broken) OR branch THEN ticket_id END AS ticket_id,
+               CASE WHEN branch AND intent_word IS NOT NULL THEN ticket_id END AS offered_ticket_id,
                CASE WHEN branch AND intent_word IS NOT NULL THEN 'en' END AS lang,
-               CASE WHEN missing THEN 'There is no such ticket. Please enter the id again.'
-                    WHEN intent = 'CheckComplaintStatus' THEN 'Looked up ticket ' || ticket_id || '.'
+               CASE WHEN broken THEN 'Your request could not be carried out. Please try again later.'
+                    WHEN missing THEN 'There is no such ticket. Please enter the id again.'
+                    WHEN intent = 'CheckComplaintStatus' THEN 'Ticket ' || ticket_id || ' has this status: ' || status_text || '.'
                     WHEN intent = 'ResolveComplaint' THEN 'Ticket ' || ticket_id || ' is now resolved.'
-                    WHEN intent = 'SubmitComplaint' THEN 'Your complaint has been recorded.'
+                    WHEN intent = 'SubmitComplaint' THEN 'Your complaint has been recorded as ticket c' || event_id || '.'
                     WHEN intent = 'OtherIntent' THEN 'I did not get that. Could you say it another way?'
                     WHEN intent_word IS NULL THEN 'Going on with WelcomeIntent.'
                     ELSE 'Going on with the choice ' || intent_word || '.' END AS content
-        FROM (SELECT d.*, intent = 'WelcomeIntent' AS branch,
-                     intent = 'ResolveComplaint' AND lower(d.ticket_id) NOT IN (SELECT ticket_id FROM store) AS missing
-              FROM dialogs d)""",
+        FROM (SELECT d.*, intent = 'WelcomeIntent' AS branch, intent = 'ResolveComplaint' AND s.ticket_id IS NULL AS missing,
+                     intent IN ('CheckComplaintStatus', 'ResolveComplaint', 'SubmitComplaint') AND d.user_id % 10 = 7 AS broken,
+                     CASE WHEN s.ticket_id IS NULL THEN 'Ticket not found' ELSE coalesce(s.status, 'No status available') END AS status_text
+              FROM dialogs d LEFT JOIN store s ON s.ticket_id = lower(d.ticket_id))""",
     "derive_reply": """
         SELECT conv_id, turn,
                CASE WHEN turn % 2 = 0 AND role = 'user' THEN text

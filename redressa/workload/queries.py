@@ -77,8 +77,7 @@ def requeue_failed(spark, folder):
 @registered
 def publish_json(spark, folder):
     bodies = queue.publish(views.complaints(spark, folder), keep=["doc_id"])
-    field = lambda name: F.get_json_object("body", f"$.{name}").alias(name)
-    return bodies.select("doc_id", *[field(name) for name in COMPLAINT.fieldNames()])
+    return queue.parse_complaints(bodies, keep=["doc_id"]).drop("raised_ts")
 
 
 @registered
@@ -402,8 +401,14 @@ def set_slot(spark, folder):
 def dialog_actions(spark, folder):
     events = views.dialog_events(spark, folder)
     asked = events.select("event_id", chat.slot_value(F.col("sessionState.intent.slots"), "ticket_id").alias("ticket_id"))
-    known = service.resolve_found(asked, views.store(spark, folder)).select("event_id", F.lit(True).alias("found"))
-    turns = events.join(known, "event_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    known = service.status_lookup(asked, views.store(spark, folder)).select(
+        "event_id", "status_text", (F.col("status_text") != service.NOT_FOUND).alias("found")
+    )
+    # Users whose number ends in seven find the store out of reach.
+    out_of_reach = chat.email_of_session(F.col("sessionId")).rlike("^user[0-9]*7@")
+    turns = events.join(known, "event_id").withColumns({
+        "new_ticket_id": F.concat(F.lit("c"), F.col("event_id").cast("string")), "failed": out_of_reach
+    })
     read_back = F.inline_outer(F.array(F.from_json(F.to_json("action"), DIALOG_ACTION)))
     state = F.col("sessionState")
     return dialog.dialog_actions(turns).select("event_id", read_back).select(
@@ -413,6 +418,7 @@ def dialog_actions(spark, folder):
         state["intent"]["name"].alias("intent"),
         state["intent"]["state"].alias("state"),
         chat.slot_value(state["intent"]["slots"], "ticket_id").alias("ticket_id"),
+        chat.slot_value(state["dialogAction"]["slots"], "ticket_id").alias("offered_ticket_id"),
         state["sessionAttributes"]["lang"].alias("lang"),
         F.get("messages", F.lit(0))["content"].alias("content"),
     )

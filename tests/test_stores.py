@@ -180,13 +180,19 @@ def test_slots(spark):
 
 
 def test_actions(spark):
-    names = ["CheckComplaintStatus", "ResolveComplaint", "ResolveComplaint", "SubmitComplaint", "WelcomeIntent", "WelcomeIntent", "Other"]
+    names = ["CheckComplaintStatus", "ResolveComplaint", "ResolveComplaint", "SubmitComplaint", "WelcomeIntent", "WelcomeIntent", "Other",
+             "SubmitComplaint"]
     frame = dialogs(spark, [event(n, {"ticket_id": slot("T1")}, str(i)) for i, n in enumerate(names)])
     frame = frame.withColumn("found", F.col("sessionId") != "2").withColumn(
         "answer", F.when(F.col("sessionId") == "4", "resolve_status").otherwise("no idea"))
+    frame = frame.withColumns({"status_text": F.lit("pending"), "new_ticket_id": F.lit("n1"), "failed": F.col("sessionId") == "7"})
     rows = {r.sessionId: r.action for r in dialog.dialog_actions(frame).select("sessionId", "action").collect()}
-    kinds = [rows[str(i)].sessionState.dialogAction.type for i in range(7)]
-    assert kinds == ["Close", "Close", "ElicitSlot", "Close", "Delegate", "ElicitIntent", "Close"]
+    kinds = [rows[str(i)].sessionState.dialogAction.type for i in range(8)]
+    assert kinds == ["Close", "Close", "ElicitSlot", "Close", "Delegate", "ElicitIntent", "Close", "Close"]
+    assert [rows[i].sessionState.intent.state for i in "037"] == ["Fulfilled", "Fulfilled", "Failed"]
+    said = [rows[i].messages[0].content for i in "03"]
+    assert said == ["Ticket T1 has this status: pending.", "Your complaint has been recorded as ticket n1."]
+    assert rows["4"].sessionState.dialogAction.slots["ticket_id"].value.interpretedValue == "T1"
     assert rows["4"].sessionState.intent.slots["intent_word"].value.interpretedValue == "resolve"
     assert rows["2"].sessionState.dialogAction.slotToElicit == "ticket_id" and rows["0"].sessionState.intent.slots is None
 
