@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,13 @@ from redressa.session import work_folder
 SAMPLE_STEPS = 1_000_000
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """Workers on this machine import the package from where the driver did; a cluster gets it by ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -49,8 +56,3 @@ def bounded_sample(rows: DataFrame, by: str, text: str, max_rows: int, max_bytes
     picked = F.broadcast(spark.createDataFrame(shares, f"`{by}` {kind}, _share long"))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(text)), F.lit(SAMPLE_STEPS))
     return rows.join(picked, by).filter(draw < F.col("_share")).drop("_share")
-
-
-def plain_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Only the columns an operator works on, so that others cannot clash with its own."""
-    return df.select(*names)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redressa.llm.common import written
-from redressa.operators.lookup import fits_broadcast
+from redressa.operators.lookup import fits_broadcast, lookup_join
 
 WINDOW = 10
 #: Everything below 128 but digits and a-z, after A-Z were folded.
@@ -91,6 +91,20 @@ def proximity_matches(postings: DataFrame, anchors: DataFrame) -> DataFrame:
     return found.select("_id", "_tag", "pos", "items")
 
 
+def occurrences(keyed: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """All exact occurrences of the items' windows in (_id, _tag, text); anchors, index and result are written."""
+    anchors = written(anchors_of(windows_of(items, size), keyed), "benchmark-anchors")
+    index = written(postings_of(keyed, anchors.select("term").distinct(), size), "benchmark-postings")
+    return written(phrase_matches(index, anchors), "benchmark-matches")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``docs`` without the documents that hold a window of a benchmark item."""
+    found = occurrences(_keyed(docs), items, size).select("_id", "_tag").distinct()
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_tag": F.xxhash64(F.col("doc_id").isNull(), "text")})
+    return lookup_join(keyed, found, ["_id", "_tag"], "left_anti").select(*docs.columns)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """What of each text is in a benchmark: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -99,11 +113,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     of one id count as one. n_items and items_sha256 (sorted as strings, joined by commas) tell which
     items have windows that occur.
     """
-    keyed = _keyed(docs)
-    anchors = written(anchors_of(windows_of(items, size), docs), "benchmark-anchors")
-    index = written(postings_of(keyed, anchors.select("term").distinct(), size), "benchmark-postings")
-    found = written(phrase_matches(index, anchors), "benchmark-matches")
-    key = ["_id", "_tag"]
+    keyed, key = _keyed(docs), ["_id", "_tag"]
+    found = occurrences(keyed, items, size)
     covered = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("word")
     hit = found.select(*key, covered).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n_hit"))
     which = found.select(*key, F.explode("items").alias("item")).distinct().groupBy(*key).agg(

@@ -44,39 +44,34 @@ def places_of(docs: DataFrame) -> DataFrame:
     return lines.select("_doc", "_tag", "line", "n", F.md5(F.rtrim("words")).alias("key")).dropDuplicates(PLACE)
 
 
-def _ranked(places: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """``places`` with rank: where, within ``by``, the places that share ``order`` begin in sorted order (from 1)."""
+def _ranked(places: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``places`` with _first and size: where, within ``by``, those that share ``order`` begin in sorted order (from 1), and how many."""
     placed = with_position(places, [*order, *PLACE], by, "_position")
-    first = placed.groupBy(*by, *order).agg(F.min("_position").alias("_first"))
-    return placed.join(first, [*by, *order]).select(*columns, "_first")
-
-
-def _shared(ranks: DataFrame) -> DataFrame:
-    return ranks.groupBy("rank").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("rank")
+    same = placed.groupBy(*by, *order).agg(F.min("_position").alias("_first"), F.count(F.lit(1)).alias("size"))
+    return placed.drop("_position").join(same, [*by, *order])
 
 
 def suffix_ranks(places: DataFrame) -> list[DataFrame]:
-    """Ranks by the first 1, 2, 4, ... lines, (_doc, _tag, line, rank) each, until no rank is split any more.
+    """Ranks by the first 1, 2, 4, ... lines: (_doc, _tag, line, rank, size) of every place, ``size`` places sharing the rank.
 
-    From the second on, places whose rank was already theirs alone are left out: it stays.
+    The last ranks are no further split by more lines; they are the suffix array.
     """
-    first = _ranked(places.select(*PLACE, "key"), [], ["key"], PLACE)
-    rounds = [written(first.withColumnRenamed("_first", "rank"), "line-ranks")]
-    full = rounds[0]  # the newest rank of every place
+    first = _ranked(places.select(*PLACE, "key"), [], ["key"]).select(*PLACE, F.col("_first").alias("rank"), "size")
+    rounds = [written(first, "line-ranks")]
     while True:
         step = 1 << (len(rounds) - 1)
-        open_places = rounds[-1].join(_shared(rounds[-1]), "rank")
-        ahead = full.select("_doc", "_tag", (F.col("line") - step).alias("line"), F.col("rank").alias("second"))
+        ahead = rounds[-1].select("_doc", "_tag", (F.col("line") - step).alias("line"), F.col("rank").alias("second"))
+        open_places = rounds[-1].filter("size > 1").select(*PLACE, "rank")
         pairs = open_places.join(ahead, PLACE, "left").withColumn("second", F.coalesce("second", F.lit(0)))
-        split = _ranked(pairs.select(*PLACE, "rank", "second"), ["rank"], ["second"], [*PLACE, "rank"])
-        refined = written(split.select(*PLACE, (F.col("rank") + F.col("_first") - 1).alias("rank"), F.col("rank").alias("_old")), "line-ranks")
-        if refined.filter("rank != _old").isEmpty():
-            return rounds
-        refined = refined.drop("_old")
-        rounds.append(refined)
-        full = written(full.join(refined.select(*PLACE, F.col("rank").alias("_new")), PLACE, "left").select(
-            *PLACE, F.coalesce("_new", "rank").alias("rank")
-        ), "line-suffixes")
+        split = _ranked(pairs, ["rank"], ["second"]).select(*PLACE, (F.col("rank") + F.col("_first") - 1).alias("rank"), "size")
+        rounds.append(written(split.unionByName(rounds[-1].filter("size = 1")), "line-ranks"))
+        if _classes(rounds[-1]) == _classes(rounds[-2]):
+            return rounds[:-1]
+
+
+def _classes(ranks: DataFrame) -> float:
+    """The number of distinct ranks."""
+    return round(ranks.agg(F.sum(1 / F.col("size"))).first()[0] or 0)
 
 
 def neighbours(places: DataFrame, rounds: list[DataFrame]) -> DataFrame:
@@ -84,11 +79,8 @@ def neighbours(places: DataFrame, rounds: list[DataFrame]) -> DataFrame:
 
     Only places that share their first line with another one; the first of those has no neighbour.
     """
-    newest = rounds[0].join(_shared(rounds[0]), "rank").select(*PLACE, "rank", F.col("rank").alias("start"))
-    for ranks in rounds[1:]:
-        later = ranks.select(*PLACE, F.col("rank").alias("_new"))
-        newest = newest.join(later, PLACE, "left").withColumn("rank", F.coalesce("_new", "rank")).drop("_new")
-    newest = newest.join(places.select(*PLACE, "n"), PLACE)
+    start = rounds[0].filter("size > 1").select(*PLACE, F.col("rank").alias("start"))
+    newest = start.join(rounds[-1].select(*PLACE, "rank"), PLACE).join(places.select(*PLACE, "n"), PLACE)
     array = written(with_position(newest, ["rank", *PLACE], ["start"], "at"), "line-array")
     before = array.select("start", (F.col("at") + 1).alias("at"), *[F.col(c).alias(f"{c}2") for c in [*PLACE, "n"]])
     pairs = array.join(before, ["start", "at"]).withColumn("lcp", F.lit(0)).select(*PLACE, "n", "_doc2", "_tag2", "line2", "n2", "lcp")
@@ -142,17 +134,11 @@ def remove_runs(docs: DataFrame, least: int = LEAST_LINES) -> DataFrame:
 def _first_lines(places: DataFrame, rounds: list[DataFrame], chosen: DataFrame, least: int) -> DataFrame:
     """``chosen`` with _run, the same for places whose first ``least`` lines are equal.
 
-    Two overlapping runs of a power of two cover them: their ranks, which for places that share their
-    lines to the end of the text are compared by the number of lines left as well.
+    Two overlapping runs of a power of two cover them, so their ranks tell.
     """
     k = least.bit_length() - 1
-    runs = chosen.select(*PLACE)
+    ranks, runs = rounds[min(k, len(rounds) - 1)], chosen.select(*PLACE)
     for name, ahead in (("_one", 0), ("_two", least - (1 << k))):
-        key = f"{name}_rank"
-        found = None
-        for ranks in rounds[: k + 1][::-1]:  # the newest rank up to this round
-            step = ranks.select("_doc", "_tag", (F.col("line") - ahead).alias("line"), F.col("rank").alias("_rank"))
-            runs = runs.join(step, PLACE, "left")
-            found = F.col("_rank") if found is None else F.coalesce(F.col(key), F.col("_rank"))
-            runs = runs.withColumn(key, found).drop("_rank")
-    return runs.withColumn("_run", F.struct("_one_rank", "_two_rank")).select(*PLACE, "_run")
+        moved = ranks.select("_doc", "_tag", (F.col("line") - ahead).alias("line"), F.col("rank").alias(name))
+        runs = runs.join(moved, PLACE)
+    return runs.select(*PLACE, F.struct("_one", "_two").alias("_run"))

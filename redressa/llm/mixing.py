@@ -7,7 +7,8 @@ only what all of them cannot use was never given to their parent. A leaf goes th
 seeded order, anew in every epoch, and takes whole documents while they fit its budget.
 
 No leaf is ordered as a whole: tokens are summed over bins of the order, the bin in which the budget
-ends is found from these sums, and only that bin's documents are put in order.
+ends is found from these sums, and only that bin's documents are put in order, to find the last one that
+fits. Every document is then compared with its leaf's last one where it is read; no text is shuffled.
 """
 
 from __future__ import annotations
@@ -91,13 +92,14 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str,
 def mix(
     docs: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, float]], share: float, epochs: int = 1, seed: int = 0
 ) -> DataFrame:
-    """How often each document is taken: ``docs`` (levels, doc_id, tag, n_tokens) with budget and copies.
+    """How often each document is taken: ``docs`` (levels, doc_id, tag, n_tokens, others) with budget and copies.
 
     ``tag`` tells rows of one id apart. A leaf's budget first buys whole epochs; in the next one the
     documents come in the order of md5(seed, epoch, doc_id), then id, length and tag, as long as the sum of
-    their tokens stays within the rest. Documents without tokens cost nothing and come with their epoch's prefix.
+    their tokens stays within the rest. The columns named others are only carried along; the plan reads the rest.
     """
-    leaves = written(docs.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "mix-leaves")
+    narrow = docs.select(*levels, "doc_id", "tag", "n_tokens")
+    leaves = written(narrow.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "mix-leaves")
     budgets = leaf_budgets(leaves, levels, weights, share, epochs)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0))
     plan = (
@@ -106,22 +108,33 @@ def mix(
         .withColumn("_bins", F.ceil(F.col("n") / BIN))
     )
     plan = written(plan.select(*levels, "budget", "_whole", "_rest", "_bins"), "mix-plan")
-    place = F.md5(F.concat_ws(":", F.lit(seed), F.col("_whole"), F.col("doc_id")))
-    drawn = lookup_join(docs, plan, list(levels), "inner").withColumn("_place", place)
-    head = F.conv(F.substring("_place", 1, BIN_BITS // 4), 16, 10).cast("long")
-    binned = written(drawn.withColumn("_bin", F.floor(head * F.col("_bins") / F.lit(1 << BIN_BITS))), "mix-drawn")
-    upto = Window.partitionBy(*levels).orderBy("_bin")
-    bins = binned.groupBy(*levels, "_bin").agg(F.sum("n_tokens").alias("_in_bin"))
-    bins = written(bins.withColumn("_before", F.sum("_in_bin").over(upto) - F.col("_in_bin")), "mix-bins")
-    placed = lookup_join(binned, bins, [*levels, "_bin"], "inner")
-    # Bins that end within the rest are taken whole, those that begin beyond it not at all.
-    inside = F.col("_before") + F.col("_in_bin") <= F.col("_rest")
-    cut = ~inside & (F.col("_before") <= F.col("_rest"))
-    order = Window.partitionBy(*levels).orderBy("_place", "doc_id", "n_tokens", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = placed.filter(cut).withColumn("_taken", F.col("_before") + F.sum("n_tokens").over(order) <= F.col("_rest"))
-    rest = placed.filter(~cut).withColumn("_taken", inside)
-    copies = F.col("_whole") + F.when(F.col("_taken") & (F.col("_whole") < epochs), 1).otherwise(0)
-    return edge.unionByName(rest).select(*docs.columns, "budget", copies.cast("long").alias("copies"))
+
+    def drawn(rows: DataFrame, plan: DataFrame) -> DataFrame:
+        """Rows with their leaf's plan, their place in the order, and their bin."""
+        place = F.md5(F.concat_ws(":", F.lit(seed), F.col("_whole"), F.col("doc_id")))
+        placed = lookup_join(rows, plan, list(levels), "inner").withColumn("_place", place)
+        head = F.conv(F.substring("_place", 1, BIN_BITS // 4), 16, 10).cast("long")
+        order = F.struct("_place", "doc_id", "n_tokens", "tag")
+        return placed.withColumns({"_bin": F.floor(head * F.col("_bins") / F.lit(1 << BIN_BITS)), "_order": order})
+
+    binned = written(drawn(narrow, plan).select(*levels, "n_tokens", "_rest", "_bin", "_order"), "mix-drawn")
+    bins = binned.groupBy(*levels, "_bin", "_rest").agg(F.sum("n_tokens").alias("_in_bin"))
+    upto = F.sum("_in_bin").over(Window.partitionBy(*levels).orderBy("_bin"))
+    beyond = bins.withColumn("_upto", upto).filter(F.col("_upto") > F.col("_rest"))
+    # The first bin that does not fit as a whole; none if the leaf's documents all fit.
+    cut = beyond.groupBy(*levels).agg(F.min(F.struct("_bin", (F.col("_upto") - F.col("_in_bin")).alias("before"))).alias("cut"))
+    cut = written(cut.select(*levels, F.col("cut._bin").alias("_cut"), F.col("cut.before").alias("_before")), "mix-cut")
+    edge = lookup_join(binned, cut, list(levels), "inner").filter(F.col("_bin") == F.col("_cut"))
+    order = Window.partitionBy(*levels).orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = edge.withColumn("_sum", F.col("_before") + F.sum("n_tokens").over(order)).filter(F.col("_sum") <= F.col("_rest"))
+    last = taken.groupBy(*levels).agg(F.max("_order").alias("_last"))
+    ends = plan.join(cut, list(levels), "left").join(last, list(levels), "left")
+    ends = written(ends.select(*levels, "budget", "_whole", "_bins", "_cut", "_last"), "mix-ends")
+    all_rows = drawn(docs, ends)
+    first = F.col("_cut").isNull() | (F.col("_bin") < F.col("_cut"))
+    fits = first | ((F.col("_bin") == F.col("_cut")) & F.coalesce(F.col("_order") <= F.col("_last"), F.lit(False)))
+    copies = F.col("_whole") + F.when(fits & (F.col("_whole") < epochs), 1).otherwise(0)
+    return all_rows.select(*docs.columns, "budget", copies.cast("long").alias("copies"))
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -130,3 +143,13 @@ def described(docs: DataFrame) -> DataFrame:
         "doc_id", F.xxhash64("text").alias("tag"), domain_of(F.col("source")).alias("domain"), level_of(F.col("lang")).alias("lang"),
         level_of(F.col("source")).alias("source"), count_words(F.col("text")).alias("n_tokens"),
     )
+
+
+def mixed(docs: DataFrame, weights: Mapping[str, Mapping[str, float]], share: float, seed: int = 0) -> DataFrame:
+    """The documents of one epoch that fit the budgets of the domain-language-source tree, with their own columns only."""
+    levels = {
+        "_domain": domain_of(F.col("source")), "_lang": level_of(F.col("lang")), "_source": level_of(F.col("source")),
+    }
+    known = {f"_{level}": values for level, values in weights.items()}
+    rows = docs.withColumns({**levels, "tag": F.xxhash64("text"), "n_tokens": count_words(F.col("text"))})
+    return mix(rows, list(levels), known, share, seed=seed).filter("copies > 0").select(*docs.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redressa.llm import context_tree, decontaminate, embedding_join, language, line_runs, mixing, near_duplicates, substrings, token_files, toxicity
-from redressa.llm.common import table
+from redressa.llm.common import shipped, table
 from redressa.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +19,7 @@ ORACLES: dict[str, str] = {}
 
 def registered(query: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return query(prepare(spark), folder)
+        return query(shipped(prepare(spark)), folder)
 
     QUERIES[query.__name__] = run
     return query
@@ -67,7 +67,7 @@ LEFT JOIN (SELECT src, min(dst) AS root FROM reach GROUP BY src) c ON c.src = e.
 
 @registered
 def op5_near_duplicates(spark, folder):
-    return near_duplicates.near_duplicates(table(spark, folder, "documents"), words=3, share=85)
+    return near_duplicates.near_duplicates(table(spark, folder, "documents"), words=3, share=85).drop("tag")
 
 
 ORACLES["op5_near_duplicates"] = r"""
