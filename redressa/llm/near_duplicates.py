@@ -3,9 +3,10 @@
 Bands of full minima give candidate groups. Of every minimum the lowest bits are packed into a short
 signature, and the count of differing positions, corrected for chance agreement, estimates the
 similarity of a candidate pair; pairs safely below the threshold end there. The rest is decided on the
-whole sets. Equal sets are one class from the start. A group is not expanded into pairs: its members are
-compared with a leader, whoever then is in one component needs no further comparison, and what is left
-of a group after a few leaders is compared in blocks that return links only as far as they join something new.
+whole sets. Equal sets are one class from the start. Only groups of a few are expanded into pairs. The members of
+a larger one are compared with a leader, the one that shares most groups with others and so is nearest to
+all. Texts found linked to the same one need not be compared with each other; the others of a leader's
+groups are, in blocks that return links only as far as they join something new.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ HASHES = BANDS * BAND_ROWS
 PLANES = HASHES // 64 * LOW_BITS
 #: A pair is dropped on its estimate only so far below the threshold; six standard errors.
 MARGIN = 0.2
-#: Rounds with leaders before blocks, and the side of a block.
-LEADER_ROUNDS, BLOCK = 3, 256
+#: Groups of at most so many are expanded; the side of a block, and the sets a term may be in to be counted pair by pair.
+FEW, BLOCK, PAIRED = 8, 512, 6
 _RANDOM = np.random.default_rng(20240229)
 _XOR = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _MUL = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -86,9 +87,9 @@ def _describe(size: int):
                     for i, s, k in zip(full, signatures(least).view(np.int64), band_keys(least).view(np.int64)):
                         ids[i], planes[i], keys[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), s, k
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids, pa.binary()),
+                    [rows.column("doc_id"), rows.column("tag"), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids, pa.binary()),
                      pa.array(planes, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "set_id", "planes", "bands"],
+                    names=["doc_id", "tag", "n_shingles", "set_id", "planes", "bands"],
                 )
 
     return run
@@ -122,35 +123,73 @@ def _confirm(share: int, of: int):
     return run
 
 
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections: terms of few sets pair by pair, the others as a product of 0-1 matrices."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, term, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(term, kind="stable")
+    owner, first = owner[order], np.cumsum(times) - times
+    both = np.zeros(n * n)
+    for k in range(2, PAIRED + 1):
+        start = first[times == k]
+        for x in range(k):
+            for y in range(k):
+                both += np.bincount(owner[start + x] * n + owner[start + y], minlength=n * n) if len(start) else 0
+    both = both.reshape(n, n)
+    common = np.flatnonzero(times > PAIRED)
+    for lo in range(0, len(common), 4096):
+        some = common[lo : lo + 4096]
+        held = np.zeros((n, len(some)), np.float32)
+        column = np.repeat(np.arange(len(some)), times[some])
+        within = np.arange(len(column)) - np.repeat(np.cumsum(times[some]) - times[some], times[some])
+        held[owner[np.repeat(first[some], times[some]) + within], column] = 1
+        both += held @ held.T
+    return both
+
+
 def _block_links(share: int, of: int):
     def run(block: pa.Table) -> pa.Table:
-        """All pairs of a block on whole sets, as products of 0-1 matrices; the links that join its components."""
-        node, comp = block["node"].to_numpy(), block["comp"].to_numpy()
+        """All pairs of a block on whole sets; the links that join its components."""
+        node, label = block["node"].to_numpy(), block["label"].to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block["shingles"].combine_chunks()]
-        sizes = np.array([len(x) for x in sets])
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        _, term, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = times[term] > 1
-        owner, (_, term) = owner[shared], np.unique(term[shared], return_inverse=True)
-        both = np.zeros((len(sets), len(sets)))
-        for lo in range(0, int(term.max(initial=-1)) + 1, 4096):
-            part = (term >= lo) & (term < lo + 4096)
-            held = np.zeros((len(sets), 4096), np.float32)
-            held[owner[part], term[part] - lo] = 1
-            both += held @ held.T
+        both, sizes = _shared_counts(sets), np.array([len(x) for x in sets])
         linked = of * both >= share * (sizes[:, None] + sizes[None, :] - both)
         a, b = np.nonzero(np.triu(linked, 1))
-        _, known = np.unique(comp, return_inverse=True)
-        first = np.full(known.max(initial=0) + 1, len(sets))
-        np.minimum.at(first, known, np.arange(len(sets)))
-        tied = first[known]
-        root = local_components(len(sets), np.concatenate([a, np.arange(len(sets))]), np.concatenate([b, tied]))
-        new = np.flatnonzero(root != np.arange(len(sets)))
-        return pa.table({"a": node[new], "b": node[root[new]]}) if len(a) else pa.table({"a": node[:0], "b": node[:0]})
+        _, first, known = np.unique(label, return_index=True, return_inverse=True)
+        apart = known[a] != known[b]
+        a, b = a[apart], b[apart]  # what has one label is joined already
+        root = local_components(len(sets), np.concatenate([a, np.arange(len(sets))]), np.concatenate([b, first[known]]))
+        new = np.flatnonzero(root != np.arange(len(sets))) if len(a) else np.zeros(0, np.int64)
+        return pa.table({"a": node[new], "b": node[root[new]]})
 
     return run
 
 
+def _blocks(live: DataFrame) -> DataFrame:
+    """(grp, kind, i, j, node, label): the blocks in which a node meets others of its group.
+
+    ``main`` marks the texts that go with the leader. They need not meet each other: blocks hold a part of
+    the rest and a part of the main ones (kind 0), or two parts of the rest (kind 1).
+    """
+    sizes = live.groupBy("grp").agg(
+        F.ceil(F.sum((~F.col("main")).cast("int")) / BLOCK).cast("long").alias("rest_parts"),
+        F.ceil(F.sum(F.col("main").cast("int")) / BLOCK).cast("long").alias("main_parts"),
+    )
+    rows = live.join(sizes, "grp").filter("rest_parts > 0")
+    own = F.pmod(F.xxhash64("node", F.lit(5)), F.when(F.col("main"), F.col("main_parts")).otherwise(F.col("rest_parts")))
+    zero = F.lit(0).cast("long")
+    place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    rest, main = F.sequence(zero, F.col("rest_parts") - 1), F.sequence(zero, F.col("main_parts") - 1)
+    of_main = F.transform(rest, lambda i: place(0, i, F.col("own")))
+    of_rest = F.concat(
+        F.transform(main, lambda j: place(0, F.col("own"), j)),
+        F.transform(rest, lambda j: place(1, F.least("own", j), F.greatest("own", j))),
+    )
+    placed = rows.withColumn("own", own).withColumn("at", F.explode(F.when(F.col("main"), of_main).otherwise(of_rest)))
+    return placed.select("grp", "at.*", "node", "label")
+
+
 def _estimate(a: str, b: str) -> F.Column:
     """Similarity from the agreement of low bits: agreement by chance is 2**-LOW_BITS."""
     apart = F.lit(0)
@@ -164,14 +203,16 @@ def _estimate(a: str, b: str) -> F.Column:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, of: int = 100) -> DataFrame:
-    """Components of texts linked when ``of * intersection >= share * union``: doc_id, n_shingles, component_id, kept.
+    """Components of texts linked when ``of * intersection >= share * union``.
+
+    Result: doc_id, n_shingles, component_id, kept, tag (a hash of the text).
 
     Words are runs of bytes other than space and 9 to 13, A-Z folded. Null, empty and blank texts have no
     shingles and link with nothing. Every row is a document; rows of one id and text are copies of each
     other. A row without id takes part and is kept only if nothing it is linked with has an id.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kinds = "doc_id long, n_shingles long, set_id binary, planes array<long>, bands array<long>"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
+    kinds = "doc_id long, tag long, n_shingles long, set_id binary, planes array<long>, bands array<long>"
     described = written(rows.mapInArrow(_describe(words), kinds), "shingle-signatures")
     classes = described.filter("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"),
@@ -179,10 +220,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, of: int =
     )
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-classes")
     banded = classes.select("node", F.explode("bands").alias("key"))
-    crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = written(banded.join(crowded, "key"), "shingle-groups")
-    nodes = groups.select("node").distinct()
-    candidates = written(classes.join(nodes, "node").select("node", "rep", "set_id", "n", "planes"), "shingle-candidates")
+    central = groups.groupBy("node").agg(F.sum("n").alias("central"))
+    candidates = written(classes.join(central, "node").select("node", "rep", "set_id", "n", "planes", "central"), "shingle-candidates")
     texts = rows.join(candidates.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     found = texts.unionByName(rows.filter("doc_id is null")).mapInArrow(_sets(words), "doc_id long, set_id binary, shingles binary")
     sets = written(
@@ -199,44 +240,62 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, of: int =
         both = near.join(whole("a"), "a").join(whole("b"), "b")
         return both.mapInArrow(_confirm(share, of), "a long, b long")
 
-    def with_component(table: DataFrame, roots: DataFrame | None) -> DataFrame:
-        if roots is None:
-            return table.withColumn("comp", F.col("node"))
-        return table.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-
-    links, roots = None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        # Groups whose members are all of one component are done with.
-        open_groups = with_component(groups, roots)
-        several = open_groups.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        live = written(open_groups.join(several.select("key"), "key"), "shingle-live")
-        if live.isEmpty():
-            break
-        if turn < LEADER_ROUNDS:
-            leaders = live.groupBy("key").agg(F.min("node").alias("a"))
-            led = live.join(leaders, "key")
-            leader_comp = live.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")).distinct()
-            pairs = led.filter("node != a").select("a", F.col("node").alias("b"), "comp").distinct()
-            pairs = pairs.join(leader_comp, "a").filter("comp != comp_a").select("a", "b")
-            new = written(links_of(pairs), "shingle-links")
-            groups = led.filter("node != a").select("key", "node")
-        else:
-            sizes = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-            part = live.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")))
-            every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-            spread = part.withColumn("other", F.explode(every)).select(
-                "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp"
-            )
-            new = spread.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_block_links(share, of), "a long, b long")
-        links = new if links is None else links.unionByName(new)
-        links = written(links.distinct(), "shingle-links")
-        roots = written(components(links).select(F.col("node"), F.col("root")), "shingle-roots")
-
-    named = with_component(classes.select("node", "rep", "set_id"), roots)
+    def central_first(pairs: DataFrame) -> DataFrame:
+        """Each pair once, the more central text as ``a``."""
+        order = candidates.select("node", F.struct("central", "node").alias("at"))
+        both = pairs.filter("a != b").join(order.withColumnsRenamed({"node": "a", "at": "at_a"}), "a").join(
+            order.withColumnsRenamed({"node": "b", "at": "at_b"}), "b"
+        )
+        low, high = F.least("at_a", "at_b"), F.greatest("at_a", "at_b")
+        return both.select(high["node"].alias("a"), low["node"].alias("b"))
+
+    def labelled(table: DataFrame, links: DataFrame) -> DataFrame:
+        """``table`` with the most central text that its node, or the one it is linked to, is linked to."""
+        named = links.join(candidates.select(F.col("node").alias("a"), "central"), "a")
+        label = named.groupBy("b").agg(F.max(F.struct("central", "a")).alias("top")).select("b", F.col("top.a").alias("label"))
+        label = written(label, "shingle-labels")
+        above = label.select(F.col("b").alias("label"), F.col("label").alias("above"))
+        jumped = label.join(above, "label", "left").select(F.col("b").alias("node"), F.coalesce("above", "label").alias("label"))
+        return table.join(jumped, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    few = groups.filter(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("node").alias("m"))  # at most FEW
+    every = F.flatten(F.transform("m", lambda x: F.transform("m", lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = few.select(F.explode(every).alias("p")).select("p.*")
+    large = groups.filter(F.col("n") > FEW).select("key", "node").join(candidates.select("node", "central"), "node")
+    leaders = large.groupBy("key").agg(F.max(F.struct("central", "node")).alias("top")).select("key", F.col("top.node").alias("a"))
+    led = written(large.join(leaders, "key").select("key", "a", "node"), "shingle-led")
+    found = led.select("a", F.col("node").alias("b")).distinct().unionByName(pairs)
+    links = written(links_of(central_first(found).distinct()), "shingle-links")
+    after = written(labelled(led, links), "shingle-labelled")
+    # Groups whose members all go with one text are done with; those of one leader are one group from here on.
+    several = after.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    live = after.join(several.select("key"), "key").groupBy(F.col("a").alias("grp"), "node").agg(F.max("label").alias("label"))
+    own = live.filter("node = grp").select("grp", F.col("label").alias("main"))
+    live = written(live.join(own, "grp").withColumn("main", F.col("label") == F.col("main")), "shingle-live")
+    if not live.isEmpty():
+        blocks = _blocks(live).join(sets, "node").groupBy("grp", "kind", "i", "j")
+        links = links.unionByName(blocks.applyInArrow(_block_links(share, of), "a long, b long"))
+    roots = components(links)
+
+    named = classes.select("node", "rep", "set_id").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     lowest = named.groupBy("comp").agg(F.min("rep").alias("component"))
     known = named.join(lowest, "comp").select("set_id", "component")
     component = F.coalesce("component", "doc_id")
-    return described.select("doc_id", "n_shingles", "set_id").join(known, "set_id", "left").select(
+    return described.select("doc_id", "tag", "n_shingles", "set_id").join(known, "set_id", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
+        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "tag",
     )
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, of: int = 100) -> DataFrame:
+    """One document of each component of :func:`near_duplicates`, the one with the smallest id; one of equal rows.
+
+    Documents without id stay if nothing they are linked with has an id, one for each text.
+    """
+    found = near_duplicates(docs, words, share, of).filter("kept")
+    key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no_id")]
+    kept = written(found.groupBy(*key, F.col("tag").alias("_tag")).agg(F.count(F.lit(1)).alias("_rows")), "near-kept")
+    rows = docs.select(*docs.columns, *key, F.xxhash64("text").alias("_tag")).join(kept, ["_id", "_no_id", "_tag"])
+    if not kept.filter("_rows > 1").isEmpty():
+        rows = rows.filter("_rows = 1").unionByName(rows.filter("_rows > 1").dropDuplicates(["_id", "_no_id", "_tag"]))
+    return rows.select(*docs.columns)

@@ -59,12 +59,12 @@ def rows(small_docs):
     return [(d, t) for d, t, _ in small_docs] + made
 
 
-@pytest.mark.parametrize("k, share, rounds, block", [(3, 85, 3, 256), (5, 80, 3, 256), (3, 85, 0, 8), (3, 85, 1, 256)])
-def test_same_as_every_pair(spark, rows, monkeypatch, k, share, rounds, block):
-    monkeypatch.setattr(nd, "LEADER_ROUNDS", rounds)
+@pytest.mark.parametrize("k, share, block, few", [(3, 85, 512, 8), (5, 80, 16, 2), (3, 85, 8, 1), (2, 70, 512, 1)])
+def test_same_as_every_pair(spark, rows, monkeypatch, k, share, block, few):
+    monkeypatch.setattr(nd, "FEW", few)
     monkeypatch.setattr(nd, "BLOCK", block)
     frame = spark.createDataFrame([(*r, 1, True) for r in rows], "doc_id long, text string, node int, kept boolean").repartition(3)
-    got = sorted((tuple(r) for r in nd.near_duplicates(frame, words=k, share=share).collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in nd.near_duplicates(frame, words=k, share=share).collect()), key=str)
     assert got == brute(rows, k, share, 100)
 
 
@@ -82,6 +82,14 @@ def test_estimate_follows_the_similarity(spark):
         assert abs(np.mean(values) - overlap) < 0.03 and min(values) > overlap - nd.MARGIN
 
 
+def test_shared_counts():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50), dtype=np.uint64)) for _ in range(40)]
+    sets += [np.unique(rng.integers(0, 10_000, 300, dtype=np.uint64)) for _ in range(5)]
+    want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    assert (nd._shared_counts(sets)[~np.eye(len(sets), dtype=bool)] == np.array(want)[~np.eye(len(sets), dtype=bool)]).all()
+
+
 def test_sets_are_exact():
     text = "The cat sat on the cat sat on the mat"
     for k in (1, 3, 5, 50):

@@ -1,0 +1,20 @@
+"""The registered queries against their SQL, and what is registered."""
+
+import re
+
+import pytest
+from cases import SMALL
+from compare import connect, difference
+
+from __spark_entry__ import oracle_sql, queries
+from redressa.llm.queries import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_same_as_sql(spark, name):
+    assert difference(QUERIES[name](spark, SMALL), connect(SMALL), ORACLES[name]) is None
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 11))
+    assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLES) <= set(oracle_sql())
