@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redressa.operators.lookup import lookup_join
+from redressa.operators.lookup import fits_broadcast
 from redressa.session import materialized
 
 _LOCAL_INDEX_BITS = 33  # monotonically_increasing_id keeps the row index in its lower 33 bits
@@ -41,8 +41,9 @@ def with_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), n
         .withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1)
         .select("_group", "_slice", "_shift")
     )
+    # No key is hot here: a group's rows in one slice are at most what one task has sorted.
     return (
-        lookup_join(numbered, starts, ["_group", "_slice"], "inner")
+        numbered.join(F.broadcast(starts) if fits_broadcast(starts) else starts, ["_group", "_slice"])
         .withColumn(name, (F.col("_index") + F.col("_shift")).cast("long"))
         .drop("_group", "_slice", "_index", "_shift")
     )
