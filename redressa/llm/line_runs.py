@@ -20,6 +20,8 @@ from redressa.llm.common import written
 from redressa.operators.ordering import with_position
 
 LEAST_LINES = 2
+#: Rounds whose prefixes are read off in one job.
+LEVELS = 3
 #: A place: its text, and the number of the line in it.
 PLACE = ["_doc", "_tag", "line"]
 
@@ -58,6 +60,7 @@ def suffix_ranks(places: DataFrame) -> list[DataFrame]:
     """
     first = _ranked(places.select(*PLACE, "key"), [], ["key"]).select(*PLACE, F.col("_first").alias("rank"), "size")
     rounds = [written(first, "line-ranks")]
+    before = _classes(rounds[0])
     while True:
         step = 1 << (len(rounds) - 1)
         ahead = rounds[-1].select("_doc", "_tag", (F.col("line") - step).alias("line"), F.col("rank").alias("second"))
@@ -65,8 +68,10 @@ def suffix_ranks(places: DataFrame) -> list[DataFrame]:
         pairs = open_places.join(ahead, PLACE, "left").withColumn("second", F.coalesce("second", F.lit(0)))
         split = _ranked(pairs, ["rank"], ["second"]).select(*PLACE, (F.col("rank") + F.col("_first") - 1).alias("rank"), "size")
         rounds.append(written(split.unionByName(rounds[-1].filter("size = 1")), "line-ranks"))
-        if _classes(rounds[-1]) == _classes(rounds[-2]):
+        now = _classes(rounds[-1])
+        if now == before:
             return rounds[:-1]
+        before = now
 
 
 def _classes(ranks: DataFrame) -> float:
@@ -91,7 +96,9 @@ def neighbours(places: DataFrame, rounds: list[DataFrame]) -> DataFrame:
         same = moved.join(one, ["_doc", "_tag", "_at"], "left").join(two, ["_doc2", "_tag2", "_at2"], "left")
         left = F.least(F.col("n") - F.col("line"), F.col("n2") - F.col("line2"))
         grown = F.when(F.col("_r1") == F.col("_r2"), F.least(F.col("lcp") + (1 << k), left)).otherwise(F.col("lcp"))
-        pairs = written(same.withColumn("lcp", grown).drop("_at", "_at2", "_r1", "_r2"), "line-prefixes")
+        pairs = same.withColumn("lcp", grown).drop("_at", "_at2", "_r1", "_r2")
+        if k % LEVELS == 0:  # a plan of all levels would be long, a table for each one wasteful
+            pairs = written(pairs, "line-prefixes")
     return pairs
 
 
