@@ -224,7 +224,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, of: int =
     groups = written(banded.join(crowded, "key"), "shingle-groups")
     central = groups.groupBy("node").agg(F.sum("n").alias("central"))
     candidates = written(classes.join(central, "node").select("node", "rep", "set_id", "n", "planes", "central"), "shingle-candidates")
-    texts = rows.join(candidates.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # Always by a shuffle: the ids grow with the texts, so a small input should not be planned differently.
+    wanted = candidates.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    texts = rows.join(wanted, "doc_id", "left_semi")
     found = texts.unionByName(rows.filter("doc_id is null")).mapInArrow(_sets(words), "doc_id long, set_id binary, shingles binary")
     sets = written(
         found.join(candidates.select("node", "set_id"), "set_id").groupBy("node").agg(F.any_value("shingles").alias("shingles")),
