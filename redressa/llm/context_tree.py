@@ -176,20 +176,25 @@ def _pack(kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterat
         )
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _summed(*[np.concatenate(x) for x in zip(*parts)])
+
+
 def _count(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {k: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k in (WORD, GRAM)}
+        held: dict[int, list] = {WORD: [], GRAM: []}
         for batch in batches:
             for rows in row_groups(batch, limit=SLICE):
                 words = words_of(rows.column("text"), lower=True)
                 for kind, keys in ((WORD, tokens(words)[0]), (GRAM, serial(words)[0])):
-                    keys, counts = np.unique(keys, return_counts=True)
-                    held[kind] = _summed(np.concatenate([held[kind][0], keys]), np.concatenate([held[kind][1], counts]))
-                    if len(held[kind][0]) > HELD:
-                        yield from _pack(kind, *held[kind], parts)
-                        held[kind] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for kind, (keys, counts) in held.items():
-            yield from _pack(kind, keys, counts, parts)
+                    held[kind].append(np.unique(keys, return_counts=True))
+                    if sum(len(k) for k, _ in held[kind]) > HELD:
+                        held[kind] = [_merged(held[kind])]
+                        if len(held[kind][0][0]) > HELD // 2:
+                            yield from _pack(kind, *held[kind].pop(), parts)
+        for kind, found in held.items():
+            if found:
+                yield from _pack(kind, *_merged(found), parts)
 
     return run
 
@@ -302,27 +307,31 @@ def _answer(top):
 
 def _score(parts: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = _ordered(docs)
-        keys, value = _distinct(rows), {}
+        slices = []
+        for part in row_groups(_ordered(docs), limit=SLICE):
+            words = words_of(part.column("text"), lower=True)
+            found = {WORD: tokens(words), GRAM: serial(words)}
+            # Distinct keys, where each key of the texts is among them, and how many each text has.
+            placed = {k: (*np.unique(keys, return_inverse=True), sizes) for k, (keys, sizes) in found.items()}
+            slices.append((part, {k: (own, back.astype(np.int32), sizes) for k, (own, back, sizes) in placed.items()}))
         came = {(k, b): v for k, b, v in zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["value"])}
+        keys, value = {}, {}
         for kind, number in ((WORD, np.int64), (GRAM, np.float64)):
+            keys[kind] = np.unique(np.concatenate([s[kind][0] for _, s in slices]))
             value[kind] = np.zeros(len(keys[kind]), number)
             for bucket, at in _runs(kind, keys[kind], parts):
                 value[kind][at] = np.frombuffer(came[kind, bucket].as_buffer(), number)
         out = []
-        for part in row_groups(rows, limit=SLICE):
-            words = words_of(part.column("text"), lower=True)
+        for part, found in slices:
             n = len(part)
-            token, counts = tokens(words)
-            doc = np.repeat(np.arange(n), counts)
-            seen = value[WORD][np.searchsorted(keys[WORD], token)]
-            gram, size = serial(words)
-            own, back = np.unique(gram, return_inverse=True)
-            chance = value[GRAM][np.searchsorted(keys[GRAM], own)][back]
+            each = {k: value[k][np.searchsorted(keys[k], own)][back] for k, (own, back, _) in found.items()}
+            text = {k: np.repeat(np.arange(n), sizes) for k, (_, _, sizes) in found.items()}
+            seen = each[WORD]
             out.append(pa.RecordBatch.from_arrays([
-                part.column("doc_id"), part.column("held_out"), pa.array(counts, pa.int64()),
-                pa.array(np.bincount(doc, seen > 0, n).astype(np.int64)), pa.array(np.bincount(doc, np.log10(seen + 0.1), n)),
-                pa.array(np.bincount(np.repeat(np.arange(n), size), chance, n)), pa.array(size),
+                part.column("doc_id"), part.column("held_out"), pa.array(found[WORD][2], pa.int64()),
+                pa.array(np.bincount(text[WORD], seen > 0, n).astype(np.int64)),
+                pa.array(np.bincount(text[WORD], np.log10(seen + 0.1), n)),
+                pa.array(np.bincount(text[GRAM], each[GRAM], n)), pa.array(found[GRAM][2], pa.int64()),
             ], names=["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "score", "n_bytes"]))
         return pa.Table.from_batches(out)
 
