@@ -214,7 +214,7 @@ EVENTS = ["submit", "delegate", "advance", "resolve", None]
 
 @pytest.mark.parametrize("max_rows", [0, lookup.BROADCAST_ROWS])
 def test_lifecycle_is_the_fold(spark, monkeypatch, max_rows):
-    monkeypatch.setattr(lookup.lookup_join, "__defaults__", ("left", max_rows))
+    monkeypatch.setattr(lookup.lookup_join, "__defaults__", ("left", max_rows, False))
     draw = random.Random(11)
     log = [(f"k{draw.randrange(400)}" if i % 3 else "hot", i, draw.choices(EVENTS, [1, 3, 3, 1, 1])[0]) for i in range(6000)]
     first, second = {}, {}
