@@ -6,7 +6,8 @@ by k lines and that of the place k lines on; a rank is the position in the suffi
 places that share it begin. Places whose rank is theirs alone are settled and take no further part, and
 a rank shared by very many places is sorted over many tasks. Suffixes end with their text.
 
-The longest common prefix of neighbours in the array is read off the ranks of all rounds, longest first.
+The longest common prefix of neighbours in the array is what is left of their texts if they share the last
+rank; otherwise it is read off the ranks of the rounds before, longest first.
 Stretches of neighbours that share at least ``least`` lines are the repeated runs; all but the first copy,
 in the order of documents, are deleted. Overlapping and adjoining runs come out as one maximal run.
 """
@@ -87,14 +88,16 @@ def neighbours(places: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     start = rounds[0].filter("size > 1").select(*PLACE, F.col("rank").alias("start"))
     newest = start.join(rounds[-1].select(*PLACE, "rank"), PLACE).join(places.select(*PLACE, "n"), PLACE)
     array = written(with_position(newest, ["rank", *PLACE], ["start"], "at"), "line-array")
-    before = array.select("start", (F.col("at") + 1).alias("at"), *[F.col(c).alias(f"{c}2") for c in [*PLACE, "n"]])
-    pairs = array.join(before, ["start", "at"]).withColumn("lcp", F.lit(0)).select(*PLACE, "n", "_doc2", "_tag2", "line2", "n2", "lcp")
-    for k in range(len(rounds) - 1, -1, -1):
+    before = array.select("start", (F.col("at") + 1).alias("at"), *[F.col(c).alias(f"{c}2") for c in [*PLACE, "n", "rank"]])
+    left = F.least(F.col("n") - F.col("line"), F.col("n2") - F.col("line2"))
+    # More lines do not split the last ranks: suffixes that share one are equal to the end, however long they are.
+    equal = F.when(F.col("rank") == F.col("rank2"), left).otherwise(0)
+    pairs = array.join(before, ["start", "at"]).withColumn("lcp", equal).select(*PLACE, "n", "_doc2", "_tag2", "line2", "n2", "lcp")
+    for k in range(len(rounds) - 2, -1, -1):
         one = rounds[k].select("_doc", "_tag", F.col("line").alias("_at"), F.col("rank").alias("_r1"))
         two = rounds[k].select(F.col("_doc").alias("_doc2"), F.col("_tag").alias("_tag2"), F.col("line").alias("_at2"), F.col("rank").alias("_r2"))
         moved = pairs.withColumns({"_at": F.col("line") + F.col("lcp"), "_at2": F.col("line2") + F.col("lcp")})
         same = moved.join(one, ["_doc", "_tag", "_at"], "left").join(two, ["_doc2", "_tag2", "_at2"], "left")
-        left = F.least(F.col("n") - F.col("line"), F.col("n2") - F.col("line2"))
         grown = F.when(F.col("_r1") == F.col("_r2"), F.least(F.col("lcp") + (1 << k), left)).otherwise(F.col("lcp"))
         pairs = same.withColumn("lcp", grown).drop("_at", "_at2", "_r1", "_r2")
         if k % LEVELS == 0:  # a plan of all levels would be long, a table for each one wasteful

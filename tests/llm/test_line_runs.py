@@ -63,5 +63,13 @@ def test_suffix_array(spark, rows):
     assert all(rank[p] == order.index(s) + 1 for p, s in suffix.items())
 
 
+def test_long_copies(spark):
+    """Copies of more lines than the rounds tell apart: no line splits in the first table, a few do in the second."""
+    long = "\n".join(f"line {i}" for i in range(100))
+    for made in ([(1, long), (2, long)], [(1, long), (2, long), (3, f"line 5\nline 6\nelse\n{long}"), (4, "line 5\nline 7")]):
+        got = sorted((tuple(r) for r in lr.remove_runs(spark.createDataFrame(made, "doc_id long, text string")).collect()), key=str)
+        assert got == brute(made, lr.LEAST_LINES) and got[1][2:4] == (100, 100)
+
+
 def test_empty(no_docs):
     assert lr.remove_runs(no_docs).count() == 0
