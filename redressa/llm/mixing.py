@@ -8,7 +8,7 @@ seeded order, anew in every epoch, and takes whole documents while they fit its
 
 No leaf is ordered as a whole: tokens are summed over bins of the order, the bin in which the budget
 ends is found from these sums, and only that bin's documents are put in order, to find the last one that
-fits. Every document is then compared with its leaf's last one where it is read; no text is shuffled.
+fits; rows that share an id, which no bin parts, are cut again by their length and their tag. Every document is then compared with its leaf's last one where it is read; no text is shuffled.
 """
 
 from __future__ import annotations
@@ -89,6 +89,20 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str,
     return rooted.join(given, above).drop("_root").withColumn("budget", F.floor(F.round("budget", DIGITS)).cast("long"))
 
 
+def _first_beyond(rows: DataFrame, levels: Sequence[str], piece: Column) -> DataFrame:
+    """Per leaf of rows (levels, n_tokens, _rest, _before) the first piece of their order with which the tokens exceed _rest.
+
+    Result: levels, _piece, _before (the tokens up to it), _n (its rows); none if all rows fit.
+    """
+    pieces = rows.withColumn("_piece", piece).groupBy(*levels, "_rest", "_before", "_piece").agg(
+        F.sum("n_tokens").alias("_in"), F.count(F.lit(1)).alias("_n")
+    )
+    upto = F.col("_before") + F.sum("_in").over(Window.partitionBy(*levels).orderBy("_piece"))
+    beyond = pieces.withColumn("_upto", upto).filter(F.col("_upto") > F.col("_rest"))
+    first = beyond.groupBy(*levels).agg(F.min(F.struct("_piece", (F.col("_upto") - F.col("_in")).alias("_before"), "_n")).alias("cut"))
+    return written(first.select(*levels, "cut.*"), "mix-cut")
+
+
 def mix(
     docs: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, float]], share: float, epochs: int = 1, seed: int = 0
 ) -> DataFrame:
@@ -118,21 +132,22 @@ def mix(
         return placed.withColumns({"_bin": F.floor(head * F.col("_bins") / F.lit(1 << BIN_BITS)), "_order": order})
 
     binned = written(drawn(narrow, plan).select(*levels, "n_tokens", "_rest", "_bin", "_order"), "mix-drawn")
-    bins = binned.groupBy(*levels, "_bin", "_rest").agg(F.sum("n_tokens").alias("_in_bin"))
-    upto = F.sum("_in_bin").over(Window.partitionBy(*levels).orderBy("_bin"))
-    beyond = bins.withColumn("_upto", upto).filter(F.col("_upto") > F.col("_rest"))
-    # The first bin that does not fit as a whole; none if the leaf's documents all fit.
-    cut = beyond.groupBy(*levels).agg(F.min(F.struct("_bin", (F.col("_upto") - F.col("_in_bin")).alias("before"))).alias("cut"))
-    cut = written(cut.select(*levels, F.col("cut._bin").alias("_cut"), F.col("cut.before").alias("_before")), "mix-cut")
-    edge = lookup_join(binned, cut, list(levels), "inner").filter(F.col("_bin") == F.col("_cut"))
-    order = Window.partitionBy(*levels).orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = edge.withColumn("_sum", F.col("_before") + F.sum("n_tokens").over(order)).filter(F.col("_sum") <= F.col("_rest"))
-    last = taken.groupBy(*levels).agg(F.max("_order").alias("_last"))
-    ends = plan.join(cut, list(levels), "left").join(last, list(levels), "left")
-    ends = written(ends.select(*levels, "budget", "_whole", "_bins", "_cut", "_last"), "mix-ends")
+    cut = _first_beyond(binned.withColumn("_before", F.lit(0).cast("long")), levels, F.col("_bin"))
+    bin_cut = cut.select(*levels, F.col("_piece").alias("_cut"))
+    # Rows of one id share a bin; where the budget ends in it is found by id and length, by tag, and row by row.
+    spread = F.floor((F.col("_order.tag").cast("double") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("_n") / BIN))
+    edge = binned.withColumns({"_at": F.col("_bin"), "_n": F.lit(0)})
+    for piece in (F.struct("_order._place", "_order.doc_id", "n_tokens"), spread, F.col("_order")):
+        inside = lookup_join(edge.drop("_before", "_n"), cut, list(levels), "inner").filter("_at = _piece")
+        edge = written(inside.drop("_piece").withColumn("_at", piece), "mix-edge")
+        cut = _first_beyond(edge, levels, F.col("_at"))
+    last = cut.select(*levels, F.col("_piece").alias("_stop"), F.col("_before").alias("_upto"))
+    ends = plan.join(bin_cut, list(levels), "left").join(last, list(levels), "left")
+    ends = written(ends.select(*levels, "budget", "_whole", "_rest", "_bins", "_cut", "_stop", "_upto"), "mix-ends")
     all_rows = drawn(docs, ends)
     first = F.col("_cut").isNull() | (F.col("_bin") < F.col("_cut"))
-    fits = first | ((F.col("_bin") == F.col("_cut")) & F.coalesce(F.col("_order") <= F.col("_last"), F.lit(False)))
+    fitting = (F.col("_order") < F.col("_stop")) | ((F.col("_order") == F.col("_stop")) & (F.col("_upto") + F.col("n_tokens") <= F.col("_rest")))
+    fits = first | ((F.col("_bin") == F.col("_cut")) & fitting)
     copies = F.col("_whole") + F.when(fits & (F.col("_whole") < epochs), 1).otherwise(0)
     return all_rows.select(*docs.columns, "budget", copies.cast("long").alias("copies"))
 

@@ -80,3 +80,26 @@ def test_odd_rows(spark, docs, no_docs, small_docs):
     assert {tuple(r) for r in mixing.described(got).select("domain", "lang", "source", "n_tokens").collect()} == {
         ("domain1", "unknown", "src4", 2), ("domain0", "en", "unknown", 0), ("domain0", "en", "x", 0)
     }
+
+
+def test_rows_of_one_id_are_cut_again(spark, monkeypatch):
+    """A third of a leaf's rows share an id, and many of those a length: few are left to be put in order."""
+    rng, left = random.Random(3), []
+    rows = [("domain0", "en", "src0", i, rng.randrange(-(1 << 63), 1 << 63), rng.randrange(9, 40)) for i in range(600)]
+    rows += [("domain0", "en", "src0", 7, rng.randrange(-(1 << 63), 1 << 63), 20 + i % 2) for i in range(300)]
+    first = [r for r in sorted(rows, key=lambda r: hashlib.md5(f"1:0:{r[3]}".encode()).hexdigest())]
+    at = next(i for i, r in enumerate(first) if r[3] == 7)
+    share = (sum(r[5] for r in first[:at]) + 3000) / sum(r[5] for r in rows)
+    keep = mixing.written
+
+    def seen(df, name):
+        out = keep(df, name)
+        left.extend([out.count()] if name == "mix-edge" else [])
+        return out
+
+    monkeypatch.setattr(mixing, "BIN", 20)
+    monkeypatch.setattr(mixing, "written", seen)
+    frame = spark.createDataFrame(rows, "domain string, lang string, source string, doc_id long, tag long, n_tokens long")
+    got = sorted(tuple(r) for r in mixing.mix(frame, LEVELS, {}, share, seed=1).collect())
+    assert got == brute(rows, {}, share, 1, 1)
+    assert left and left[0] > 300 and left[-1] <= 60
