@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redressa.llm import context_tree, decontaminate, embedding_join, language, line_runs, mixing, near_duplicates, substrings, token_files, toxicity
+from redressa.llm import (
+    bit_slices, context_tree, decontaminate, embedding_join, language, line_runs, mixing, near_duplicates, substrings, token_files, toxicity,
+)
 from redressa.llm.common import shipped, table
 from redressa.session import prepare
 
@@ -224,3 +226,19 @@ SELECT l.doc_id, len(l.w)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_remo
 FROM l LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
 LEFT JOIN (SELECT doc_id, max(n) AS n FROM r GROUP BY doc_id) m USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+@registered
+def op11_bit_sliced_topk(spark, folder):
+    return bit_slices.top_products(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op11_bit_sliced_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, v.e) DESC, v.vec_id)::INTEGER AS rank,
+  v.vec_id AS vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5
+"""
