@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redressa.llm import (
-    bit_slices, context_tree, decontaminate, embedding_join, language, line_runs, mixing, near_duplicates, substrings, token_files, toxicity,
+    bit_slices, context_tree, conversation_repair, decontaminate, embedding_join, language, line_runs, mixing, near_duplicates,
+    periodic_runs, substrings, token_files, toxicity,
 )
 from redressa.llm.common import shipped, table
 from redressa.session import prepare
@@ -242,3 +243,116 @@ SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY l
   v.vec_id AS vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
 FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5
 """
+
+
+@registered
+def op12_periodic_runs(spark, folder):
+    runs = periodic_runs.periodic_runs(table(spark, folder, "documents"), F.crc32(F.col("doc_id").cast("string")))
+    return runs.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        F.sha2(periodic_runs.run_lines(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text of plain characters, bit by bit."""
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {step}), 4294967295)"
+
+
+ORACLES["op12_periodic_runs"] = rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS o,
+    {_crc32("doc_id::VARCHAR")} AS h FROM documents
+), c AS (SELECT doc_id, o, len(o) AS n, h, (h // 10) % greatest(len(o), 1) AS a, h // 10 AS g FROM d
+), p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM c
+), t AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: o[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE o END AS w FROM p
+), w AS (SELECT doc_id, n, i, w[i + 1] AS w FROM t, unnest(range(0, n)) u(i)
+), e AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM e
+), r AS (
+  SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM s GROUP BY doc_id, q, isle HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (SELECT doc_id, start, length, min(q) AS period FROM r GROUP BY ALL
+), l AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    arg_min(struct_pack(s := start, l := length, p := period), struct_pack(l := -length, s := start, p := period)) AS best FROM runs GROUP BY doc_id
+), gone AS (SELECT DISTINCT doc_id, u.i FROM runs, unnest(range(start + period, start + length)) u(i)
+), kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(l.n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.p::BIGINT AS period,
+  (1000 * best.l // best.p)::BIGINT AS exponent_milli, sha256(coalesce(l.lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM t LEFT JOIN l USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@registered
+def op13_conversation_repair(spark, folder):
+    rows = conversation_repair.damaged(table(spark, folder, "conversations"))
+    return conversation_repair.repair_conversations(rows)
+
+
+def _edited(source: str, cost: str, letter: str) -> str:
+    """A prefix, as nine digits of cost and its audit, after one more edit."""
+    return f"(lpad(((substr({source}, 1, 9))::BIGINT + {cost})::VARCHAR, 9, '0') || substr({source}, 10) || '{letter}')"
+
+
+def _cheapest(*prefixes: str) -> str:
+    """Text order is cost, then audit; nulls are states that cannot be reached."""
+    return f"least({', '.join(prefixes)})"
+
+
+ORACLES["op13_conversation_repair"] = rf"""
+WITH RECURSIVE x AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS k FROM conversations
+), y AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM x WHERE k <> 0
+), r AS (
+  SELECT *, row_number() OVER c AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS e, left(role, 1) AS f, lag(left(role, 1)) OVER c AS before
+  FROM y WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), n AS (
+  SELECT *, CASE WHEN e = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN e NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM r
+), g AS (
+  SELECT conv_id, i, f, fault IN ('blank', 'duplicate') AS must, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS cut FROM n
+), step AS (
+  SELECT conv_id, 0::BIGINT AS i, '000000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM (SELECT DISTINCT conv_id FROM g)
+  UNION ALL
+  SELECT conv_id, i, {_edited("s0", "2", "D")},
+    {_cheapest(_edited("s1", "2", "D"), "CASE WHEN NOT must AND f = 's' THEN " + _edited("s0", "cut", "K") + " END")},
+    {_cheapest(_edited("t2", "2", "D"), "CASE WHEN NOT must AND f = 'u' THEN " + _edited("tu", "cut", "K") + " END", "CASE WHEN NOT must THEN " + _edited("tu", "cut + 1", "R") + " END")},
+    {_cheapest(_edited("t3", "2", "D"), "CASE WHEN NOT must AND f = 'a' THEN " + _edited("t2", "cut", "K") + " END", "CASE WHEN NOT must THEN " + _edited("t2", "cut + 1", "R") + " END")}
+  FROM (
+    SELECT g.conv_id, g.i, g.f, g.must, g.cut, s0, s1, t2, least(s3, {_edited("t2", "5", "I")}) AS t3, least(s0, s1, s3, {_edited("t2", "5", "I")}) AS tu
+    FROM (SELECT *, least(s2, {_edited("s0", "5", "I")}, {_edited("s1", "5", "I")}, {_edited("s3", "5", "I")}) AS t2 FROM step) s
+    JOIN g ON g.conv_id IS NOT DISTINCT FROM s.conv_id AND g.i = s.i + 1
+  )
+), fin AS (
+  SELECT conv_id, least(s0, s3, {_edited("s2", "5", "I")}, {_edited(_edited("s1", "5", "I"), "5", "I")}) AS z FROM step
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+), edits AS (
+  SELECT conv_id, p, substr(z, 9 + p, 1) AS c FROM fin, unnest(range(1, length(z) - 8)) u(p)
+), walk AS (
+  SELECT *, sum(CASE WHEN c = 'I' THEN 0 ELSE 1 END) OVER w AS i, sum(CASE WHEN c = 'D' THEN 0 ELSE 1 END) OVER w AS turn_no
+  FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+), out AS (
+  SELECT w.conv_id, w.p, w.c, w.turn_no, CASE WHEN w.c = 'I' THEN NULL ELSE n.role END AS role, CASE WHEN w.c = 'I' THEN '' ELSE n.text END AS text,
+    max(CASE WHEN w.c = 'K' AND n.f = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY w.conv_id) AS opened
+  FROM walk w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.i = greatest(w.i, 1) WHERE w.c <> 'D'
+), fixed AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN c = 'K' THEN role WHEN (turn_no - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p)) AS h
+  FROM out GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND before || f NOT IN ('su', 'ua', 'au')) AS illegal FROM n GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(substr(z, 1, 9)::BIGINT, 0) AS cost,
+  coalesce(substr(z, 10), '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN fixed ON fixed.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
