@@ -51,12 +51,16 @@ def apply_status_updates(tickets: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def latest_per_ticket(changes: DataFrame, version: str) -> DataFrame:
-    """The row of the highest version per ticket; partial results are combined before the shuffle."""
-    columns = [c for c in changes.columns if c not in ("ticket_id", version)]
-    newest = F.max(F.struct(version, *columns)).alias("newest")
-    return changes.groupBy("ticket_id").agg(newest).select(
-        "ticket_id", F.col(f"newest.{version}").alias(version), *[F.col(f"newest.{c}").alias(c) for c in columns]
-    )
+    """The row of the highest version per ticket, of those with the same version the greatest hash.
+
+    The choice is made on three fields per row, whose partial results are combined before the shuffle. Whole records
+    are written once and only the chosen ones are read on; they are not sorted.
+    """
+    others = [c for c in changes.columns if c not in ("ticket_id", version)]
+    numbers = {"_hash": F.xxhash64(*others) if others else F.lit(0), "_row": F.monotonically_increasing_id()}
+    rows = materialized(changes.withColumns(numbers), "changes")
+    chosen = rows.groupBy("ticket_id").agg(F.max(F.struct(version, *numbers)).alias("best")).select(F.col("best._row").alias("_row"))
+    return lookup_join(rows, chosen, ["_row"], "left_semi", unique_facts=True).select("ticket_id", version, *others)
 
 
 def upsert(store: DataFrame, updates: DataFrame, version: str) -> DataFrame:
@@ -72,16 +76,16 @@ def upsert(store: DataFrame, updates: DataFrame, version: str) -> DataFrame:
 def dedupe_tickets(messages: DataFrame) -> DataFrame:
     """One record per ticket: the one with most fields set, of those the newest, then the greatest hash.
 
-    Equal records are one. The choice is made on four numbers per record, combined within each task; the
-    records are written once and only the chosen ones are read on, so no text is sorted or shuffled
-    while the chosen numbers are few enough to be sent to the readers.
+    Equal records are one. The choice is made on four numbers per record, combined within each task; they are
+    written with the records, so texts are hashed once and only the chosen ones are read on. No text is sorted, nor
+    shuffled while the chosen numbers are few enough to be sent to the readers.
     """
     others = [c for c in messages.columns if c != "ticket_id"]
     filled = sum((F.col(c).isNotNull().cast("int") for c in others), F.lit(0))
     when = F.coalesce(F.unix_micros("raised_ts"), F.lit(0)) if "raised_ts" in others else F.lit(0)
-    rows = materialized(messages.withColumn("_row", F.monotonically_increasing_id()), "received")
-    rank = F.struct(filled, when, F.xxhash64(*others), F.col("_row").alias("_row"))
-    chosen = rows.groupBy("ticket_id").agg(F.max(rank).alias("best")).select(F.col("best._row").alias("_row"))
+    numbers = {"_filled": filled, "_when": when, "_hash": F.xxhash64(*others), "_row": F.monotonically_increasing_id()}
+    rows = materialized(messages.withColumns(numbers), "received")
+    chosen = rows.groupBy("ticket_id").agg(F.max(F.struct(*numbers)).alias("best")).select(F.col("best._row").alias("_row"))
     return lookup_join(rows, chosen, ["_row"], "left_semi", unique_facts=True).select(*messages.columns)
 
 
@@ -91,8 +95,8 @@ def lifecycle_state(log: DataFrame, prior: DataFrame | None = None) -> DataFrame
     Takes (key, ts, event_id, event) with the events submit, delegate, advance and resolve;
     ``prior`` holds (key, state) from earlier events. Folding a key's events one after the
     other would gather a hot key in one task. Only what follows the last submit matters, and
-    of that only the first delegate, the first advance and whether there is a second one; so
-    two rounds of partially combined aggregates give the same state.
+    of that only the first delegate and the first and last advance; so two rounds of partially
+    combined aggregates give the same state, also when events are delivered twice.
     """
     event = F.col("event")
     at = F.struct("ts", "event_id")
@@ -113,10 +117,11 @@ def lifecycle_state(log: DataFrame, prior: DataFrame | None = None) -> DataFrame
     moves = tail.groupBy("key").agg(
         F.min(F.when(event == "delegate", F.col("at"))).alias("delegated"),
         F.min(F.when(event == "advance", F.col("at"))).alias("advanced"),
-        F.count(F.when(event == "advance", 1)).alias("advances"),
+        F.max(F.when(event == "advance", F.col("at"))).alias("advanced_last"),
     )
     start = F.when(F.col("submitted").isNotNull(), NEW).otherwise(F.col("before"))
-    advances = F.coalesce("advances", F.lit(0))
+    # None, one, or more; an advance that was delivered twice is one.
+    advances = F.when(F.col("advanced").isNull(), 0).when(F.col("advanced") == F.col("advanced_last"), 1).otherwise(2)
     # A delegate counts only on a new ticket, so only when no advance came first.
     was_delegated = (start == DELEGATED) | (
         F.col("delegated").isNotNull()

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from redressa.functions.status import DELEGATED
 from redressa.operators.digests import outbox
 from redressa.operators.lookup import lookup_join
-from redressa.operators.stores import latest_per_ticket, lifecycle_state
+from redressa.operators.stores import latest_per_ticket
 from redressa.plans.delegate import Classifier, delegate_batch, read_complaints, ticket_rows
-from redressa.plans.intake import submit_complaints
+from redressa.plans.intake import blank_submissions, submit_complaints
 from redressa.session import materialized
 from redressa.sources.queue import parse_complaints, publish, quarantine
-from redressa.sources.tables import read_batch, read_batches, read_earlier_batches, write_batch
+from redressa.sources.tables import read_batch, read_batches, write_batch
+from redressa.streaming.late import beside, put_late_aside
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_queue(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
@@ -21,19 +26,27 @@ def read_queue(spark: SparkSession, folder: str, max_files: int = 100) -> DataFr
     return spark.readStream.option("maxFilesPerTrigger", max_files).text(folder).withColumnRenamed("value", "body")
 
 
-def drain(stream: DataFrame, handle, checkpoint: str) -> None:
+def drain(stream: DataFrame, handle, checkpoint: str, output_mode: str = "append") -> None:
     """Run ``handle(batch, batch_id)`` over all that is waiting, then stop.
 
     Offsets are committed after ``handle`` returns: a batch that failed is handled again, so
-    nothing is lost, and outputs keyed by the batch id make the repetition harmless.
+    nothing is lost, and outputs keyed by the batch id make the repetition harmless. State is kept in
+    RocksDB, with its snapshots beside the offsets, so it is not bounded by memory.
     """
-    query = (
-        stream.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, ROCKS)
+    try:
+        query = (
+            stream.writeStream.foreachBatch(handle)
+            .outputMode(output_mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        conf.unset(STATE_STORE) if before is None else conf.set(STATE_STORE, before)
 
 
 def store_complaints(folder: str):
@@ -46,12 +59,25 @@ def store_complaints(folder: str):
     return handle
 
 
+def fresh_tickets(messages: DataFrame, horizon: str = "30 days") -> DataFrame:
+    """A stream of bodies beside the ids of the tickets that have not been delivered before.
+
+    The ids are kept as state for ``horizon`` after their delivery, which has to be longer than the queue may
+    take to deliver a message again. Time is that of the delivery, which a replayed batch keeps, so no
+    message is too late and none needs a time of its own.
+    """
+    ids = parse_complaints(messages).select("ticket_id", F.current_timestamp().alias("delivered_ts"))
+    fresh = ids.withWatermark("delivered_ts", horizon).dropDuplicatesWithinWatermark(["ticket_id"])
+    return beside(fresh.select("ticket_id"), messages.select("body"))
+
+
 def delegate(folder: str, classify: Classifier, stop_words=None, table=None):
-    """Handler: the delegation batch with its outputs.
+    """Handler of :func:`fresh_tickets`: the delegation batch with its outputs.
 
     A ticket that an earlier batch has delegated is left out of all outputs, so a message that is
-    delivered again mails nobody twice. The classified frame is written first and read back by the
-    other outputs, so a model is not asked again for each of them and all of them agree.
+    delivered again mails nobody twice; which these are the stream's state tells, and no earlier output is read.
+    The classified frame is written first and read back by the other outputs, so a model is not asked again
+    for each of them and all of them agree.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -59,13 +85,12 @@ def delegate(folder: str, classify: Classifier, stop_words=None, table=None):
             write_batch(df, f"{folder}/{table}", batch_id)
             return read_batch(batch.sparkSession, f"{folder}/{table}", batch_id)
 
-        written(quarantine(batch), "quarantine")
-        received = read_complaints(batch)
-        earlier = read_earlier_batches(batch.sparkSession, f"{folder}/tickets", batch_id)
-        if earlier is not None:
-            received = materialized(received, "received")
-            again = earlier.select("ticket_id").join(received.select("ticket_id"), "ticket_id", "left_semi").distinct()
-            received = lookup_join(received, again, ["ticket_id"], "left_anti", unique_facts=True)
+        # Written first: the operator with the state runs once.
+        both = materialized(batch, "stream-batch")
+        messages = both.filter("given IS NOT NULL").select("given.*")
+        fresh = both.filter("result IS NOT NULL").select("result.*")
+        written(quarantine(messages), "quarantine")
+        received = lookup_join(read_complaints(messages), fresh, ["ticket_id"], "left_semi", unique_facts=True)
         complaints = written(received, "complaints")
         classified = written(delegate_batch(complaints, classify, stop_words, table), "classified")
         texts = complaints.select("ticket_id", "complaint_text")
@@ -82,13 +107,14 @@ def read_tickets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def submit(folder: str):
-    """Handler: submit dialogs to complaint records, stored and put on the queue.
+    """Handler: submit dialogs to complaint records, stored and put on the queue; submissions without a text put aside.
 
     Both outputs come from the one written table, so a record is never stored without being
     published.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        write_batch(blank_submissions(batch), f"{folder}/blank", batch_id)
         write_batch(submit_complaints(batch), f"{folder}/complaints", batch_id)
         written = read_batch(batch.sparkSession, f"{folder}/complaints", batch_id)
         publish(written).write.mode("overwrite").text(f"{folder}/queue/batch_id={batch_id}")
@@ -96,53 +122,24 @@ def submit(folder: str):
     return handle
 
 
-def _newest(log: DataFrame) -> DataFrame:
-    newest = F.max(F.struct("batch_id", "state", "seen")).alias("newest")
-    return log.groupBy("key").agg(newest).select("key", "newest.state", "newest.seen")
-
-
-def track_lifecycle(folder: str):
-    """Handler: the state of every key seen so far, as a change log of (key, state, seen).
+def dedupe_stream(complaints: DataFrame, horizon: str = "1 day") -> DataFrame:
+    """Drop copies delivered within ``horizon`` of each other.
 
-    ``seen`` is the newest event of the key so far. A key all of whose new events are newer goes on from
-    its state; where an event comes late, the key's state is made anew from its logged events, so the
-    order of the batches does not matter. Only keys of the batch are read or written. States and log
-    are read up to the batch itself, so a replayed batch gives the same.
+    Spark also drops rows that arrive later than ``horizon`` behind the newest one, so it must
+    be longer than any delivery may be late; :func:`first_complaints` puts those aside. Where no such bound is known,
+    :func:`fresh_tickets` goes by the time of delivery.
     """
+    return complaints.withWatermark("raised_ts", horizon).dropDuplicatesWithinWatermark(["ticket_id"])
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        write_batch(batch.select("key", "ts", "event_id", "event"), f"{folder}/log", batch_id)
-        events = read_batch(spark, f"{folder}/log", batch_id)
-        at = F.struct("ts", "event_id")
-        keys = materialized(events.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last")), "keys")
-        changes = read_earlier_batches(spark, f"{folder}/changes", batch_id)
-        if changes is None:
-            states, known = lifecycle_state(events), keys.withColumn("seen", F.col("last"))
-        else:
-            prior = _newest(changes.join(keys.select("key"), "key", "left_semi"))
-            known = materialized(keys.join(prior, "key", "left"), "keys")
-            late = known.filter(F.col("first") < F.col("seen")).select("key")
-            going_on = known.join(late, "key", "left_anti").filter("seen is not null").select("key", "state")
-            log = read_batches(spark, f"{folder}/log").filter(F.col("batch_id") <= batch_id).drop("batch_id")
-            states = lifecycle_state(events.join(late, "key", "left_anti"), going_on).unionByName(
-                lifecycle_state(log.join(late, "key", "left_semi"))
-            )
-        seen = known.select("key", F.greatest("last", F.coalesce("seen", "last")).alias("seen"))
-        write_batch(states.join(seen, "key"), f"{folder}/changes", batch_id)
-
-    return handle
 
+def first_complaints(complaints: DataFrame, horizon: str = "1 day") -> DataFrame:
+    """The first delivery of every complaint by :func:`dedupe_stream`, beside all of them; see :func:`store_first`.
 
-def read_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
-    return _newest(read_batches(spark, f"{folder}/changes")).select("key", "state")
+    A complaint without a time has no place in the stream's order and is no first delivery.
+    """
+    return beside(dedupe_stream(complaints.filter("raised_ts IS NOT NULL"), horizon), complaints)
 
 
-def dedupe_stream(complaints: DataFrame, horizon: str = "1 day") -> DataFrame:
-    """Drop copies delivered within ``horizon`` of each other.
-
-    Spark also drops rows that arrive later than ``horizon`` behind the newest one, so it must
-    be longer than any delivery may be late. Where no such bound is known, use the batch form
-    in the handler and read the outputs by key, as ``read_tickets`` does.
-    """
-    return complaints.withWatermark("raised_ts", horizon).dropDuplicatesWithinWatermark(["ticket_id"])
+def store_first(folder: str, horizon: str = "1 day"):
+    """Handler of :func:`first_complaints`: first deliveries to ``folder``/complaints, those that come too late to ``folder``/late."""
+    return put_late_aside(folder, "raised_ts", horizon, lambda first, batch_id: write_batch(first, f"{folder}/complaints", batch_id))

@@ -312,8 +312,12 @@ _SQL = {
         SELECT CASE WHEN usable THEN 'tickets classified' ELSE 'tickets defaulted' END AS outcome, count(*) AS n FROM answered GROUP BY ALL
         UNION ALL SELECT 'prompts answered', count(DISTINCT (run, batch)) FROM answered HAVING count(*) > 0""",
     "delegate_outputs": """
-        SELECT 'quarantine' AS output, count(*) AS n FROM documents WHERE lang = 'de' HAVING count(*) > 0
-        UNION ALL SELECT 'complaints', count(*) FROM documents UNION ALL SELECT 'classified', count(*) FROM documents""",
+        SELECT 'quarantine' AS output, ticket_id AS id,
+               md5('{"ticket_id":"' || ticket_id || '","user_id":"' || user_id || '","order_id":' || coalesce('"' || order_id || '"', 'null') || ',') AS content
+        FROM received WHERE lang = 'de'
+        UNION ALL SELECT 'complaints', ticket_id, md5(to_json([user_id, order_id, complaint_text, status, timestamp])::VARCHAR) FROM received
+        UNION ALL SELECT 'store', ticket_id, md5(to_json([user_id, order_id, complaint_text, 'delegated', timestamp])::VARCHAR) FROM received
+        UNION ALL SELECT 'classified', ticket_id, md5(to_json([user_id, team, severity::VARCHAR])::VARCHAR) FROM classified""",
     "parse_predictions": """
         SELECT CAST(run AS BIGINT) AS run, CAST(batch AS INTEGER) AS batch, CAST(item AS INTEGER) AS item, team, severity
         FROM answered WHERE usable""",
@@ -442,5 +446,15 @@ _SQL = {
 
 _SQL["lifecycle_stream"] = _SQL["lifecycle_stream_table"] = _SQL["lifecycle_state"]
 _SQL["submit_stream"] = _SQL["submit_complaints"]
+_SQL["delegate_outbox"] = _SQL["outbox_digests"]
+_SQL["dedupe_stream"] = _SQL["dedupe_tickets"]
+_SQL["dedupe_late"] = """
+    SELECT ticket_id, CASE WHEN lang = 'fr' AND raised_ts <= (SELECT max(raised_ts) FROM received WHERE lang IS DISTINCT FROM 'fr') - INTERVAL 1 HOUR
+        THEN 'late' ELSE 'complaints' END AS outcome FROM received"""
+_SQL["submit_blank"] = """
+    SELECT CASE WHEN turn = 0 THEN 'blank' ELSE 'complaints' END AS output, 'user' || conv_id || '@example.com' AS user_id,
+           CASE WHEN turn <> 0 THEN CAST(conv_id AS VARCHAR) END AS order_id,
+           strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 600 + turn), '%Y-%m-%d %H:%M:%S') AS timestamp
+    FROM conversations WHERE role = 'user'"""
 
 ORACLES = {name: _query(sql) for name, sql in _SQL.items()}

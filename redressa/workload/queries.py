@@ -14,7 +14,7 @@ from redressa.schemas import COMPLAINT, DIALOG_ACTION
 from redressa.session import prepare, work_folder
 from redressa.sources import queue
 from redressa.sources.tables import read_batches, read_table, write_batch
-from redressa.streaming import drain
+from redressa.streaming import drain, lifecycle
 from redressa.workload import views
 
 EXTRA_EXPANSIONS = {"it": "that thing", "les": "toutes les", "und": "und auch"}
@@ -168,15 +168,23 @@ def lifecycle_state(spark, folder):
     return stores.lifecycle_state(views.ticket_log(views.events(spark, folder)))
 
 
+#: Longer than the given events and complaints span, so that none of them is too late.
+ALL_TIMES = "4000 days"
+
+
+def _track_lifecycle(log, target):
+    drain.drain(lifecycle.lifecycle_changes(log, ALL_TIMES), lifecycle.store_changes(target, ALL_TIMES), f"{target}/offsets", "update")
+    return lifecycle.read_lifecycle(log.sparkSession, target)
+
+
 @registered
 def lifecycle_stream(spark, folder):
-    """The log as a stream of several files whose times overlap, so that most batches bring late events."""
+    """The log as a stream of several files whose times overlap, every event delivered twice."""
     target = work_folder(spark, "lifecycle")
     given = views.ticket_log(views.events(spark, folder))
-    given.repartition(4, "event_id").write.parquet(f"{target}/in")
+    given.unionByName(given).repartition(3).write.parquet(f"{target}/in")
     log = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/in")
-    drain.drain(log, drain.track_lifecycle(f"{target}/states"), f"{target}/offsets")
-    return drain.read_lifecycle(spark, f"{target}/states")
+    return _track_lifecycle(log, target)
 
 
 @registered
@@ -185,8 +193,41 @@ def lifecycle_stream_table(spark, folder):
     target = work_folder(spark, "lifecycle")
     # A pattern that fits this one name: a stream takes a pattern for a file as well as for a folder.
     log = spark.readStream.schema(read_table(spark, folder, "events").schema).parquet(f"{folder}/events.parque[t]")
-    drain.drain(views.ticket_log(log), drain.track_lifecycle(f"{target}/states"), f"{target}/offsets")
-    return drain.read_lifecycle(spark, f"{target}/states")
+    return _track_lifecycle(views.ticket_log(log), target)
+
+
+def _complaint_stream(spark, folder, target, *parts):
+    """Complaints as JSON files, one part after the other, as a stream of one part a batch."""
+    for part in parts:
+        queue.publish(part).select("body").coalesce(1).write.mode("append").text(f"{target}/in")
+    return queue.parse_complaints(drain.read_queue(spark, f"{target}/in", 1))
+
+
+@registered
+def dedupe_stream(spark, folder):
+    """All complaints in three files, English ones again in each: every complaint once."""
+    target = work_folder(spark, "first")
+    given = views.complaints(spark, folder)
+    again = given.filter(F.col("lang") == "en")
+    parts = [given.filter(F.col("lang") == "de").unionByName(again), given.filter("lang IS NULL OR lang <> 'de'"), again]
+    stream = _complaint_stream(spark, folder, target, *parts)
+    drain.drain(drain.first_complaints(stream, ALL_TIMES), drain.store_first(target, ALL_TIMES), f"{target}/offsets")
+    return read_batches(spark, f"{target}/complaints").select(
+        "ticket_id", "user_id", "order_id", F.md5("complaint_text").alias("text_md5"), "timestamp"
+    )
+
+
+@registered
+def dedupe_late(spark, folder):
+    """The French complaints come after all others, and English ones in between again; most French ones are more than an hour behind."""
+    target = work_folder(spark, "late")
+    given = views.complaints(spark, folder)
+    late = F.coalesce(F.col("lang") == "fr", F.lit(False))
+    parts = [given.filter(~late), given.filter(F.col("lang") == "en"), given.filter(late)]
+    stream = _complaint_stream(spark, folder, target, *parts)
+    drain.drain(drain.first_complaints(stream, "1 hour"), drain.store_first(target, "1 hour"), f"{target}/offsets")
+    outcome = lambda name: read_batches(spark, f"{target}/{name}").select("ticket_id", F.lit(name).alias("outcome"))
+    return outcome("complaints").unionByName(outcome("late"))
 
 
 # --- text ----------------------------------------------------------------------------
@@ -490,13 +531,14 @@ def delegate_batch(spark, folder):
     return _ticket_columns(delegate.ticket_rows(delegate.delegate_batch(received, by_lexicon)))
 
 
-def _delegate_stream(spark, folder):
+def _delegate_stream(spark, folder, files=8):
     target = _publish_files(spark, folder)
     # Written once: every micro-batch looks words up in the same lexicon.
     views.lexicon(spark, folder).write.parquet(f"{target}/lexicon")
     by_lexicon = delegate.by_lexicon(spark.read.parquet(f"{target}/lexicon"))
     # A few files at a time: most second deliveries come in a later batch than the first.
-    drain.drain(drain.read_queue(spark, f"{target}/in", 8), drain.delegate(target, by_lexicon), f"{target}/offsets")
+    bodies = drain.fresh_tickets(drain.read_queue(spark, f"{target}/in", files))
+    drain.drain(bodies, drain.delegate(target, by_lexicon), f"{target}/offsets")
     return target
 
 
@@ -511,11 +553,29 @@ def delegate_stream(spark, folder):
 
 @registered
 def delegate_outputs(spark, folder):
-    """Rows of the other outputs of the stream: mails are by team and page, bad bodies by their number."""
+    """What the other outputs of the stream hold; mails are by batch, so those are in ``delegate_outbox``."""
     target = _delegate_stream(spark, folder)
-    size = lambda name: read_batches(spark, f"{target}/{name}").select(F.lit(name).alias("output"))
-    counted = size("quarantine").unionByName(size("complaints")).unionByName(size("classified"))
-    return counted.groupBy("output").agg(F.count(F.lit(1)).alias("n"))
+    read = lambda name, row_id, *fields: read_batches(spark, f"{target}/{name}").select(
+        F.lit(name).alias("output"), F.col(row_id).alias("id"), F.md5(F.to_json(F.array(*[F.col(f).cast("string") for f in fields]))).alias("content")
+    )
+    # A body that was cut short still begins with its ticket.
+    aside = read_batches(spark, f"{target}/quarantine").select(
+        F.lit("quarantine").alias("output"), F.regexp_extract("body", '"ticket_id":"([^"]*)"', 1).alias("id"),
+        F.md5(F.regexp_replace("body", '"complaint_text":".*', "")).alias("content"),
+    )
+    return (
+        read("complaints", "ticket_id", "user_id", "order_id", "complaint_text", "status", "timestamp")
+        .unionByName(read("classified", "ticket_id", "user_id", "team", "severity"))
+        .unionByName(read("store", "ticket_id", "user_id", "order_id", "complaint_text", "status", "timestamp"))
+        .unionByName(aside)
+    )
+
+
+@registered
+def delegate_outbox(spark, folder):
+    """The mails of a drain that takes the whole queue in one batch."""
+    target = _delegate_stream(spark, folder, 1_000_000)
+    return read_batches(spark, f"{target}/outbox").select("recipient", "subject", "page", F.md5("body").alias("body"))
 
 
 def _progressed(spark, folder):
@@ -545,3 +605,15 @@ def submit_stream(spark, folder):
     drain.drain(stream, drain.submit(target), f"{target}/offsets")
     bodies = spark.read.text(f"{target}/queue").select(F.col("value").alias("body"))
     return queue.parse_complaints(bodies).select(*COMPLAINT.fieldNames())
+
+
+@registered
+def submit_blank(spark, folder):
+    """Submissions without a text, put aside by the stream: first turns are sent blank here."""
+    target = work_folder(spark, "blank")
+    dialogs = views.submit_dialogs(spark, folder, blank_first=True)
+    dialogs.write.parquet(f"{target}/dialogs")
+    stream = spark.readStream.schema(dialogs.schema).parquet(f"{target}/dialogs")
+    drain.drain(stream, drain.submit(target), f"{target}/offsets")
+    kept = lambda name: read_batches(spark, f"{target}/{name}").select(F.lit(name).alias("output"), "user_id", "order_id", "timestamp")
+    return kept("blank").unionByName(kept("complaints"))

@@ -186,11 +186,12 @@ def dialog_events(spark: SparkSession, folder: str) -> DataFrame:
     return events(spark, folder, "event_id").select("event_id", answer.alias("answer"), parsed)
 
 
-def submit_dialogs(spark: SparkSession, folder: str) -> DataFrame:
+def submit_dialogs(spark: SparkSession, folder: str, blank_first: bool = False) -> DataFrame:
     """All turns as dialogs: users submit, the assistant checks, the system is welcomed; a first turn has no order."""
+    text = F.when(F.col("turn") == 0, F.lit(" \t")).otherwise(F.col("text")) if blank_first else F.col("text")
     order = F.when(F.col("turn") == 0, "null").otherwise(F.col("conv_id").cast("string"))
     received = F.timestamp_seconds(F.lit(EPOCH) + F.col("conv_id") * 600 + F.col("turn"))
-    slots = F.create_map(F.lit("order_id"), slot_struct(order), F.lit("complaint_text"), slot_struct(F.col("text")))
+    slots = F.create_map(F.lit("order_id"), slot_struct(order), F.lit("complaint_text"), slot_struct(text))
     intent = F.when(F.col("role") == "user", "SubmitComplaint").when(F.col("role") == "assistant", "CheckComplaintStatus")
     return turns(spark, folder).select(
         session_key(_mail(F.col("conv_id"))).alias("sessionId"),

@@ -235,7 +235,7 @@ def test_stream_is_replayed_after_a_failure(spark):
     put(spark, f"{folder}/in", "a", [body(1, "pay"), body(1, "pay"), body(2, "ship <b>"), "{"])
     classify = delegate.by_lexicon(lexicon(spark))
     handle = drain.delegate(folder, classify)
-    source = lambda: drain.read_queue(spark, f"{folder}/in/*")
+    source = lambda: drain.fresh_tickets(drain.read_queue(spark, f"{folder}/in/*"))
 
     def fails_late(batch, batch_id):
         handle(batch, batch_id)
@@ -259,43 +259,6 @@ def test_stream_is_replayed_after_a_failure(spark):
     assert all("<b>" not in m.body for m in mails)
 
 
-def test_lifecycle_stream_over_batches(spark):
-    folder = work_folder(spark, "life")
-    steps = [[("k", "submit"), ("k", "delegate"), ("old", "submit")], [("k", "advance")], [("k", "advance"), ("k", "submit")],
-             [("z", "resolve")], [("old", "delegate"), ("k", "resolve")]]
-    states = [{"k": "delegated", "old": "new"}, {"k": "pending", "old": "new"}, {"k": "new", "old": "new"},
-              {"k": "new", "old": "new", "z": None}, {"k": "resolved", "old": "delegated", "z": None}]
-    handle = drain.track_lifecycle(folder)
-    number = 0
-    for i, events in enumerate(steps):
-        rows = []
-        for key, e in events:
-            number += 1
-            rows.append((key, number, number, e))
-        batch = spark.createDataFrame(rows, "key string, ts long, event_id long, event string")
-        handle(batch, i)
-        handle(batch, i)  # a replay
-        assert {r.key: r.state for r in drain.read_lifecycle(spark, folder).collect()} == states[i]
-
-
-def test_lifecycle_stream_takes_events_in_any_order(spark):
-    import itertools
-
-    events = [("k", 1, 1, "submit"), ("k", 2, 2, "delegate"), ("k", 3, 3, "advance"), ("k", 4, 4, "submit")]
-    schema = "key string, ts long, event_id long, event string"
-    for n, order in enumerate(itertools.permutations(range(4))):
-        if n % 5:
-            continue
-        folder = work_folder(spark, "life")
-        handle = drain.track_lifecycle(folder)
-        for i, part in enumerate((order[:2], order[2:])):
-            batch = spark.createDataFrame([events[j] for j in part] + [("other", i, 100 + i, "submit")], schema)
-            handle(batch, i)
-            seen = [events[j] for j in sorted(order[: 2 * (i + 1)])]
-            want = stores.lifecycle_state(spark.createDataFrame(seen, schema)).first().state
-            assert {r.key: r.state for r in drain.read_lifecycle(spark, folder).collect()} == {"k": want, "other": "new"}
-
-
 def test_a_submitted_complaint_is_stored_and_published(spark):
     folder = work_folder(spark, "intake")
     events = dialogs(spark, [event("SubmitComplaint", {"order_id": None, "complaint_text": slot("broken")})])
@@ -339,7 +302,8 @@ def test_missing_fields_lose_no_ticket(spark, by_scorer):
     gaps = [body(1, user_id=None), body(2, None), body(3, timestamp=None), body(4, timestamp="soon"), body(5, "")]
     put(spark, f"{folder}/in", "a", gaps)
     classify = delegate.by_scorer(admin_scorer()) if by_scorer else delegate.by_lexicon(lexicon(spark))
-    drain.drain(drain.read_queue(spark, f"{folder}/in/*"), drain.delegate(folder, classify), f"{folder}/offsets")
+    source = drain.fresh_tickets(drain.read_queue(spark, f"{folder}/in/*"))
+    drain.drain(source, drain.delegate(folder, classify), f"{folder}/offsets")
     got = drain.read_tickets(spark, folder).collect()
     expected = ("Admin", 2) if by_scorer else ("Miscellaneous", 3)
     assert {(r.ticket_id, r.team_name, r.severity_level) for r in got} == {(f"t{i}", *expected) for i in range(1, 6)}
