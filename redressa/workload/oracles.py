@@ -457,4 +457,6 @@ _SQL["submit_blank"] = """
            strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 600 + turn), '%Y-%m-%d %H:%M:%S') AS timestamp
     FROM conversations WHERE role = 'user'"""
 
+_SQL["daily_volume"] = "SELECT CAST(ts AS DATE) AS day, event_type AS kind, count(*) AS n FROM events GROUP BY ALL"
+
 ORACLES = {name: _query(sql) for name, sql in _SQL.items()}

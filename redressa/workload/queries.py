@@ -14,7 +14,7 @@ from redressa.schemas import COMPLAINT, DIALOG_ACTION
 from redressa.session import prepare, work_folder
 from redressa.sources import queue
 from redressa.sources.tables import read_batches, read_table, write_batch
-from redressa.streaming import drain, lifecycle
+from redressa.streaming import drain, lifecycle, volume
 from redressa.workload import views
 
 EXTRA_EXPANSIONS = {"it": "that thing", "les": "toutes les", "und": "und auch"}
@@ -230,6 +230,19 @@ def dedupe_late(spark, folder):
     return outcome("complaints").unionByName(outcome("late"))
 
 
+@registered
+def daily_volume(spark, folder):
+    """Events per day and kind from three files in mixed order; a sign of life at the end closes the last day."""
+    target = work_folder(spark, "volume")
+    given = views.events(spark, folder).select("ts", F.col("event_type").alias("kind"))
+    given.repartition(3).write.parquet(f"{target}/in")
+    silence = given.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 40 days")).alias("ts"), F.lit(None).cast("string").alias("kind"))
+    silence.write.mode("append").parquet(f"{target}/in")
+    events = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/in")
+    drain.drain(volume.daily_volume(events, "32 days"), volume.store_volume(target, "32 days"), f"{target}/offsets")
+    return volume.read_volume(spark, target)
+
+
 # --- text ----------------------------------------------------------------------------
 
 
