@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redressa.operators.lookup import fits_broadcast
@@ -47,3 +47,18 @@ def with_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), n
         .withColumn(name, (F.col("_index") + F.col("_shift")).cast("long"))
         .drop("_group", "_slice", "_index", "_shift")
     )
+
+
+def running_total(df: DataFrame, value: str, order: str, by: Sequence[str], block: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` up to each row in ``order`` within ``by``.
+
+    ``block`` cuts the order into stretches. Sums run within a stretch, many tasks a key, and the totals of the
+    stretches before it, one row each, are added. Rows of one order are summed together; a null key is a key.
+    """
+    blocks = df.withColumns({"_group": F.struct(F.lit(0).alias("_"), *by), "_block": block})
+    totals = blocks.groupBy("_group", "_block").agg(F.sum(value).alias("_total"))
+    before = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_group", "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    upto = F.sum(value).over(Window.partitionBy("_group", "_block").orderBy(order))
+    summed = blocks.withColumn("_upto", upto).join(starts, ["_group", "_block"])
+    return summed.withColumn(name, F.col("_before") + F.col("_upto")).drop("_group", "_block", "_upto", "_before")

@@ -154,6 +154,15 @@ _VIEWS = {
                     WHEN 2 THEN 'new_complaint' ELSE 'no idea' END AS answer,
                CASE user_id % 4 WHEN 0 THEN 'check' WHEN 1 THEN 'resolve' WHEN 2 THEN 'new' END AS intent_word
         FROM events""",
+    "f1": "SELECT user_id AS key, min(struct_pack(t := ts, e := event_id)) AS s FROM events WHERE event_type = 'signup' GROUP BY user_id",
+    **{
+        f"f{n}": f"""
+        SELECT key, s, s.t AS t, b FROM (
+            SELECT p.key, min(struct_pack(t := v.ts, e := v.event_id)) AS s, any_value(p.s.t) AS b
+            FROM f{n - 1} p JOIN events v ON v.user_id = p.key AND v.event_type = '{kind}' AND struct_pack(t := v.ts, e := v.event_id) > p.s
+            GROUP BY p.key)"""
+        for n, kind in ((2, "click"), (3, "view"), (4, "purchase"))
+    },
     "history": """
         SELECT user_id AS key, list(event_type ORDER BY ts, event_id) AS steps FROM events GROUP BY user_id""",
 }
@@ -459,4 +468,50 @@ _SQL["submit_blank"] = """
 
 _SQL["daily_volume"] = "SELECT CAST(ts AS DATE) AS day, event_type AS kind, count(*) AS n FROM events GROUP BY ALL"
 
+_SECONDS = "epoch(resolved_ts)::BIGINT - epoch(raised_ts)::BIGINT"
+_SQL["open_backlog"] = """
+    SELECT team_name, strftime(d, '%Y-%m-%d') AS day, opened, closed,
+           CAST(sum(opened - closed) OVER (PARTITION BY team_name ORDER BY d) AS BIGINT) AS open
+    FROM (
+        SELECT s.team_name, s.d, CAST(count(*) FILTER (m.step = 'opened') AS BIGINT) AS opened, CAST(count(*) FILTER (m.step = 'closed') AS BIGINT) AS closed
+        FROM (SELECT team_name, CAST(unnest(generate_series(min(CAST(raised_ts AS DATE))::TIMESTAMP,
+                  (SELECT greatest(max(CAST(raised_ts AS DATE)), max(CAST(resolved_ts AS DATE)))::TIMESTAMP FROM tickets), INTERVAL 1 DAY)) AS DATE) AS d
+              FROM tickets GROUP BY team_name) s
+        LEFT JOIN (SELECT team_name, CAST(raised_ts AS DATE) AS d, 'opened' AS step FROM tickets
+                   UNION ALL SELECT team_name, CAST(resolved_ts AS DATE), 'closed' FROM tickets WHERE resolved_ts IS NOT NULL) m
+        ON m.team_name = s.team_name AND m.d = s.d
+        GROUP BY s.team_name, s.d)"""
+_SQL["resolve_times"] = f"""
+    SELECT team_name, count(*) AS n, sum({_SECONDS}) / count(*) AS mean_s,
+           round(quantile_cont({_SECONDS}, 0.5), 3) AS p50_s, round(quantile_cont({_SECONDS}, 0.95), 3) AS p95_s
+    FROM tickets WHERE resolved_ts IS NOT NULL GROUP BY team_name"""
+_SQL["resolve_time_sketch"] = f"""
+    SELECT team_name, count(*) AS n, sum({_SECONDS}) / count(*) AS mean_s, true AS p50_s_within, true AS p95_s_within
+    FROM tickets WHERE resolved_ts IS NOT NULL GROUP BY team_name"""
+_SQL["store_drift"] = """
+    SELECT ticket_id, CASE WHEN r.raised_ts IS NULL THEN 'left only' WHEN l.raised_ts IS NULL THEN 'right only' ELSE 'both' END AS found,
+           CASE WHEN r.raised_ts IS NULL OR l.raised_ts IS NULL THEN ''
+                ELSE concat_ws(',', CASE WHEN l.status IS DISTINCT FROM r.status THEN 'status' END,
+                                    CASE WHEN l.raised_ts IS DISTINCT FROM r.raised_ts THEN 'raised_ts' END) END AS differing
+    FROM (SELECT s.ticket_id, CASE WHEN q.key IS NULL THEN s.status ELSE 'resolved' END AS status,
+                 CASE WHEN s.lang = 'es' THEN s.raised_ts + INTERVAL 1 SECOND ELSE s.raised_ts END AS raised_ts
+          FROM store s LEFT JOIN (SELECT DISTINCT lower(ticket_id) AS key FROM requests WHERE event_type = 'purchase') q ON q.key = s.ticket_id
+          WHERE s.status IS NOT NULL) l
+    FULL JOIN (SELECT ticket_id, status, raised_ts FROM tickets WHERE status IS NULL OR status <> 'new') r USING (ticket_id)
+    WHERE l.status IS DISTINCT FROM r.status OR l.raised_ts IS DISTINCT FROM r.raised_ts"""
+_SQL["status_funnel"] = """
+    SELECT step_no, step, reached, mean_s FROM (
+        SELECT 1 AS step_no, 'submit' AS step, count(*) AS reached, CAST(NULL AS DOUBLE) AS mean_s FROM f1
+        UNION ALL SELECT 2, 'delegate', count(*), round(sum(epoch_us(t) - epoch_us(b)) / count(*) / 1e6, 3) FROM f2
+        UNION ALL SELECT 3, 'advance', count(*), round(sum(epoch_us(t) - epoch_us(b)) / count(*) / 1e6, 3) FROM f3
+        UNION ALL SELECT 4, 'resolve', count(*), round(sum(epoch_us(t) - epoch_us(b)) / count(*) / 1e6, 3) FROM f4)"""
+_SQL["team_severity"] = """
+    SELECT team AS team_name, severity_level, CAST(grouping_id(team, severity_level) AS INTEGER) AS level, count(*) AS tickets,
+           count(*) FILTER (status <> 'resolved') AS open, count(*) FILTER (status = 'resolved') AS resolved
+    FROM (SELECT *, CASE WHEN status IS NOT NULL THEN team_name END AS team FROM tickets) GROUP BY ROLLUP (team, severity_level)"""
+_SQL["oldest_open"] = """
+    SELECT team_name, ticket_id, strftime(raised_ts, '%Y-%m-%d %H:%M:%S') AS raised_ts, place
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY team_name ORDER BY raised_ts, ticket_id) AS INTEGER) AS place
+          FROM tickets WHERE status <> 'resolved') WHERE place <= 3"""
+
 ORACLES = {name: _query(sql) for name, sql in _SQL.items()}

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redressa.functions import chat, text
-from redressa.operators import classify, digests, packing, predictions, service, stores
+from redressa.operators import classify, dashboard, digests, packing, predictions, service, stores
 from redressa.plans import delegate, dialog, intake, progress
 from redressa.schemas import COMPLAINT, DIALOG_ACTION
-from redressa.session import prepare, work_folder
+from redressa.session import materialized, prepare, work_folder
 from redressa.sources import queue
 from redressa.sources.tables import read_batches, read_table, write_batch
 from redressa.streaming import drain, lifecycle, volume
@@ -534,6 +534,70 @@ def format_raised_ts(spark, folder):
     )
 
 
+# --- dashboard -----------------------------------------------------------------------
+
+
+@registered
+def open_backlog(spark, folder):
+    return dashboard.open_backlog(views.tickets(spark, folder)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@registered
+def resolve_times(spark, folder):
+    return dashboard.resolve_times(views.tickets(spark, folder))
+
+
+@registered
+def resolve_time_sketch(spark, folder):
+    """Merged daily sketches against the exact ranks of what they answer."""
+    tickets = views.tickets(spark, folder).select("team_name", "ticket_id", "raised_ts", "resolved_ts")
+    written = materialized(tickets, "tickets")
+    merged = dashboard.merged_times(dashboard.resolve_states(written), ["team_name"])
+    seconds = F.unix_timestamp("resolved_ts") - F.unix_timestamp("raised_ts")
+    ranks = written.filter("resolved_ts IS NOT NULL").join(merged, "team_name").groupBy("team_name", "n", "mean_s")
+    share = lambda what: F.avg(what.cast("int"))
+    error = dashboard.SKETCH_ERROR
+    within = lambda name, p: (
+        (share(seconds < F.col(name)) <= p + error) & (share(seconds <= F.col(name)) >= p - error)
+    ).alias(f"{name}_within")
+    return ranks.agg(within("p50_s", 0.5), within("p95_s", 0.95))
+
+
+@registered
+def store_drift(spark, folder):
+    """The store, where users have resolved tickets, against a warehouse that has no new tickets and has lost none."""
+    store = views.store(spark, folder).filter("status IS NOT NULL")
+    asked = service.resolve_found(views.resolve_requests(spark, folder), store)
+    resolved = stores.apply_status_updates(
+        store.withColumn("resolved_ts", F.lit(None).cast("timestamp")),
+        asked.select(F.col("key").alias("ticket_id")).distinct().select("ticket_id", F.lit("resolved").alias("status"), F.lit(None).cast("timestamp").alias("resolved_ts")),
+    )
+    tickets = views.tickets(spark, folder).filter("status IS NULL OR status <> 'new'")
+    # Times of Spanish complaints were taken down wrongly.
+    slow = F.when(F.col("lang") == "es", F.col("raised_ts") + F.expr("INTERVAL 1 SECOND")).otherwise(F.col("raised_ts"))
+    return dashboard.drift(
+        resolved.select("ticket_id", "status", slow.alias("raised_ts")), tickets.select("ticket_id", "status", "raised_ts"),
+        "ticket_id", ["status", "raised_ts"],
+    )
+
+
+@registered
+def status_funnel(spark, folder):
+    return dashboard.funnel(views.ticket_log(views.events(spark, folder)), ["submit", "delegate", "advance", "resolve"])
+
+
+@registered
+def team_severity(spark, folder):
+    """Tickets without a status have lost their team here, to tell null teams from subtotals."""
+    team = F.when(F.col("status").isNotNull(), F.col("team_name"))
+    return dashboard.team_severity(views.tickets(spark, folder).withColumn("team_name", team))
+
+
+@registered
+def oldest_open(spark, folder):
+    return dashboard.oldest_open(views.tickets(spark, folder)).withColumn("raised_ts", chat.format_time(F.col("raised_ts")))
+
+
 # --- whole jobs ----------------------------------------------------------------------
 
 
