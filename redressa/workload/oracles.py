@@ -468,6 +468,13 @@ _SQL["submit_blank"] = """
 
 _SQL["daily_volume"] = "SELECT CAST(ts AS DATE) AS day, event_type AS kind, count(*) AS n FROM events GROUP BY ALL"
 
+_SQL["bucket_upsert"] = """
+    SELECT ticket_id, user_id, CASE WHEN user_id LIKE 'user%0@%' THEN 'moved' ELSE order_id END AS order_id, md5(complaint_text) AS text_md5,
+           CASE WHEN status = 'new' THEN 'delegated' ELSE status END AS status, timestamp FROM store"""
+_SQL["bucket_status_updates"] = """
+    SELECT ticket_id, user_id, order_id, md5(complaint_text) AS text_md5,
+           CASE WHEN ticket_id IN (SELECT lower(ticket_id) FROM requests WHERE event_type = 'purchase') THEN 'resolved' ELSE status END AS status,
+           timestamp FROM store"""
 _SECONDS = "epoch(resolved_ts)::BIGINT - epoch(raised_ts)::BIGINT"
 _SQL["open_backlog"] = """
     SELECT team_name, strftime(d, '%Y-%m-%d') AS day, opened, closed,

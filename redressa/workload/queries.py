@@ -12,7 +12,7 @@ from redressa.operators import classify, dashboard, digests, packing, prediction
 from redressa.plans import delegate, dialog, intake, progress
 from redressa.schemas import COMPLAINT, DIALOG_ACTION
 from redressa.session import materialized, prepare, work_folder
-from redressa.sources import queue
+from redressa.sources import buckets, queue
 from redressa.sources.tables import read_batches, read_table, write_batch
 from redressa.streaming import drain, lifecycle, volume
 from redressa.workload import views
@@ -140,6 +140,39 @@ def upsert_delegated(spark, folder):
     return stores.upsert(old, fresh, "version")
 
 
+def _bucketed_store(spark, folder):
+    """The store's records in buckets, without their texts, which are hashed."""
+    target = work_folder(spark, "bucket-store")
+    records = views.store(spark, folder).select(
+        "ticket_id", "user_id", "order_id", F.md5("complaint_text").alias("text_md5"), "status", "timestamp"
+    )
+    buckets.create_store(records, target, buckets=16)
+    return target, records
+
+
+@registered
+def bucket_upsert(spark, folder):
+    """New tickets become delegated by a batch of changes, which is delivered twice; every fifth user's records change once more."""
+    target, records = _bucketed_store(spark, folder)
+    delegated = records.filter(F.col("status") == "new").withColumn("status", F.lit("delegated"))
+    for _ in range(2):
+        buckets.append_changes(delegated, target, 0)
+    buckets.compact(spark, target)
+    again = buckets.read_store(spark, target).filter(F.col("user_id").like("user%0@%"))
+    buckets.append_changes(again.withColumn("order_id", F.lit("moved")), target, 1)
+    return buckets.read_store(spark, target)
+
+
+@registered
+def bucket_status_updates(spark, folder):
+    """User resolve requests as changes of the bucketed store, read after its compaction."""
+    target, records = _bucketed_store(spark, folder)
+    asked = views.resolve_requests(spark, folder).select(F.lower("ticket_id").alias("ticket_id")).distinct()
+    buckets.change_status(asked.withColumn("status", F.lit("resolved")), target, 0)
+    buckets.compact(spark, target)
+    return buckets.read_store(spark, target)
+
+
 @registered
 def apply_status_updates(spark, folder):
     asked = service.resolve_found(views.resolve_requests(spark, folder), views.store(spark, folder))
