@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from queue import Empty, SimpleQueue
+from threading import Thread
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,29 +16,59 @@ ANSWER_LINE = r"^\s*(\d+)\.\s*(.+?)\s*,\s*([1-5])\s*$"
 Scorer = Callable[[str], tuple[str, int]]
 
 
+#: Seconds a call may take: what the replaced system meant to allow its clients.
+CALL_SECONDS = 60.0
+
+
+def _answer_of(scorer: Scorer, prompt: str, timeout: float) -> tuple[str, int]:
+    """One call in a thread of its own, which ends with the process at the latest: a call that hangs holds up no other."""
+    box: SimpleQueue = SimpleQueue()
+
+    def call() -> None:
+        try:
+            box.put((scorer(prompt), None))
+        except BaseException as failure:  # handed on to the task
+            box.put((None, failure))
+
+    Thread(target=call, daemon=True).start()
+    try:
+        answer, failure = box.get(timeout=timeout)
+    except Empty:
+        raise TimeoutError(f"no answer within {timeout} s") from None
+    if failure is not None:
+        raise failure
+    return answer
+
+
 def score_prompts(
-    prompts: DataFrame, make_scorer: Callable[[], Scorer], attempts: int = 3, timeout: float | None = None
+    prompts: DataFrame, make_scorer: Callable[[], Scorer], attempts: int = 3, timeout: float = CALL_SECONDS, callers: int | None = None
 ) -> DataFrame:
     """Call the scorer for every prompt: (run, batch, answer, tokens_used, status, error).
 
-    ``make_scorer`` runs once per task, so a task opens one connection; there are as many tasks as the
-    prompts have partitions, and the cores per task (``spark.task.cpus``) bound the callers of an executor.
+    ``make_scorer`` runs once per task, so a task opens one connection, and again after a call that hung, whose
+    connection is not used any more. There are as many calls at a time as the prompts have partitions, at most ``callers`` if
+    that is given; the cores per task (``spark.task.cpus``) bound those of an executor.
     A call that fails or takes longer than ``timeout`` seconds is repeated up to ``attempts`` times. A
     prompt without an answer then has the status ``failed``, the last error, a null answer and zero
     tokens; its tickets get the default prediction, and :func:`run_counts` shows how many. Write the
-    result before using it twice: Spark may call again when a task is repeated.
+    result before using it twice: Spark may call again when a task is repeated, unless a ledger knows the
+    answers (:mod:`redressa.operators.ledger`).
     """
 
     def call(frames):
-        scorer, pool = make_scorer(), ThreadPoolExecutor(attempts)
+        scorer = None
 
         def ask(prompt):
+            nonlocal scorer
             error = None
             for _ in range(attempts):
                 try:
-                    return (*pool.submit(scorer, prompt).result(timeout), "ok", None)
+                    scorer = scorer or make_scorer()
+                    return (*_answer_of(scorer, prompt, timeout), "ok", None)
                 except Exception as failure:
                     error = f"{type(failure).__name__}: {failure}"
+                    if isinstance(failure, TimeoutError):  # the thread that hangs keeps its connection
+                        scorer = None
             return None, 0, "failed", error
 
         for frame in frames:
@@ -45,7 +76,8 @@ def score_prompts(
             names = ["answer", "tokens_used", "status", "error"]
             yield frame[["run", "batch"]].assign(**{name: [row[i] for row in rows] for i, name in enumerate(names)})
 
-    return prompts.mapInPandas(call, "run long, batch int, answer string, tokens_used long, status string, error string")
+    asked = prompts if callers is None else prompts.repartition(callers, "run", "batch")
+    return asked.mapInPandas(call, "run long, batch int, answer string, tokens_used long, status string, error string")
 
 
 def tokens_used(answers: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from redressa.functions.status import DELEGATED
 from redressa.functions.text import preprocess
 from redressa.operators import packing
 from redressa.operators.classify import classify_lexicon
+from redressa.operators.ledger import score_once
 from redressa.operators.predictions import Scorer, default_predictions, parse_answers, score_prompts, zip_predictions
 from redressa.operators.stores import dedupe_tickets
 from redressa.session import work_folder
@@ -52,23 +53,29 @@ def prompts_of(items: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 
 def score_packed(cleaned: DataFrame, make_scorer: Callable[[], Scorer], attempts: int = 3,
-                 token_limit: int = packing.TOKEN_LIMIT, run_size: int = packing.RUN_SIZE) -> tuple[DataFrame, DataFrame]:
-    """(items, answers) of one scoring round; answers are written once, before anyone reads them."""
+                 token_limit: int = packing.TOKEN_LIMIT, run_size: int = packing.RUN_SIZE,
+                 ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(items, answers) of one scoring round; answers are written once, before anyone reads them.
+
+    With ``ledger``, a folder, prompts that were answered in an earlier round are not asked again.
+    """
     spark = cleaned.sparkSession
     folder = work_folder(spark, "scored")
     written = write_cleaned(cleaned, folder)
     pack(written, token_limit, run_size).write.parquet(f"{folder}/items")
     items = spark.read.parquet(f"{folder}/items")
-    score_prompts(prompts_of(items, written), make_scorer, attempts).write.parquet(f"{folder}/answers")
+    prompts = prompts_of(items, written)
+    answers = score_once(prompts, make_scorer, ledger, attempts) if ledger else score_prompts(prompts, make_scorer, attempts)
+    answers.write.parquet(f"{folder}/answers")
     return items, spark.read.parquet(f"{folder}/answers")
 
 
 def by_scorer(make_scorer: Callable[[], Scorer], attempts: int = 3,
-              token_limit: int = packing.TOKEN_LIMIT) -> Classifier:
-    """Classification by a remote model behind ``make_scorer``."""
+              token_limit: int = packing.TOKEN_LIMIT, ledger: str | None = None) -> Classifier:
+    """Classification by a remote model behind ``make_scorer``; a ``ledger`` keeps its answers for replays."""
 
     def classify(cleaned: DataFrame) -> DataFrame:
-        items, answers = score_packed(cleaned, make_scorer, attempts, token_limit)
+        items, answers = score_packed(cleaned, make_scorer, attempts, token_limit, ledger=ledger)
         paired = zip_predictions(items, parse_answers(answers))
         return cleaned.select("ticket_id", "raised_ts", "user_id").join(paired, "ticket_id", "left").select(
             "ticket_id", "raised_ts", "user_id", *default_predictions()

@@ -475,6 +475,13 @@ _SQL["bucket_status_updates"] = """
     SELECT ticket_id, user_id, order_id, md5(complaint_text) AS text_md5,
            CASE WHEN ticket_id IN (SELECT lower(ticket_id) FROM requests WHERE event_type = 'purchase') THEN 'resolved' ELSE status END AS status,
            timestamp FROM store"""
+_SQL["answer_ledger"] = f"""
+    SELECT CAST(1 AS INTEGER) AS round, count(DISTINCT (run, batch)) AS asked, CAST(any_value(used) AS BIGINT) AS tokens_used,
+           count(*) FILTER (usable) AS classified
+    FROM answered, (SELECT sum(n) AS used FROM (
+        SELECT ({len(PROMPT_HEAD)} + sum(chars + length(CAST(item AS VARCHAR)) + 3)) // 4 AS n
+        FROM packed JOIN lines USING (ticket_id) GROUP BY packed.run, batch))
+    UNION ALL SELECT CAST(2 AS INTEGER), 0, 0, count(*) FILTER (usable) FROM answered"""
 _SECONDS = "epoch(resolved_ts)::BIGINT - epoch(raised_ts)::BIGINT"
 _SQL["open_backlog"] = """
     SELECT team_name, strftime(d, '%Y-%m-%d') AS day, opened, closed,

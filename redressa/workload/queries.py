@@ -397,6 +397,20 @@ def classify_with_scorer(spark, folder):
     return by_scorer(_cleaned(spark, folder)).select("ticket_id", "user_id", "team", "severity")
 
 
+@registered
+def answer_ledger(spark, folder):
+    """Two rounds over the same complaints with one ledger: the second asks nothing and ends in the same predictions."""
+    ledger = work_folder(spark, "ledger")
+    rounds = []
+    for number in (1, 2):
+        items, answers = delegate.score_packed(_cleaned(spark, folder), views.word_count_scorer(), ledger=ledger)
+        paired = predictions.zip_predictions(items, predictions.parse_answers(answers))
+        asked = answers.agg(F.count(F.when(F.col("status") == "ok", 1)).alias("asked"), F.sum("tokens_used").alias("tokens_used"))
+        told = paired.agg(F.count("team").alias("classified"))
+        rounds.append(asked.withColumn("round", F.lit(number)).join(told.withColumn("round", F.lit(number)), "round"))
+    return rounds[0].unionByName(rounds[1])
+
+
 @registered
 def map_intent(spark, folder):
     return views.dialog_events(spark, folder).select(

@@ -1,6 +1,7 @@
 """Skew-safe operators against brute force."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +9,11 @@ from pyspark.sql import functions as F
 from redressa.operators import lookup, packing, stores
 from redressa.operators.classify import classify_intent, classify_lexicon
 from redressa.operators.digests import first_seen_keys, group_by_key, team_digest, user_digest
+from redressa.operators.ledger import read_ledger, score_once
 from redressa.operators.lookup import fits_broadcast, lookup_join
 from redressa.operators.ordering import with_position
 from redressa.operators.predictions import default_predictions, parse_answers, score_prompts, zip_predictions
+from redressa.session import work_folder
 
 
 def skewed(spark, n=3000, hot="hot"):
@@ -177,6 +180,58 @@ def test_a_call_is_repeated_and_bounded_in_time(spark):
     assert rows == {1: "ok", 2: "failed"}
 
 
+def counting_scorer(folder):
+    """Leaves a file behind for every call."""
+    def connect():
+        import os
+        import time
+        import uuid
+
+        def score(prompt):
+            open(f"{folder}/{uuid.uuid4().hex}-{prompt}", "w").close()
+            if "hang" in prompt:
+                time.sleep(30)
+            if "bad" in prompt and len([f for f in os.listdir(folder) if f.endswith("bad")]) < 4:
+                raise RuntimeError("no answer")
+            return f"1. Admin, 1 {prompt}", 7
+
+        return score
+
+    return connect
+
+
+def test_a_hanging_call_holds_up_no_other(spark, tmp_path):
+    words = ["ok1", "hang", "ok2", "ok3", "hang2", "ok4"]
+    prompts = spark.createDataFrame([(0, i, w) for i, w in enumerate(words)], "run long, batch int, prompt string").coalesce(1)
+    start = time.time()
+    rows = {r.batch: r.status for r in score_prompts(prompts, counting_scorer(tmp_path), attempts=2, timeout=0.3, callers=1).collect()}
+    assert rows == {0: "ok", 1: "failed", 2: "ok", 3: "ok", 4: "failed", 5: "ok"} and time.time() - start < 25
+    calls = sorted(f.name.split("-")[1] for f in tmp_path.iterdir())
+    assert calls == sorted(["ok1", "ok2", "ok3", "ok4", "hang", "hang", "hang2", "hang2"])
+
+
+def test_ledger_asks_nothing_twice(spark, tmp_path):
+    ledger = work_folder(spark, "ledger")
+    schema = "run long, batch int, prompt string"
+    calls = lambda: sorted(f.name.split("-")[1] for f in tmp_path.iterdir())
+
+    def ask(rows):
+        answers = score_once(spark.createDataFrame(rows, schema), counting_scorer(tmp_path), ledger, attempts=2)
+        return {(r.run, r.batch): (r.answer, r.tokens_used, r.status) for r in answers.collect()}
+
+    first = ask([(0, 1, "a"), (0, 2, "b"), (1, 1, "a"), (1, 2, "bad")])
+    assert first == {
+        (0, 1): ("1. Admin, 1 a", 7, "ok"), (0, 2): ("1. Admin, 1 b", 7, "ok"), (1, 1): ("1. Admin, 1 a", 0, "known"), (1, 2): (None, 0, "failed")
+    }
+    assert calls() == ["a", "b", "bad", "bad"]
+    # A replay asks only for what had failed; other runs and batches find the answers too.
+    again = ask([(0, 1, "a"), (5, 2, "b"), (1, 1, "c"), (1, 2, "bad")])
+    assert again == {(0, 1): ("1. Admin, 1 a", 0, "known"), (5, 2): ("1. Admin, 1 b", 0, "known"), (1, 1): ("1. Admin, 1 c", 7, "ok"),
+                     (1, 2): ("1. Admin, 1 bad", 7, "ok")}
+    assert calls() == ["a", "b", *["bad"] * 4, "c"]
+    assert ask([]) == {} and read_ledger(spark, ledger).count() == 4
+
+
 @pytest.mark.parametrize("broadcast_rows", [0, 1000])
 def test_lexicon(spark, broadcast_rows):
     cleaned = spark.createDataFrame(
