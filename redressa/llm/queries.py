@@ -211,21 +211,21 @@ def op9_line_runs(spark, folder):
 ORACLES["op9_line_runs"] = r"""
 WITH RECURSIVE l AS (
   SELECT doc_id, CASE WHEN length(text) > 0 THEN string_split(text, chr(10)) ELSE [] END AS w FROM documents
-), p AS (SELECT doc_id, u.i, w[u.i] AS line, rtrim(w[u.i], ' ') AS x FROM l, unnest(range(1, len(w) + 1)) u(i)
+), q AS (SELECT doc_id, u.i, w[u.i] AS line, rtrim(w[u.i], ' ') AS x FROM l, unnest(range(1, len(w) + 1)) u(i)
+), p AS (SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM q WHERE x <> ''
 ), r AS (
-  SELECT doc_id, i, 1 AS n, md5(x) AS h FROM p QUALIFY count(*) OVER (PARTITION BY md5(x)) > 1
+  SELECT doc_id, s, 1 AS n, md5(x) AS h FROM p QUALIFY count(*) OVER (PARTITION BY md5(x)) > 1
   UNION ALL
-  SELECT r.doc_id, r.i, r.n + 1, md5(r.h || p.x) FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + r.n
+  SELECT r.doc_id, r.s, r.n + 1, md5(r.h || p.x) FROM r JOIN p ON p.doc_id = r.doc_id AND p.s = r.s + r.n
   QUALIFY count(*) OVER (PARTITION BY md5(r.h || p.x)) > 1
-), two AS (
-  SELECT a.doc_id, a.i, row_number() OVER (PARTITION BY a.x, b.x ORDER BY a.doc_id, a.i) AS k
-  FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i = a.i + 1
-), gone AS (SELECT DISTINCT doc_id, u.j AS i FROM two, unnest([i, i + 1]) u(j) WHERE k > 1
-), kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM p ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+), later AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1 AS gone FROM p
+), fate AS (
+  SELECT q.doc_id, q.line, q.i, coalesce(last_value(later.gone IGNORE NULLS) OVER (PARTITION BY q.doc_id ORDER BY q.i ROWS UNBOUNDED PRECEDING), false) AS gone
+  FROM q LEFT JOIN later USING (doc_id, i)
+), g AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS t FROM fate GROUP BY doc_id)
 SELECT l.doc_id, len(l.w)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(m.n, 0)::BIGINT AS longest_run,
-  sha256(coalesce(kept.t, '')) AS kept_sha256
-FROM l LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
-LEFT JOIN (SELECT doc_id, max(n) AS n FROM r GROUP BY doc_id) m USING (doc_id) LEFT JOIN kept USING (doc_id)
+  sha256(coalesce(g.t, '')) AS kept_sha256
+FROM l LEFT JOIN g USING (doc_id) LEFT JOIN (SELECT doc_id, max(n) AS n FROM r GROUP BY doc_id) m USING (doc_id)
 """
 
 
@@ -312,7 +312,9 @@ WITH RECURSIVE x AS (
   FROM x WHERE k <> 0
 ), r AS (
   SELECT *, row_number() OVER c AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
-    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS e, left(role, 1) AS f, lag(left(role, 1)) OVER c AS before
+    regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS e, left(role, 1) AS f, lag(left(role, 1)) OVER c AS before
   FROM y WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
 ), n AS (
   SELECT *, CASE WHEN e = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN e NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM r
