@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from redressa.session import work_folder
 
-SAMPLE_STEPS = 1_000_000
+#: Draws have so many bits.
+DRAW_BITS = 63
 
 
 def shipped(spark: SparkSession) -> SparkSession:
@@ -39,6 +40,12 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sample_share(rows: int, size: int, max_rows: int, max_bytes: int) -> int:
+    """How many of 2**63 draws take a row, so that about ``max_rows`` of ``rows`` and ``max_bytes`` of ``size`` are taken."""
+    whole = 1 << DRAW_BITS
+    return min(whole, (max_rows << DRAW_BITS) // max(1, rows), (max_bytes << DRAW_BITS) // max(1, size))
+
+
 def bounded_sample(rows: DataFrame, by: str, text: str, max_rows: int, max_bytes: int, seed: int = 1) -> DataFrame:
     """About ``max_rows`` whole rows of each value of ``by``, fewer if their texts exceed ``max_bytes``.
 
@@ -48,11 +55,9 @@ def bounded_sample(rows: DataFrame, by: str, text: str, max_rows: int, max_bytes
     sizes = rows.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length(text), F.lit(0))).alias("size")
     ).collect()
-    shares = [
-        (r[by], int(SAMPLE_STEPS * min(1.0, max_rows / r["n"], max_bytes / max(1, r["size"])))) for r in sizes
-    ]
+    last = [(r[by], sample_share(r["n"], r["size"], max_rows, max_bytes) - 1) for r in sizes]
     spark = rows.sparkSession
     kind = rows.schema[by].dataType.simpleString()
-    picked = F.broadcast(spark.createDataFrame(shares, f"`{by}` {kind}, _share long"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(text)), F.lit(SAMPLE_STEPS))
-    return rows.join(picked, by).filter(draw < F.col("_share")).drop("_share")
+    picked = F.broadcast(spark.createDataFrame(last, f"`{by}` {kind}, _last long"))
+    draw = F.xxhash64(F.lit(seed), F.col(text)).bitwiseAND(F.lit((1 << DRAW_BITS) - 1))
+    return rows.join(picked, by).filter(draw <= F.col("_last")).drop("_last")

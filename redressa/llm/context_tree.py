@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ END = np.uint64(0x2545F4914F6CDD1D)
 SLICE = 2 << 20
 #: A task sends on what it has counted beyond so many distinct keys.
 HELD = 4_000_000
+#: Bytes of text that a group has at most, and groups whose questions to one part of the model go to one task.
+GROUP_BYTES, ANSWERED = 32 << 20, 64
 WORD, GRAM = 0, 1
 _COUNTS = "kind int, bucket int, keys binary, counts binary"
 _ASKED = "kind int, bucket int, grp int, keys binary"
@@ -91,6 +94,13 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *[np.add.reduceat(v[order], first) if len(keys) else v for v in values]
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and how often each occurs; found by hashing, as only few of the keys are distinct."""
+    codes, own = pd.factorize(keys)
+    order = np.argsort(own)
+    return own[order], np.bincount(codes, minlength=len(own))[order]
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """For x > 0, by Stirling's series eight steps up."""
     z, low = x + 8.0, np.zeros(len(x))
@@ -187,7 +197,7 @@ def _count(parts: int):
             for rows in row_groups(batch, limit=SLICE):
                 words = words_of(rows.column("text"), lower=True)
                 for kind, keys in ((WORD, tokens(words)[0]), (GRAM, serial(words)[0])):
-                    held[kind].append(np.unique(keys, return_counts=True))
+                    held[kind].append(_counted(keys))
                     if sum(len(k) for k, _ in held[kind]) > HELD:
                         held[kind] = [_merged(held[kind])]
                         if len(held[kind][0][0]) > HELD // 2:
@@ -264,8 +274,8 @@ def _distinct(rows: pa.RecordBatch) -> dict[int, np.ndarray]:
     found = {WORD: [np.zeros(0, np.uint64)], GRAM: [np.zeros(0, np.uint64)]}
     for part in row_groups(rows, limit=SLICE):
         words = words_of(part.column("text"), lower=True)
-        found[WORD].append(np.unique(tokens(words)[0]))
-        found[GRAM].append(np.unique(serial(words)[0]))
+        found[WORD].append(pd.unique(tokens(words)[0]))
+        found[GRAM].append(pd.unique(serial(words)[0]))
     return {k: np.unique(np.concatenate(v)) for k, v in found.items()}
 
 
@@ -312,8 +322,8 @@ def _score(parts: int):
             words = words_of(part.column("text"), lower=True)
             found = {WORD: tokens(words), GRAM: serial(words)}
             # Distinct keys, where each key of the texts is among them, and how many each text has.
-            placed = {k: (*np.unique(keys, return_inverse=True), sizes) for k, (keys, sizes) in found.items()}
-            slices.append((part, {k: (own, back.astype(np.int32), sizes) for k, (own, back, sizes) in placed.items()}))
+            placed = {k: (*pd.factorize(keys), sizes) for k, (keys, sizes) in found.items()}
+            slices.append((part, {k: (own, back.astype(np.int32), sizes) for k, (back, own, sizes) in placed.items()}))
         came = {(k, b): v for k, b, v in zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["value"])}
         keys, value = {}, {}
         for kind, number in ((WORD, np.int64), (GRAM, np.float64)):
@@ -343,10 +353,18 @@ def score(docs: DataFrame, model: Model, groups: int | None = None) -> DataFrame
     session, buckets = docs.sparkSession, model.buckets
     tag = F.coalesce(F.xxhash64("text"), F.lit(0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.coalesce("text", F.lit("")).alias("text"), tag.alias("tag"))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(groups or shuffle_parts(session))).cast("int"))
+    if groups is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        groups = max(shuffle_parts(session), -(-size // GROUP_BYTES))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(groups)).cast("int"))
     by_group, top = rows.groupBy("grp"), session.sparkContext.broadcast(model.top)
-    asked = by_group.applyInArrow(_ask(buckets), _ASKED)
-    answers = asked.groupBy("kind", "bucket").cogroup(model.parts.groupBy("kind", "bucket")).applyInArrow(_answer(top), _ANSWERS)
+    # What all groups ask of the commonest ending grows with the texts, the part that answers does not: it is sent to several tasks.
+    share = F.floor(F.col("grp") / ANSWERED).cast("int")
+    asked = by_group.applyInArrow(_ask(buckets), _ASKED).withColumn("share", share)
+    shares = F.sequence(F.lit(0), F.lit((groups - 1) // ANSWERED))
+    parts = model.parts.withColumn("share", F.explode(shares))
+    place = ["kind", "bucket", "share"]
+    answers = asked.groupBy(*place).cogroup(parts.groupBy(*place)).applyInArrow(_answer(top), _ANSWERS)
     return by_group.cogroup(answers.groupBy("grp")).applyInArrow(_score(buckets), _SCORES)
 
 

@@ -9,6 +9,7 @@ It is copied to those cells, and every cell is then joined on its own. Any pivot
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,13 @@ from pyspark.sql import functions as F
 
 from redressa.llm.common import written
 from redressa.llm.links import components, local_components
+from redressa.operators.lookup import lookup_join
 
 LEAST_COSINE = 0.98
-#: Vectors a cell should have, the bound of pivots that are sent to all tasks, and the side of a block of one task.
-CELL, MOST_PIVOTS, BLOCK = 2000, 256, 4096
+#: Vectors a cell should have, the bytes of pivots that may be sent to all tasks, and the side of a block of one task.
+CELL, PIVOT_BYTES, BLOCK = 2000, 64 << 20, 4096
+#: Distances that a task works out at a time.
+AT_ONCE = 1 << 21
 #: Slack on the bounds only; pairs are decided by the cosine itself.
 SLACK = 1e-6
 
@@ -35,8 +39,10 @@ def _units(column: pa.Array) -> np.ndarray:
 
 
 def _cells(pivots: dict[int, np.ndarray], radius: float):
+    rows_at_once = max(1, AT_ONCE // max(map(len, pivots.values()), default=1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, rows_at_once) for b in batches for lo in range(0, len(b), rows_at_once)):
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 rows = batch.filter(pa.array(dims == dim))
@@ -48,7 +54,7 @@ def _cells(pivots: dict[int, np.ndarray], radius: float):
                     home = dots.argmax(axis=1)
                     best = dots[np.arange(len(rows)), home][:, None]
                     far = lambda x: np.sqrt(np.maximum(2 - 2 * x, 0))
-                    between = far(own @ own.T)[home]
+                    between = far(own[home] @ own.T)
                     near = (far(dots) - far(best) <= 2 * radius + SLACK) & (best - dots <= radius * between + SLACK)
                     near[np.arange(len(rows)), home] = True
                     cells = [np.flatnonzero(x).tolist() for x in near]
@@ -63,7 +69,7 @@ def _cells(pivots: dict[int, np.ndarray], radius: float):
 def _join(least: float):
     def run(block: pa.Table) -> pa.Table:
         """Links of the queries of one block to its targets: a row with the weight linked to each, and links that span them."""
-        rep, weight = block["rep"].to_numpy(), block["weight"].to_numpy()
+        rep, weight = block["key"].to_numpy(), block["weight"].to_numpy()
         units = _units(block["embedding"].combine_chunks())
         query, target = (np.flatnonzero(block[c].to_numpy(zero_copy_only=False)) for c in ("query", "target"))
         total, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
@@ -95,7 +101,9 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, cell: int = CE
     Every row is a vector. Null, empty or zero vectors, those with null or non-finite components, and
     rows without label or id link with nothing: n_links 0 and their own component. Vectors of different
     length never link. Equal vectors of a label are one class, joined once and counted by its size; a
-    class is named by its smallest id. Cells larger than ``block`` are joined block by block.
+    class is named by a hash, as two of them may hold rows of the same id, which then share no more than it. Cells larger
+    than ``block`` are joined block by block. The number of pivots grows with the largest label, and from
+    some millions of vectors on as its root, so that finding the cells takes no more work than joining them.
     """
     rows = vectors.select("vec_id", "embedding", "label")
     number = F.col("embedding").cast("array<double>")
@@ -114,9 +122,10 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, cell: int = CE
         ).withColumn("dim", F.size("embedding").cast("long")).withColumn("key", F.xxhash64("_h1", "_h2")),
         "vector-classes",
     )
-    # The largest label decides how many pivots; a bounded number of vectors, spread by hash.
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    count = min(MOST_PIVOTS, -(-largest // cell))
+    # The largest label decides how many pivots; vectors spread by hash, of a bounded size.
+    per_label = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim"))
+    largest, longest = per_label.agg(F.max("n"), F.max("dim")).first()
+    count = min(-(-(largest or 0) // cell), math.isqrt(largest or 0) + 1, max(2, PIVOT_BYTES // (8 * (longest or 1))))
     chosen = classes.orderBy("key").limit(count).select("dim", "embedding").toArrow() if count > 1 else None
     pivots = {}
     if chosen is not None:
@@ -124,7 +133,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, cell: int = CE
         for dim in np.unique(dims):
             pivots[int(dim)] = _units(chosen["embedding"].combine_chunks().filter(pa.array(dims == dim)))
     radius = float(np.sqrt(2 - 2 * least))
-    names = ["rep", "weight", "label", "dim", "embedding"]
+    names = ["key", "weight", "label", "dim", "embedding"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.select(*names).schema)
     placed = written(
         classes.select(*names).mapInArrow(_cells(pivots, radius), f"{kinds}, home long, cells array<long>"), "vector-cells"
@@ -132,7 +141,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, cell: int = CE
     where = ["label", "dim", "cell"]
     members = placed.withColumn("cell", F.explode("cells")).drop("cells")
     sizes = members.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    split = members.join(sizes, where).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    split = members.join(sizes, where).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")))
     # Block (i, j) joins the j-th part of a cell's members to the i-th part of those at home in it.
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     at_home = F.col("home") == F.col("cell")
@@ -143,17 +152,20 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, cell: int = CE
         F.col("own").alias("i"), j.alias("j"), F.lit(False).alias("query"), F.lit(True).alias("target")
     ))
     blocks = split.withColumn("p", F.explode(F.concat(as_query, as_target))).select(
-        *where, "rep", "weight", "embedding", "p.*"
+        *where, "key", "weight", "embedding", "p.*"
     )
     found = written(blocks.groupBy(*where, "i", "j").applyInArrow(_join(least), "a long, b long, n long"), "vector-links")
     counts = found.groupBy("a").agg(F.sum("n").alias("linked"))
     roots = components(found.select("a", "b"))
-    known = (
-        classes.select("_h1", "_h2", "rep", "weight")
-        .join(counts, F.col("rep") == F.col("a"), "left")
-        .join(roots, F.col("rep") == F.col("node"), "left")
-        .select("_h1", "_h2", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("root", "rep").alias("root"))
+    named = (
+        classes.select("_h1", "_h2", "key", "rep", "weight")
+        .join(counts, F.col("key") == F.col("a"), "left")
+        .join(roots, F.col("key") == F.col("node"), "left")
+        .withColumn("group", F.coalesce("root", "key"))
     )
+    named = written(named.select("_h1", "_h2", "rep", "group", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n")), "vector-groups")
+    smallest = named.groupBy("group").agg(F.min("rep").alias("root"))
+    known = lookup_join(named, smallest, ["group"], "inner").select("_h1", "_h2", "n", "root")
     component = F.coalesce("root", "vec_id")
     return keyed.select("vec_id", "_h1", "_h2").join(known, ["_h1", "_h2"], "left").select(
         "vec_id",

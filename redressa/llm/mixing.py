@@ -162,9 +162,9 @@ def described(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, weights: Mapping[str, Mapping[str, float]], share: float, seed: int = 0) -> DataFrame:
     """The documents of one epoch that fit the budgets of the domain-language-source tree, with their own columns only."""
-    levels = {
-        "_domain": domain_of(F.col("source")), "_lang": level_of(F.col("lang")), "_source": level_of(F.col("source")),
-    }
-    known = {f"_{level}": values for level, values in weights.items()}
-    rows = docs.withColumns({**levels, "tag": F.xxhash64("text"), "n_tokens": count_words(F.col("text"))})
-    return mix(rows, list(levels), known, share, seed=seed).filter("copies > 0").select(*docs.columns)
+    # The documents travel in one column, so that none of theirs meets a column of the plan.
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_document"), "doc_id", F.xxhash64("text").alias("tag"), count_words(F.col("text")).alias("n_tokens"),
+        domain_of(F.col("source")).alias("domain"), level_of(F.col("lang")).alias("lang"), level_of(F.col("source")).alias("source"),
+    )
+    return mix(rows, ["domain", "lang", "source"], weights, share, seed=seed).filter("copies > 0").select("_document.*")

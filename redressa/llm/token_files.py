@@ -9,11 +9,13 @@ sequence of a shard is padded, where the mask is false. Beside it, ``.docs.arrow
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +42,16 @@ def file_system(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 class WordEncoder:
-    """Ids of texts under a BPE whose pre-tokens never span white space, so that words are encoded once.
+    """Ids of texts; under a BPE whose pre-tokens never span white space, words are encoded once.
 
     The result is that of ``Tokenizer.encode`` on the whole text. Words of plain Latin letters, digits
-    and marks go to the tokenizer's model directly; all others through the whole tokenizer.
+    and marks go to the tokenizer's model directly; all others through the whole tokenizer. A vocabulary file
+    whose normal form and split are not the ones that this relies on is used on whole texts.
     """
 
+    #: The settings of a vocabulary file under which words can be encoded on their own.
+    NORMAL_FORM = [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)]
+    WORD_SPLIT = [("Split", {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}), ("ByteLevel", None)]
     #: The vocabulary's own split; white space is in none of its alternatives.
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     #: Characters whose lower case and form do not depend on their neighbours; no special token has a place here.
@@ -55,6 +61,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        told = json.loads(self.whole.to_str())
+        steps = lambda part, name: [(x["type"], x.get("pattern")) for x in (part or {}).get(name, [])]
+        self.by_word = (
+            steps(told["normalizer"], "normalizers") == self.NORMAL_FORM and steps(told["pre_tokenizer"], "pretokenizers") == self.WORD_SPLIT
+            and not told["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"] and not told["pre_tokenizer"]["pretokenizers"][1]["use_regex"]
+            and not any(regex.search(r"\s", t["content"]) or self.PLAIN.fullmatch(t["content"]) for t in told["added_tokens"])
+        )
         self.size = self.whole.get_vocab_size()
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         spare = iter(range(256, 512))
@@ -84,6 +97,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by ``end_id``, and how many each has."""
+        if not self.by_word:
+            each = [x.ids + [end_id] for x in self.whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            lengths = np.array([len(x) for x in each], np.int64)
+            return np.fromiter(chain.from_iterable(each), np.uint32, lengths.sum()), lengths
         if len(self.known) > REMEMBERED:
             self.clear()
         if b"" not in self.known:  # stands for the end of a text

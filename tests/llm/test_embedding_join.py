@@ -42,6 +42,7 @@ def rows():
     out += [(600, [2 * x for x in out[7][1]], out[7][2]), (601, out[7][1], None), (602, None, 0), (603, [], 0), (604, [0.0] * 6, 0)]
     out += [(605, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (606, [math.nan] * 6, 0), (607, [math.inf] * 6, 0), (None, out[7][1], 0)]
     out += [(608, [1.0, 0.0], 0), (609, [1.0, 0.01], 0), (610, [3e38] * 6, 1), (611, [1e-38] * 6, 1)]
+    out += [(701, [1.0, 0.0], 5), (701, [0.0, 1.0], 5), (702, [0.0, 1.0], 5), (703, [1.0, 0.001], 5)]  # one id, two vectors
     return out
 
 
@@ -53,6 +54,12 @@ def test_same_as_every_pair(spark, rows, cell, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
 
 
+def test_many_pivots_in_small_steps(spark, rows, monkeypatch):
+    monkeypatch.setattr(embedding_join, "AT_ONCE", 50)
+    got = embedding_join.near_vectors(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), cell=1).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute(rows)
+
+
 def test_given_table(spark):
     data = [tuple(r) for r in table(spark, "/root/testdata/sf0.001", "embeddings").select("vec_id", "embedding", "label").collect()]
     got = embedding_join.near_vectors(table(spark, "/root/testdata/sf0.001", "embeddings"), cell=50).collect()

@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from redressa.llm import mixing
 
@@ -82,6 +83,16 @@ def test_odd_rows(spark, docs, no_docs, small_docs):
     }
 
 
+def test_documents_keep_columns_of_any_name(spark, docs):
+    names = ["tag", "n_tokens", "budget", "copies", "_rest", "_bin", "_order", "_whole", "_document", "domain", "tokens", "n", "_cut"]
+    given = docs.select("*", *[F.concat(F.lit(name), "text").alias(name) for name in names if name not in docs.columns])
+    kept = mixing.mixed(given, {"lang": {"en": 2}}, 0.6, seed=5)
+    assert kept.columns == given.columns
+    plain = mixing.mixed(docs, {"lang": {"en": 2}}, 0.6, seed=5)
+    assert sorted(map(str, kept.select(*docs.columns).collect())) == sorted(map(str, plain.collect()))
+    assert kept.filter(" OR ".join(f"`{name}` <> concat('{name}', text)" for name in names)).count() == 0
+
+
 def test_rows_of_one_id_are_cut_again(spark, monkeypatch):
     """A third of a leaf's rows share an id, and many of those a length: few are left to be put in order."""
     rng, left = random.Random(3), []

@@ -50,6 +50,17 @@ def test_words_encode_as_in_whole_texts(small_docs):
         assert list(ids[:-1]) == whole.encode(text, add_special_tokens=False).ids and counts[0] == len(ids)
 
 
+def test_another_vocabulary(spark, small_docs):
+    """Settings under which words cannot be encoded on their own: whole texts are."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, whole = token_files.WordEncoder(path), Tokenizer.from_file(path)
+    assert not own.by_word and token_files.WordEncoder(VOCABULARY).by_word
+    texts = [t for _, t, _ in small_docs[:40]] + ["", None, "  two  spaces\n"]
+    ids, counts = own.encode(texts, 7)
+    want = [whole.encode(t or "", add_special_tokens=False).ids + [7] for t in texts]
+    assert list(ids) == [i for x in want for i in x] and list(counts) == [len(x) for x in want]
+
+
 def test_empty(no_docs):
     assert token_files.token_output(no_docs, VOCABULARY).count() == 0
 
