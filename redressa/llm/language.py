@@ -3,7 +3,8 @@
 Each language has a probability for every piece of a public vocabulary. The probability of a word is the
 sum, over all ways to cut it into pieces, of the product of their probabilities, by the forward
 algorithm; a text is the product of its words. The piece probabilities are fitted by
-expectation-maximisation with the same sum. Every single byte is a piece, so any text has a probability.
+expectation-maximisation with the same sum, over words of up to 32 bytes and such parts of longer ones.
+Predictions sum over whole words. Every single byte is a piece, so any text has a probability.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from redressa.llm.words import mix, powers, row_groups, words_of
 
 #: Bounds of the labelled sample the probabilities are fitted on, for each language.
 FIT_DOCS, FIT_BYTES, ROUNDS = 3000, 24 << 20, 3
-#: A longer word is scored in parts of so many bytes.
+#: The fit takes longer words in parts of so many bytes; predictions take whole words.
 PART = 32
+#: Bytes of words that are scored at a time, and below which chances are scaled up.
+AT_ONCE, FAINT = 600_000, 1e-150
 PRIOR_COUNT = 0.02
 SLICE = 8 << 20
 _BASE = 0xD6E8FEB86659FD93
@@ -40,7 +43,7 @@ class Pieces:
         for i in range(model.get_piece_size()):
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
                 found.add(model.id_to_piece(i).replace("▁", " ").encode())
-        pieces = sorted(p for p in found if len(p) <= PART + 1)
+        pieces = sorted(found)
         self.size = len(pieces)
         self.longest = max(map(len, pieces))
         hashes = np.array([self.hash(np.frombuffer(p, np.uint8)) for p in pieces], np.uint64)
@@ -51,25 +54,33 @@ class Pieces:
 
     @staticmethod
     def hash(part: np.ndarray) -> np.uint64:
-        power, _ = powers(_BASE, PART + 2)
+        power, _ = powers(_BASE, len(part))
         return mix(np.array([((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)]).sum()], np.uint64))[0]
 
     def found(self, text: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Of words of equal length, one a row: (from, to, rows, piece ids), with ascending ``to``."""
-        power, inverse = powers(_BASE, PART + 2)
         m, n = text.shape
+        power, inverse = powers(_BASE, n + 2)
         total = np.zeros((n + 1, m), np.uint64)
         np.cumsum((text.T.astype(np.uint64) + np.uint64(1)) * power[:n, None], axis=0, out=total[1:])
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                h = mix((total[j] - total[i]) * inverse[i])
-                rows = np.flatnonzero(self.slots[h >> np.uint64(64 - _BITS)])
-                if len(rows):
-                    at = np.searchsorted(self.hashes, h[rows])
-                    at[at == self.size] = 0
-                    same = self.hashes[at] == h[rows]
-                    if same.any():
-                        yield i, j, rows[same], self.ids[at[same]]
+        ends, sizes, rows, ids = [], [], [], []
+        for size in range(1, min(self.longest, n) + 1):
+            h = mix((total[size:] - total[:-size]) * inverse[: n - size + 1, None])
+            start, row = np.nonzero(self.slots[h >> np.uint64(64 - _BITS)])
+            sought = h[start, row]
+            at = np.searchsorted(self.hashes, sought)
+            at[at == self.size] = 0
+            same = self.hashes[at] == sought
+            ends.append(start[same] + size)
+            sizes.append(np.full(int(same.sum()), size))
+            rows.append(row[same])
+            ids.append(self.ids[at[same]])
+        end, size, row, piece = (np.concatenate(x) for x in (ends, sizes, rows, ids))
+        order = np.lexsort((row, -size, end))
+        end, size, row, piece = end[order], size[order], row[order], piece[order]
+        edges = np.flatnonzero(np.concatenate([[True], (end[1:] != end[:-1]) | (size[1:] != size[:-1])])) if len(end) else []
+        for lo, hi in zip(edges, [*edges[1:], len(end)]):
+            yield int(end[lo] - size[lo]), int(end[lo]), row[lo:hi], piece[lo:hi]
 
 
 @lru_cache(maxsize=2)
@@ -98,15 +109,45 @@ def _parts(words, pick: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield index[rows], text
 
 
+def _whole(words, pick: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Equal-length picked words: (index into ``pick``, byte matrix with a leading space)."""
+    lengths = words.ends[pick] - words.starts[pick]
+    order = np.argsort(lengths, kind="stable")
+    edges = np.flatnonzero(np.diff(lengths[order], prepend=-1))
+    for lo, hi in zip(edges, [*edges[1:], len(order)]):
+        length = int(lengths[order[lo]])
+        step = max(1, AT_ONCE // (length + 1))
+        for at in range(lo, hi, step):
+            rows = order[at : min(hi, at + step)]
+            text = np.full((len(rows), length + 1), 32, np.uint8)
+            text[:, 1:] = words.data[words.starts[pick][rows][:, None] + np.arange(length)]
+            yield rows, text
+
+
 def log_likelihood(pieces: Pieces, chance: np.ndarray, words, pick: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of each picked word under each language; ``chance`` is pieces x languages."""
+    """Natural log of the probability of each picked word under each language; ``chance`` is pieces x languages.
+
+    Sums reach back over the longest piece only, so a word of any length is summed over all its segmentations; where
+    they get faint they are scaled up.
+    """
     out = np.zeros((len(pick), chance.shape[1]))
-    for index, text in _parts(words, pick):
-        forward = np.zeros((text.shape[1] + 1, len(text), chance.shape[1]))
-        forward[0] = 1
+    reach = pieces.longest + 1
+    for index, text in _whole(words, pick):
+        # Sums of the last positions, in turn; a position is cleared when it is reached again.
+        forward = np.zeros((reach, len(text), chance.shape[1]))
+        forward[0], scaled, now = 1, np.zeros(forward.shape[1:]), 0
         for i, j, rows, ids in pieces.found(text):
-            forward[j, rows] += forward[i, rows] * chance[ids]
-        np.add.at(out, index, np.log(np.maximum(forward[-1], 1e-300)))
+            if j != now:
+                now = j
+                forward[j % reach] = 0
+                if j % 8 == 0:
+                    largest = forward.max(axis=0)
+                    faint = largest < FAINT
+                    if faint.any():
+                        forward[:, faint] /= largest[faint]
+                        scaled[faint] += np.log(largest[faint])
+            forward[j % reach, rows] += forward[i % reach, rows] * chance[ids]
+        out[index] = np.log(np.maximum(forward[text.shape[1] % reach], 1e-300)) + scaled
     return out
 
 

@@ -39,6 +39,27 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(got[:, k], want)
 
 
+def test_long_words_are_summed_whole():
+    """Words beyond the reach of a double, without spaces, and of several bytes a character, against sums of logarithms."""
+    pieces = language.pieces_of(VOCABULARY)
+    rng = np.random.default_rng(4)
+    chance = rng.dirichlet(np.full(pieces.size, 0.3), 3).T + 1e-12
+    texts = ["there" * 90, "東京都は日本の首都である" * 9, "x" * 500, "of", "internationalisation" * 3]
+    words = words_of(pa.array([" ".join(texts)]), lower=True)
+    got = language.log_likelihood(pieces, chance, words, np.arange(5))
+    known = {int(h): i for h, i in zip(pieces.hashes, pieces.ids)}
+    for n, text in enumerate(texts):
+        data = np.frombuffer(f" {text}".encode(), np.uint8)
+        total = np.full((len(data) + 1, 3), -np.inf)
+        total[0] = 0
+        for j in range(1, len(data) + 1):
+            for i in range(max(0, j - pieces.longest), j):
+                piece = known.get(int(pieces.hash(data[i:j])))
+                if piece is not None:
+                    total[j] = np.logaddexp(total[j], total[i] + np.log(chance[piece]))
+        assert np.allclose(got[n], total[-1])
+
+
 def test_expected_counts_weigh_pieces_by_their_share():
     pieces = language.pieces_of(VOCABULARY)
     chance = np.full((pieces.size, 1), 1 / pieces.size)
