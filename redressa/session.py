@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,7 +56,30 @@ def run_folder(spark: SparkSession) -> str:
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the run's folder; never reused, so nothing is overwritten."""
-    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in getattr(_scopes, "open", []):
+        scope.append(folder)
+    return folder
+
+
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Working tables that this thread makes inside go at the end, also when it fails.
+
+    For work that writes its results elsewhere, such as a batch of a stream: a stream that runs for long would fill the
+    shared folder.
+    """
+    _scopes.open = [*getattr(_scopes, "open", []), []]
+    try:
+        yield
+    finally:
+        made = _scopes.open[-1]
+        _scopes.open = _scopes.open[:-1]
+        for folder in made:
+            _delete(spark, folder)
 
 
 def materialized(df: DataFrame, name: str = "step") -> DataFrame:
@@ -69,5 +95,9 @@ def materialized(df: DataFrame, name: str = "step") -> DataFrame:
 
 def clean_up(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application, once no result that reads them is needed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    _delete(spark, run_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

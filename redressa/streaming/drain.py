@@ -11,7 +11,7 @@ from redressa.operators.lookup import lookup_join
 from redressa.operators.stores import latest_per_ticket
 from redressa.plans.delegate import Classifier, delegate_batch, read_complaints, ticket_rows
 from redressa.plans.intake import blank_submissions, submit_complaints
-from redressa.session import materialized
+from redressa.session import materialized, scratch
 from redressa.sources.queue import parse_complaints, publish, quarantine
 from redressa.sources.tables import read_batch, read_batches, write_batch
 from redressa.streaming.late import beside, put_late_aside
@@ -30,15 +30,21 @@ def drain(stream: DataFrame, handle, checkpoint: str, output_mode: str = "append
     """Run ``handle(batch, batch_id)`` over all that is waiting, then stop.
 
     Offsets are committed after ``handle`` returns: a batch that failed is handled again, so
-    nothing is lost, and outputs keyed by the batch id make the repetition harmless. State is kept in
-    RocksDB, with its snapshots beside the offsets, so it is not bounded by memory.
+    nothing is lost, and outputs keyed by the batch id make the repetition harmless. Working tables of a
+    batch are removed when it is done. State is kept in RocksDB, with its snapshots beside the offsets, so it is
+    not bounded by memory.
     """
+
+    def scoped(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            handle(batch, batch_id)
+
     conf = stream.sparkSession.conf
     before = conf.get(STATE_STORE, None)
     conf.set(STATE_STORE, ROCKS)
     try:
         query = (
-            stream.writeStream.foreachBatch(handle)
+            stream.writeStream.foreachBatch(scoped)
             .outputMode(output_mode)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-from redressa.functions.text import BROWSER_WHITESPACE, STOP_WORDS
-from redressa.operators.packing import PROMPT_HEAD
+# Fixed values, written down anew so that a change of the code under test shows: the usual English stop-word list, without the
+# words with an apostrophe, which expansion knows.
+STOP_WORDS = """
+a about above after again against ain all am an and any are aren as at be because been before being below between both but by
+can couldn d did didn do does doesn doing don down during each few for from further had hadn has hasn have haven having he her
+here hers herself him himself his how i if in into is isn it its itself just ll m ma me mightn more most mustn my myself
+needn no nor not now o of off on once only or other our ours ourselves out over own re s same shan she should shouldn so some
+such t than that the their theirs them themselves then there these they this those through to too under until up ve very was wasn
+we were weren what when where which while who whom why will with won wouldn y you your yours yourself yourselves
+""".split()
+
+# The white space a browser trims from an input field, as the body of a character class.
+BROWSER_WHITESPACE = r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+
+PROMPT_HEAD = (
+    "You sort customer complaints. For each numbered complaint below name the team in charge (Admin, Developers, Payments, "
+    "Quality Control, Logistics, Miscellaneous) and how severe it is, from 1 to 5. Reply with one line each, such as: 1. Team, 3. "
+    "Complaints:\n"
+)
 
 # The white-space characters, as the body of a character class.
 WHITESPACE = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
-# All stop words but those with an apostrophe, which expansion knows; none of its informal forms is a stop word.
-_DROPPED = ", ".join(f"'{word}'" for word in STOP_WORDS if "'" not in word)
+# None of the informal forms of expansion is a stop word.
+_DROPPED = ", ".join(f"'{word}'" for word in STOP_WORDS)
 # Written down by hand: what becomes of the informal forms.
 _INFORMAL = {
     "gonna": "going to", "wanna": "want to", "gotta": "got to", "kinda": "kind of", "sorta": "sort of", "outta": "out of",

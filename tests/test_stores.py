@@ -259,6 +259,27 @@ def test_stream_is_replayed_after_a_failure(spark):
     assert all("<b>" not in m.body for m in mails)
 
 
+def test_working_tables_of_a_batch_are_removed(spark):
+    import os
+
+    from redressa.session import materialized, run_folder, scratch
+
+    made = []
+    with pytest.raises(RuntimeError), scratch(spark):
+        made += materialized(store(spark), "outer").inputFiles()
+        with scratch(spark):
+            made += materialized(store(spark), "inner").inputFiles()
+        raise RuntimeError("a batch that fails")
+    assert made and not any(os.path.exists(f.removeprefix("file://")) for f in made)
+    before = set(os.listdir(run_folder(spark)))
+    folder = work_folder(spark, "kept")
+    put(spark, f"{folder}/in", "a", [body(1, "pay"), body(2, "ship")])
+    source = drain.fresh_tickets(drain.read_queue(spark, f"{folder}/in/*"))
+    drain.drain(source, drain.delegate(folder, delegate.by_lexicon(lexicon(spark))), f"{folder}/offsets")
+    assert drain.read_tickets(spark, folder).count() == 2
+    assert {name.split("-")[0] for name in set(os.listdir(run_folder(spark))) - before} <= {"kept", "changes", "lookup"}
+
+
 def test_a_submitted_complaint_is_stored_and_published(spark):
     folder = work_folder(spark, "intake")
     events = dialogs(spark, [event("SubmitComplaint", {"order_id": None, "complaint_text": slot("broken")})])
