@@ -13,6 +13,8 @@ def record(**fields: T.DataType) -> T.StructType:
 
 COMPLAINT = record(ticket_id=_S, user_id=_S, order_id=_S, complaint_text=_S, status=_S, timestamp=_S)
 TICKET = record(ticket_id=_S, raised_ts=_TS, team_name=_S, severity_level=_INT, status=_S, resolved_ts=_TS)
+CLASSIFIED = record(ticket_id=_S, raised_ts=_TS, user_id=_S, team=_S, severity=_INT)
+MAIL = record(recipient=_S, subject=_S, page=T.LongType(), body=_S)
 
 CHAT_REQUEST = record(messages=T.ArrayType(record(type=_S, unstructured=record(id=_S, text=_S))))
 

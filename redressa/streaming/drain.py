@@ -11,6 +11,7 @@ from redressa.operators.lookup import lookup_join
 from redressa.operators.stores import latest_per_ticket
 from redressa.plans.delegate import Classifier, delegate_batch, read_complaints, ticket_rows
 from redressa.plans.intake import blank_submissions, submit_complaints
+from redressa.schemas import CLASSIFIED, MAIL
 from redressa.session import materialized, scratch
 from redressa.sources.queue import parse_complaints, publish, quarantine
 from redressa.sources.tables import read_batch, read_batches, write_batch
@@ -96,12 +97,19 @@ def delegate(folder: str, classify: Classifier, stop_words=None, table=None):
         messages = both.filter("given IS NOT NULL").select("given.*")
         fresh = both.filter("result IS NOT NULL").select("result.*")
         written(quarantine(messages), "quarantine")
-        received = lookup_join(read_complaints(messages), fresh, ["ticket_id"], "left_semi", unique_facts=True)
+        if fresh.isEmpty():
+            received = parse_complaints(messages).limit(0)
+        else:
+            received = lookup_join(read_complaints(messages), fresh, ["ticket_id"], "left_semi", unique_facts=True)
         complaints = written(received, "complaints")
-        classified = written(delegate_batch(complaints, classify, stop_words, table), "classified")
-        texts = complaints.select("ticket_id", "complaint_text")
+        if fresh.isEmpty():  # nothing new has come: no model is asked, the outputs get no row
+            classified, mails = (batch.sparkSession.createDataFrame([], schema) for schema in (CLASSIFIED, MAIL))
+            written(classified, "classified")
+        else:
+            classified = written(delegate_batch(complaints, classify, stop_words, table), "classified")
+            mails = outbox(classified.join(complaints.select("ticket_id", "complaint_text"), "ticket_id"))
         written(ticket_rows(classified), "tickets")
-        written(outbox(classified.join(texts, "ticket_id")), "outbox")
+        written(mails, "outbox")
         written(complaints.withColumn("status", F.lit(DELEGATED)), "store")
 
     return handle

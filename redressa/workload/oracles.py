@@ -499,6 +499,13 @@ _SQL["answer_ledger"] = f"""
         SELECT ({len(PROMPT_HEAD)} + sum(chars + length(CAST(item AS VARCHAR)) + 3)) // 4 AS n
         FROM packed JOIN lines USING (ticket_id) GROUP BY packed.run, batch))
     UNION ALL SELECT CAST(2 AS INTEGER), 0, 0, count(*) FILTER (usable) FROM answered"""
+_SQL["delegate_nothing"] = """
+    SELECT unnest(['quarantine', 'complaints', 'classified', 'tickets', 'outbox', 'store']) AS output, unnest([count(*), 0, 0, 0, 0, 0]) AS n FROM documents"""
+_TABLE_WORDS = "CASE lower(w) WHEN 'it' THEN 'that thing' WHEN 'les' THEN 'toutes les' WHEN 'und' THEN 'und auch' ELSE w END"
+_BUT_IT = ", ".join(f"'{word}'" for word in STOP_WORDS if word != "it")
+_SQL["preprocess_table"] = f"""
+    SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split({_expand('kept')}, ' '), lambda w: {_TABLE_WORDS}), ' '), '{_KEPT}', '', 'g') AS text
+    FROM (SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda w: lower(w) NOT IN ({_BUT_IT})), ' ') AS kept FROM documents)"""
 _SECONDS = "epoch(resolved_ts)::BIGINT - epoch(raised_ts)::BIGINT"
 _SQL["open_backlog"] = """
     SELECT team_name, strftime(d, '%Y-%m-%d') AS day, opened, closed,

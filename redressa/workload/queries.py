@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -307,6 +308,13 @@ def preprocess_text(spark, folder):
     return _documents(spark, folder).select("doc_id", text.preprocess(F.col("text")).alias("text"))
 
 
+@registered
+def preprocess_table(spark, folder):
+    """Cleaning with a table of expansions of one's own: what it expands is not dropped as a stop word."""
+    cleaned = text.preprocess(F.col("text"), table=EXTRA_EXPANSIONS)
+    return _documents(spark, folder).select("doc_id", cleaned.alias("text"))
+
+
 @registered
 def estimate_tokens(spark, folder):
     return _documents(spark, folder).select("doc_id", text.estimate_tokens(F.col("text")).alias("n"))
@@ -702,6 +710,22 @@ def delegate_outbox(spark, folder):
     return read_batches(spark, f"{target}/outbox").select("recipient", "subject", "page", F.md5("body").alias("body"))
 
 
+@registered
+def delegate_nothing(spark, folder):
+    """A queue that holds nothing but bodies that were cut short: every batch is put aside, no output gets a row."""
+    target = work_folder(spark, "nothing")
+    bodies = queue.publish(views.complaints(spark, folder)).withColumn("body", F.expr("substring(body, 1, length(body) - 7)"))
+    bodies.repartition(2).write.text(f"{target}/in")
+    views.lexicon(spark, folder).write.parquet(f"{target}/lexicon")
+    by_lexicon = delegate.by_lexicon(spark.read.parquet(f"{target}/lexicon"))
+    drain.drain(drain.fresh_tickets(drain.read_queue(spark, f"{target}/in", 1)), drain.delegate(target, by_lexicon), f"{target}/offsets")
+    counts = [
+        read_batches(spark, f"{target}/{name}").agg(F.count(F.lit(1)).alias("n")).withColumn("output", F.lit(name))
+        for name in ("quarantine", "complaints", "classified", "tickets", "outbox", "store")
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def _progressed(spark, folder):
     target = work_folder(spark, "progress")
     progress.progress(stores.sample_open(views.store(spark, folder), k=None), _as_of(), target, 0)

@@ -332,6 +332,34 @@ def test_missing_fields_lose_no_ticket(spark, by_scorer):
     assert all(m.body for m in mails) and sum(m.body.count("<tr><td>") for m in mails) == 10
 
 
+def test_a_replayed_batch_asks_the_model_nothing(spark, tmp_path):
+    import re
+    import uuid
+
+    def connect():
+        def score(prompt):
+            (tmp_path / uuid.uuid4().hex).touch()
+            return "\n".join(f"{n}. Admin, 2" for n in re.findall(r"^(\d+)\. ", prompt, re.MULTILINE)), len(prompt)
+
+        return score
+
+    folder = work_folder(spark, "asked")
+    put(spark, f"{folder}/in", "a", [body(i, f"text {i}") for i in range(3)])
+    handle = drain.delegate(folder, delegate.by_scorer(connect, ledger=f"{folder}/ledger"))
+    source = lambda: drain.fresh_tickets(drain.read_queue(spark, f"{folder}/in/*"))
+
+    def fails_late(batch, batch_id):
+        handle(batch, batch_id)
+        raise RuntimeError("lost after writing")
+
+    with pytest.raises(Exception):
+        drain.drain(source(), fails_late, f"{folder}/offsets")
+    asked = len(list(tmp_path.iterdir()))
+    drain.drain(source(), handle, f"{folder}/offsets")
+    assert asked == 1 == len(list(tmp_path.iterdir()))
+    assert {(r.ticket_id, r.team_name) for r in drain.read_tickets(spark, folder).collect()} == {(f"t{i}", "Admin") for i in range(3)}
+
+
 def test_nothing_to_do(spark):
     empty = bodies(spark, [])
     received = delegate.read_complaints(empty)
