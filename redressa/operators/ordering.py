@@ -53,12 +53,13 @@ def running_total(df: DataFrame, value: str, order: str, by: Sequence[str], bloc
     """Adds the sum of ``value`` up to each row in ``order`` within ``by``.
 
     ``block`` cuts the order into stretches. Sums run within a stretch, many tasks a key, and the totals of the
-    stretches before it, one row each, are added. Rows of one order are summed together; a null key is a key.
+    stretches before it, one row each, are added. Rows of one order are summed together; a null key is a key. Names of
+    columns that begin with ``_group``, ``_block``, ``_within`` and ``_earlier`` are taken.
     """
     blocks = df.withColumns({"_group": F.struct(F.lit(0).alias("_"), *by), "_block": block})
-    totals = blocks.groupBy("_group", "_block").agg(F.sum(value).alias("_total"))
+    totals = blocks.groupBy("_group", "_block").agg(F.sum(value).alias("_within"))
     before = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_group", "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    starts = totals.select("_group", "_block", F.coalesce(F.sum("_within").over(before), F.lit(0)).alias("_earlier"))
     upto = F.sum(value).over(Window.partitionBy("_group", "_block").orderBy(order))
-    summed = blocks.withColumn("_upto", upto).join(starts, ["_group", "_block"])
-    return summed.withColumn(name, F.col("_before") + F.col("_upto")).drop("_group", "_block", "_upto", "_before")
+    summed = blocks.withColumn("_within", upto).join(starts, ["_group", "_block"])
+    return summed.withColumn(name, F.col("_earlier") + F.col("_within")).drop("_group", "_block", "_within", "_earlier")
