@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from redressa.llm.common import written
 from redressa.operators.lookup import lookup_join
+from redressa.operators.ordering import running_total
 
-#: Documents a bin should have, and the binary digits of the order that bins are cut from.
-BIN, BIN_BITS = 2000, 32
+#: Documents a bin should have, the binary digits of the order that bins are cut from, and bins that are summed together.
+BIN, BIN_BITS, STRETCH = 2000, 32, 4096
 #: Budgets are rounded to this many digits before they are cut to whole tokens.
 DIGITS = 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,16 +90,20 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str,
     return rooted.join(given, above).drop("_root").withColumn("budget", F.floor(F.round("budget", DIGITS)).cast("long"))
 
 
-def _first_beyond(rows: DataFrame, levels: Sequence[str], piece: Column) -> DataFrame:
+def _first_beyond(rows: DataFrame, levels: Sequence[str], piece: Column, numbered: bool = False) -> DataFrame:
     """Per leaf of rows (levels, n_tokens, _rest, _before) the first piece of their order with which the tokens exceed _rest.
 
-    Result: levels, _piece, _before (the tokens up to it), _n (its rows); none if all rows fit.
+    Result: levels, _piece, _before (the tokens up to it), _n (its rows); none if all rows fit. Pieces that are
+    ``numbered`` may be very many: their sums run within stretches of them.
     """
     pieces = rows.withColumn("_piece", piece).groupBy(*levels, "_rest", "_before", "_piece").agg(
         F.sum("n_tokens").alias("_in"), F.count(F.lit(1)).alias("_n")
     )
-    upto = F.col("_before") + F.sum("_in").over(Window.partitionBy(*levels).orderBy("_piece"))
-    beyond = pieces.withColumn("_upto", upto).filter(F.col("_upto") > F.col("_rest"))
+    if numbered:
+        summed = running_total(pieces, "_in", "_piece", levels, F.floor(F.col("_piece") / STRETCH), "_sum")
+    else:
+        summed = pieces.withColumn("_sum", F.sum("_in").over(Window.partitionBy(*levels).orderBy("_piece")))
+    beyond = summed.withColumn("_upto", F.col("_before") + F.col("_sum")).filter(F.col("_upto") > F.col("_rest"))
     first = beyond.groupBy(*levels).agg(F.min(F.struct("_piece", (F.col("_upto") - F.col("_in")).alias("_before"), "_n")).alias("cut"))
     return written(first.select(*levels, "cut.*"), "mix-cut")
 
@@ -132,7 +137,7 @@ def mix(
         return placed.withColumns({"_bin": F.floor(head * F.col("_bins") / F.lit(1 << BIN_BITS)), "_order": order})
 
     binned = written(drawn(narrow, plan).select(*levels, "n_tokens", "_rest", "_bin", "_order"), "mix-drawn")
-    cut = _first_beyond(binned.withColumn("_before", F.lit(0).cast("long")), levels, F.col("_bin"))
+    cut = _first_beyond(binned.withColumn("_before", F.lit(0).cast("long")), levels, F.col("_bin"), numbered=True)
     bin_cut = cut.select(*levels, F.col("_piece").alias("_cut"))
     # Rows of one id share a bin; where the budget ends in it is found by id and length, by tag, and row by row.
     spread = F.floor((F.col("_order.tag").cast("double") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("_n") / BIN))

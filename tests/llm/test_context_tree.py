@@ -119,5 +119,14 @@ def test_beats_the_word_model_on_held_out_text(spark):
     assert all(r.score < 0 and r.bits_per_byte < 8 for r in rows)
 
 
+def test_questions_of_many_groups(spark, rows, got, monkeypatch):
+    """Groups beyond what one task answers ask a copy of the model's part."""
+    monkeypatch.setattr(ct, "ANSWERED", 2)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "false AS held_out")
+    learnt = frame.filter("doc_id IS NULL OR crc32(CAST(doc_id AS STRING)) % 10 <> 0")
+    scored = ct.score(frame, ct.fit(learnt), groups=7).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in scored) == sorted((str(r.doc_id), round(r.score, 6)) for r in got)
+
+
 def test_empty(no_docs):
     assert ct.language_model(no_docs).count() == 0

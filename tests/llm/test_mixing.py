@@ -60,6 +60,7 @@ def rows():
 @pytest.mark.parametrize("share, epochs, size", [(0.3, 1, 2000), (0.9, 2, 7), (0.7, 1, 1), (1.0, 1, 50), (2.5, 2, 7), (0.0, 1, 5)])
 def test_same_as_one_by_one(spark, rows, monkeypatch, share, epochs, size):
     monkeypatch.setattr(mixing, "BIN", size)
+    monkeypatch.setattr(mixing, "STRETCH", 3)
     weights = {"domain": {"domain0": 5, "domain2": 0.5}, "lang": {"en": 3, "fr": 0}, "source": {"src0": 0.2}}
     frame = spark.createDataFrame([(*r, "x") for r in rows], "domain string, lang string, source string, doc_id long, tag long, n_tokens long, n string")
     got = mixing.mix(frame.repartition(4), LEVELS, weights, share, epochs, seed=3).drop("n").collect()
