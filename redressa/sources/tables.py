@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 
 def read_table(spark: SparkSession, folder: str, name: str, spread_by: str | None = None) -> DataFrame:
@@ -31,13 +30,3 @@ def read_batch(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
 def read_batches(spark: SparkSession, folder: str) -> DataFrame:
     """All batches, with ``batch_id`` as a partition column that prunes files."""
     return spark.read.parquet(folder)
-
-
-def read_earlier_batches(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
-    """Batches before ``batch_id``; None before the first one has been written."""
-    try:
-        return read_batches(spark, folder).filter(f"batch_id < {batch_id}")
-    except AnalysisException as missing:
-        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
