@@ -110,12 +110,14 @@ class WordEncoder:
             self.flat.append(end_id)
         known, codes, words = self.known, [], []
         for text in texts:
-            before = len(codes)
-            for word in (text or "").encode().split():
-                code = known.get(word)
-                codes.append(self._learn(word) if code is None else code)
+            own = (text or "").encode().split()
+            found = list(map(known.get, own))
+            if None in found:
+                # A word that is new in this text may stand there several times.
+                found = [self._learn(word) if code is None and word not in known else known[word] for word, code in zip(own, found)]
+            codes += found
             codes.append(known[b""])
-            words.append(len(codes) - before)
+            words.append(len(found) + 1)
         code = np.fromiter(codes, np.int64, len(codes))
         lengths, starts = np.array(self.lengths)[code], np.array(self.starts)[code]
         ends = np.cumsum(lengths)
