@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,93 +18,118 @@ STATES = [None, NEW, DELEGATED, PENDING, RESOLVED]
 STAY = "01234"
 MOVES = {"submit": "11111", "delegate": "02234", "advance": "04344", "resolve": "04444"}
 _KINDS = [*MOVES]
-_PACKED = np.dtype([("at", "<i8"), ("event_id", "<i8"), ("kind", "i1")])
+_SUBMIT, _DELEGATE, _ADVANCE, _RESOLVE = range(4)
+_PACKED = struct.Struct("<qqb")
 HOUR_MS = 3_600_000
 
+#: An event that moves a state: its time in microseconds, its id, its kind by the number in ``MOVES``. Events are in this order.
+Event = tuple[int, int, int]
+
 
 def then(first: str, second: str) -> str:
     """Both moves, one after the other."""
     return "".join(second[int(state)] for state in first)
 
 
-def moves_of(events: np.ndarray) -> str:
-    """The move that events in their order make together."""
-    out = STAY
-    for kind in events["kind"].tolist():
-        if kind >= 0:
-            out = then(out, MOVES[_KINDS[kind]])
-    return out
+def state_after(state: int, events: Iterable[Event]) -> int:
+    """The state, by its number, that events in their order make of ``state``."""
+    for _, _, kind in events:
+        state = int(MOVES[_KINDS[kind]][state])
+    return state
+
+
+def needed(events: Iterable[Event]) -> list[Event]:
+    """Those of the events, in order and each once, that can still matter whatever other events come, before or after them.
+
+    A resolve, or an advance that another one follows, leaves a ticket resolved, whatever is before it: of that only the
+    last submit matters. Of what follows, nothing before the last submit matters. A ticket has few such events
+    unless it is delegated again and again and never moves on.
+    """
+    ordered = sorted(set(events))
+    submit = done = -1
+    advances = 0
+    for i in range(len(ordered) - 1, -1, -1):
+        kind = ordered[i][2]
+        if kind == _SUBMIT and submit < 0:
+            submit = i
+        elif kind == _ADVANCE:
+            advances += 1
+        if done < 0 and (kind == _RESOLVE or advances == 2):
+            done = i
+        if submit >= 0:
+            break
+    if submit > done:
+        return ordered[submit:]
+    return (ordered[submit : submit + 1] if submit >= 0 else []) + ordered[max(done, 0) :]
 
 
 class Lifecycle(StatefulProcessor):
-    """State of one key: the events of each open span of time, and the move they make together.
+    """State of one key: the events that can still matter, see :func:`needed`, and the state before them.
 
-    A move says what becomes of every state, so spans are joined without their events: an event that comes
-    late changes its own span only, and one that comes twice is known there by its time and id. When
-    the watermark has passed a span, a timer joins its move to that of all closed spans and its events go.
+    An event that comes late finds its place among them, and one that comes twice is known by its time and id or
+    was without effect. When the watermark has passed the newest event of a batch, a timer replaces the
+    events up to there by the state they make. A key takes one read and one write a batch, however many events it has.
     """
 
+    #: Events are looked through when so many are waiting, so a key with most of all events takes no more memory.
+    WAITING = 1000
+
     def __init__(self, span_ms: int = HOUR_MS) -> None:
         self.span_ms = span_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.closed = handle.getValueState("closed", "moves string")
-        self.events = handle.getMapState("events", "span long", "events binary")
-        self.moves = handle.getMapState("moves", "span long", "moves string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            packed = np.empty(len(frame), _PACKED)
-            packed["at"] = frame["at"]
-            packed["event_id"] = frame["event_id"]
-            packed["kind"] = [_KINDS.index(e) if e in MOVES else -1 for e in frame["event"]]
-            spans = packed["at"] // (1000 * self.span_ms)
-            for span in np.unique(spans).tolist():
-                self._add(span, packed[spans == span])
-        state = self._closed()
-        for _, (moves,) in sorted((span[0], move) for span, move in self.moves.iterator()):
-            state = then(state, moves)
-        yield pd.DataFrame({"key": [key[0]], "state": [STATES[int(state[0])]]})
-
-    def _add(self, span: int, fresh: np.ndarray) -> None:
-        known = self.events.getValue((span,))
-        if known is None:
-            self.handle.registerTimer((span + 1) * self.span_ms)
-        else:
-            fresh = np.concatenate([np.frombuffer(known[0], _PACKED), fresh])
-        whole = np.unique(fresh)  # in order of time and id; a second delivery is equal to the first
-        self.events.updateValue((span,), (whole.tobytes(),))
-        self.moves.updateValue((span,), (moves_of(whole),))
-
-    def _closed(self) -> str:
-        held = self.closed.get()
-        return STAY if held is None else held[0]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = expiredTimerInfo.getExpiryTimeInMs() // self.span_ms
-        state = self._closed()
-        for span, moves in sorted((span[0], move[0]) for span, move in self.moves.iterator()):
-            if span < passed:
-                state = then(state, moves)
-                self.events.removeKey((span,))
-                self.moves.removeKey((span,))
-        self.closed.update((state,))
+        self.held = handle.getValueState("held", "closed int, events binary")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        closed, events = self._held()
+        newest, limit = None, len(events) + self.WAITING
+        for row in rows:
+            if row.kind is None:
+                continue
+            events.append((row.at, row.event_id, row.kind))
+            newest = row.at if newest is None else max(newest, row.at)
+            if len(events) >= limit:
+                events = needed(events)
+                limit = 2 * len(events) + self.WAITING
+        if newest is not None:
+            events = needed(events)
+            self._hold(closed, events)
+            # Timers stand at the ends of spans, so keys and batches share them.
+            self.handle.registerTimer((newest // (1000 * self.span_ms) + 1) * self.span_ms)
+        yield Row(key=key[0], state=STATES[state_after(closed, events)])
+
+    def _held(self) -> tuple[int, list[Event]]:
+        held = self.held.get()
+        return (0, []) if held is None else (held[0], list(_PACKED.iter_unpack(held[1])))
+
+    def _hold(self, closed: int, events: list[Event]) -> None:
+        self.held.update((closed, b"".join(_PACKED.pack(*event) for event in events)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = 1000 * expiredTimerInfo.getExpiryTimeInMs()
+        closed, events = self._held()
+        if events and events[0][0] < passed:
+            self._hold(state_after(closed, [e for e in events if e[0] < passed]), [e for e in events if e[0] >= passed])
         return iter([])
 
     def close(self) -> None:
         pass
 
 
+def _kind(event: Column) -> Column:
+    return F.coalesce(*[F.when(event == name, F.lit(i)) for i, name in enumerate(_KINDS)])
+
+
 def lifecycle_changes(log: DataFrame, horizon: str, span_ms: int = HOUR_MS) -> DataFrame:
     """Stream of the state of every key that a batch has events of, beside the events themselves.
 
     Takes a stream (key, ts, event_id, event); an event may come ``horizon`` behind the newest one.
     """
-    events = log.select("key", "ts", F.unix_micros("ts").alias("at"), F.coalesce("event_id", F.lit(0)).alias("event_id"), "event")
+    events = log.select("key", "ts", F.unix_micros("ts").alias("at"), F.coalesce("event_id", F.lit(0)).alias("event_id"), _kind(F.col("event")).alias("kind"))
     timed = events.withWatermark("ts", horizon).filter("ts IS NOT NULL")
     kind = log.schema["key"].dataType.simpleString()
-    states = timed.groupBy("key").transformWithStateInPandas(Lifecycle(span_ms), f"key {kind}, state string", "update", "eventTime")
+    states = timed.groupBy("key").transformWithState(Lifecycle(span_ms), f"key {kind}, state string", "update", "eventTime")
     return beside(states, log.select("key", "ts", "event_id", "event"))
 
 

@@ -5,6 +5,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from redressa.operators import stores
@@ -162,3 +163,47 @@ def test_daily_volume(spark):
     want = {k: given.count(k) - lost.count(k) for k in given}
     assert got == {k: n for k, n in want.items() if n}
     assert read_batches(spark, f"{folder}/late").filter("ts IS NULL").count() == 1
+
+
+def test_needed_events_stand_for_all():
+    """Whatever comes before, after or between: the events kept give the state that all give."""
+    rng = random.Random(5)
+    for _ in range(4000):
+        times = rng.sample(range(12), rng.randrange(1, 9))
+        events = [(at, 0, rng.randrange(4)) for at in times]
+        cut, base = rng.randrange(len(events) + 1), rng.randrange(5)
+        kept = lifecycle.needed(events[:cut])
+        assert lifecycle.needed(kept + events[:1] * (cut > 0)) == kept
+        assert lifecycle.state_after(base, lifecycle.needed(kept + events[cut:])) == lifecycle.state_after(base, sorted(events))
+
+
+def test_a_key_takes_one_write_a_batch(spark):
+    """However many hours a key has events in: it holds the few that matter, in one value."""
+
+    class Value:
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls += 1
+            self.held = value
+
+    class Handle:
+        timers, value = [], Value()
+
+        def getValueState(self, name, schema):
+            return self.value
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    state, handle = lifecycle.Lifecycle(), Handle()
+    state.init(handle)
+    kinds = [0, 1, 2, None, 1, 2, 3, 1] * 2000
+    rows = [Row(at=i * 1000 * lifecycle.HOUR_MS, event_id=i, kind=kind) for i, kind in enumerate(kinds)]
+    random.Random(2).shuffle(rows)
+    assert [r.state for r in state.handleInputRows(("k",), iter(rows), None)] == ["resolved"]
+    assert handle.value.calls == 2 and len(handle.timers) == 1 and len(handle.value.held[1]) < 200
