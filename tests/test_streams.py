@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import os
 import random
 
 import pytest
@@ -9,9 +10,11 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from redressa.operators import stores
-from redressa.session import work_folder
-from redressa.sources.tables import read_batches
+from redressa.session import run_folder, work_folder
+from redressa.sources.tables import read_batches, read_table
 from redressa.streaming import drain, lifecycle, volume
+from redressa.workload import views
+from redressa.workload.queries import QUERIES
 
 START = dt.datetime(2024, 5, 1)
 LOG = "key string, ts timestamp, event_id long, event string"
@@ -207,3 +210,35 @@ def test_a_key_takes_one_write_a_batch(spark):
     random.Random(2).shuffle(rows)
     assert [r.state for r in state.handleInputRows(("k",), iter(rows), None)] == ["resolved"]
     assert handle.value.calls == 2 and len(handle.timers) == 1 and len(handle.value.held[1]) < 200
+
+
+def _written_by(spark, query, folder, prefix):
+    """Input files and batches of a query's stream, and its rows."""
+    before = set(os.listdir(run_folder(spark)))
+    rows = sorted(QUERIES[query](spark, folder).collect())
+    (made,) = [name for name in os.listdir(run_folder(spark)) if name.startswith(prefix) and name not in before]
+    made = f"{run_folder(spark)}/{made}"
+    batches = sorted(int(name.split("=")[1]) for name in os.listdir(f"{made}/complaints") if name.startswith("batch_id="))
+    return len([name for name in os.listdir(f"{made}/in") if name.endswith(".txt")]), batches, rows
+
+
+@pytest.fixture
+def six_files(spark):
+    """A table of documents in six files."""
+    folder = work_folder(spark, "given")
+    langs = ["en", "de", "fr", "es", None]
+    rows = [(i, langs[i % 5], "src", f"text {i}") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    frame.repartition(6).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([("b1", "text of an item")], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_a_part_of_the_queue_is_written_by_many_tasks(spark, six_files, monkeypatch):
+    monkeypatch.setattr(views, "read_table", lambda spark, folder, name, spread_by=None: read_table(spark, folder, name).repartition(6))
+    files, batches, rows = _written_by(spark, "dedupe_stream", six_files, "first-")
+    assert files > 12 and batches == [0, 1, 2] and [r.ticket_id for r in rows] == [f"t{i:012d}" for i in range(600)]
+    files, batches, rows = _written_by(spark, "dedupe_late", six_files, "late-")
+    last = max(i for i in range(600) if i % 5 != 2)
+    assert files > 12 and batches == [0, 1, 2]
+    assert rows == [(f"t{i:012d}", "late" if i % 5 == 2 and 37 * i <= 37 * last - 3600 else "complaints") for i in range(600)]
