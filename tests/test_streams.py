@@ -242,3 +242,10 @@ def test_a_part_of_the_queue_is_written_by_many_tasks(spark, six_files, monkeypa
     last = max(i for i in range(600) if i % 5 != 2)
     assert files > 12 and batches == [0, 1, 2]
     assert rows == [(f"t{i:012d}", "late" if i % 5 == 2 and 37 * i <= 37 * last - 3600 else "complaints") for i in range(600)]
+
+
+def test_a_queue_of_nothing_is_many_files_in_two_batches(spark, six_files, monkeypatch):
+    monkeypatch.setattr(views, "read_table", lambda spark, folder, name, spread_by=None: read_table(spark, folder, name).repartition(6))
+    files, batches, rows = _written_by(spark, "delegate_nothing", six_files, "nothing-")
+    assert files == 6 and batches == [0, 1] and sorted((r.output, r.n) for r in rows)[-2:] == [("store", 0), ("tickets", 0)]
+    assert dict((r.output, r.n) for r in rows)["quarantine"] == 600
