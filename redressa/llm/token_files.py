@@ -31,7 +31,7 @@ from redressa.session import work_folder
 
 SEQUENCE, BATCH_ROWS, END_ID = 2048, 256, 1
 #: Words whose ids a Python worker remembers; beyond it, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 MANIFEST = "shard long, path string, n_docs long, n_tokens long"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -41,6 +41,16 @@ def file_system(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
 
 
+class _Known(dict):
+    """Codes of words; a word that is new is learned when it is looked up."""
+
+    def __init__(self, learn) -> None:
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> int:
+        return self.learn(word)
+
+
 class WordEncoder:
     """Ids of texts; under a BPE whose pre-tokens never span white space, words are encoded once.
 
@@ -75,7 +85,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Known(self._learn)
         self.starts, self.lengths, self.flat = array("q"), array("q"), array("I")
 
     def ids_of(self, word: str) -> list[int]:
@@ -108,17 +118,13 @@ class WordEncoder:
             self.starts.append(len(self.flat))
             self.lengths.append(1)
             self.flat.append(end_id)
-        known, codes, words = self.known, [], []
+        find, end, codes, words = self.known.__getitem__, self.known[b""], [], []
         for text in texts:
-            own = (text or "").encode().split()
-            found = list(map(known.get, own))
-            if None in found:
-                # A word that is new in this text may stand there several times.
-                found = [self._learn(word) if code is None and word not in known else known[word] for word, code in zip(own, found)]
-            codes += found
-            codes.append(known[b""])
-            words.append(len(found) + 1)
-        code = np.fromiter(codes, np.int64, len(codes))
+            before = len(codes)
+            codes += map(find, (text or "").encode().split())
+            codes.append(end)
+            words.append(len(codes) - before)
+        code = np.array(codes, np.int64)
         lengths, starts = np.array(self.lengths)[code], np.array(self.starts)[code]
         ends = np.cumsum(lengths)
         ids = np.array(self.flat, np.uint32)[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]

@@ -71,3 +71,13 @@ def test_batches_of_equal_rows(spark, docs):
     reader = pa.ipc.open_file(token_files.file_system(folder)[0].open_input_file(f"{row.path}.arrow"))
     sizes = [reader.get_batch(i).num_rows for i in range(reader.num_record_batches)]
     assert set(sizes[:-1]) <= {token_files.BATCH_ROWS} and sizes[-1] <= token_files.BATCH_ROWS
+
+
+def test_words_of_many_texts_are_learned_once(monkeypatch):
+    own, asked = token_files.WordEncoder(VOCABULARY), []
+    monkeypatch.setattr(own, "ids_of", lambda word: asked.append(word) or [len(word), 9])
+    text = " ".join(f"w{i}" for i in range(450_000))
+    for given in ([text], ["w1 new new", None]):
+        ids, counts = own.encode(given, 1)
+    assert len(asked) == len(set(asked)) == 450_001
+    assert list(ids) == [2, 9, 3, 9, 3, 9, 1, 1] and list(counts) == [7, 1]
