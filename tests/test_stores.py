@@ -364,3 +364,24 @@ def test_nothing_to_do(spark):
     empty = bodies(spark, [])
     received = delegate.read_complaints(empty)
     assert delegate.ticket_rows(delegate.delegate_batch(received, delegate.by_lexicon(lexicon(spark)))).count() == 0
+
+
+def test_many_tickets_are_chosen_without_a_shuffle_of_their_records(spark):
+    """More tickets than a broadcast of their numbers would hold: a bit for each is sent."""
+    ids = F.concat(F.lit("t"), (F.col("id") % 510_000).cast("string")).alias("ticket_id")
+    given = spark.range(0, 520_000, 1, 7).select(ids, (F.col("id") % 3).alias("order_id"), F.lit("text").alias("complaint_text"))
+    once = stores.dedupe_tickets(given)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "hashpartitioning" not in plan
+    assert once.count() == once.select("ticket_id").distinct().count() == 510_000
+    few = stores.dedupe_tickets(given, spark.createDataFrame([("t7",), ("t509999",), ("none",)], "ticket_id string"))
+    assert sorted(r.ticket_id for r in few.collect()) == ["t509999", "t7"]
+
+
+def test_rows_are_taken_by_number(spark):
+    numbers = [0, 1, 7, 8, 32767, 32768, 32769, 65536, (1 << 33), (1 << 33) + 5, (7 << 33) + 40000]
+    rows = spark.createDataFrame([(n, f"x{n}") for n in numbers], "_row long, text string")
+    for taken in (numbers[::2], numbers[1::3], [], numbers):
+        chosen = spark.createDataFrame([(n,) for n in taken], "_row long")
+        for limit in (1 << 20, 0):
+            assert sorted(r._row for r in lookup.take_rows(rows, chosen, "_row", limit).collect()) == taken
