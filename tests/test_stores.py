@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from redressa.functions import chat
-from redressa.operators import service, stores
+from redressa.operators import lookup, service, stores
 from redressa.plans import delegate, dialog, intake, progress
 from redressa.schemas import DIALOG_EVENT
 from redressa.session import shared_folder, work_folder

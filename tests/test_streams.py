@@ -249,3 +249,9 @@ def test_a_queue_of_nothing_is_many_files_in_two_batches(spark, six_files, monke
     files, batches, rows = _written_by(spark, "delegate_nothing", six_files, "nothing-")
     assert files == 6 and batches == [0, 1] and sorted((r.output, r.n) for r in rows)[-2:] == [("store", 0), ("tickets", 0)]
     assert dict((r.output, r.n) for r in rows)["quarantine"] == 600
+
+
+def test_a_long_queue_takes_few_batches(spark, six_files, monkeypatch):
+    monkeypatch.setattr(views, "read_table", lambda spark, folder, name, spread_by=None: read_table(spark, folder, name).repartition(16))
+    files, batches, rows = _written_by(spark, "delegate_stream", six_files, "queue-")
+    assert files == 48 and batches == [0, 1, 2, 3] and len(rows) == 600
