@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -63,6 +65,61 @@ def needed(events: Iterable[Event]) -> list[Event]:
     return (ordered[submit : submit + 1] if submit >= 0 else []) + ordered[max(done, 0) :]
 
 
+#: A task looks for events that cannot matter when it has read so many.
+HELD = 500_000
+
+
+def _kept(rows: pa.Table) -> pa.Table:
+    """Of (key, ts, at, event_id, kind): what :func:`needed` keeps of each key's events, and each key's newest row."""
+    rows = rows.combine_chunks()
+    own = rows["key"].combine_chunks().dictionary_encode("encode")
+    key = (own.chunk(0) if isinstance(own, pa.ChunkedArray) else own).indices.to_numpy(zero_copy_only=False)
+    kind = rows["kind"].fill_null(len(_KINDS)).to_numpy()
+    at, event_id = rows["at"].to_numpy(), rows["event_id"].to_numpy()
+    order = np.lexsort((kind, event_id, at, key))
+    columns = [c[order] for c in (key, at, event_id, kind)]
+    again = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
+    once = np.concatenate([[True], ~again])
+    order, key, kind = order[once], columns[0][once], columns[3][once]
+    place = np.arange(len(order))
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    last_of = lambda found: np.maximum.reduceat(np.where(found, place, -1), first)
+    advances = np.flatnonzero(kind == _ADVANCE)
+    # The last advance but one of each key.
+    same = np.concatenate([key[advances[1:]] == key[advances[:-1]], [False, False]])
+    before = np.zeros(len(order), bool)
+    before[advances] = same[: len(advances)] & ~same[1 : len(advances) + 1]
+    submit = last_of(kind == _SUBMIT)
+    from_here = np.maximum(submit, last_of(before | (kind == _RESOLVE)))
+    keep = (place >= np.repeat(from_here, np.diff(first, append=len(order)))) & (kind < len(_KINDS))
+    keep[submit[submit >= 0]] = True
+    keep[np.append(first[1:], len(order)) - 1] = True
+    return rows.take(pa.array(order[keep]))
+
+
+def drop_needless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leave out events that cannot matter beside others of their key in the same task; see :func:`needed`.
+
+    What is left out is older than what is kept for it, so what Spark drops behind the watermark makes no difference,
+    and the newest row of each key stays, so the watermark and the keys that a batch has are the same.
+    """
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= HELD:
+            kept = _kept(pa.Table.from_batches(held))
+            held, rows = kept.to_batches(), kept.num_rows
+            if rows > HELD // 2:
+                yield from held
+                held, rows = [], 0
+    if held:
+        yield from _kept(pa.Table.from_batches(held)).to_batches()
+
+
 class Lifecycle(StatefulProcessor):
     """State of one key: the events that can still matter, see :func:`needed`, and the state before them.
 
@@ -127,8 +184,9 @@ def lifecycle_changes(log: DataFrame, horizon: str, span_ms: int = HOUR_MS) -> D
     Takes a stream (key, ts, event_id, event); an event may come ``horizon`` behind the newest one.
     """
     events = log.select("key", "ts", F.unix_micros("ts").alias("at"), F.coalesce("event_id", F.lit(0)).alias("event_id"), _kind(F.col("event")).alias("kind"))
-    timed = events.withWatermark("ts", horizon).filter("ts IS NOT NULL")
     kind = log.schema["key"].dataType.simpleString()
+    few = events.filter("ts IS NOT NULL").mapInArrow(drop_needless, f"key {kind}, ts timestamp, at long, event_id long, kind int")
+    timed = few.withWatermark("ts", horizon)
     states = timed.groupBy("key").transformWithState(Lifecycle(span_ms), f"key {kind}, state string", "update", "eventTime")
     return beside(states, log.select("key", "ts", "event_id", "event"))
 

@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -180,6 +181,38 @@ def test_needed_events_stand_for_all():
         assert lifecycle.state_after(base, lifecycle.needed(kept + events[cut:])) == lifecycle.state_after(base, sorted(events))
 
 
+def test_a_task_sends_on_few_events_of_a_key(monkeypatch):
+    """Those that each key needs, and its newest row, also of a key that is null; in pieces they stand for all."""
+    rng = random.Random(7)
+    names, long = ["key", "ts", "at", "event_id", "kind"], pa.int64()
+
+    def sent(rows, size):
+        kinds = (long if rows[0][0] == 0 else pa.string(), long, long, long, pa.int32())
+        table = [pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), kinds)], names) for i in range(0, len(rows), size)]
+        return [tuple(row.values()) for b in lifecycle.drop_needless(iter(table)) for row in b.to_pylist()]
+
+    for _ in range(300):
+        rows = [(rng.choice([None, "a", "b"]), at, at, rng.randrange(2), rng.choice([0, 1, 1, 2, 3, None])) for at in rng.choices(range(15), k=rng.randrange(1, 40))]
+        monkeypatch.setattr(lifecycle, "HELD", 500_000)
+        whole = sent(rows, 7)
+        monkeypatch.setattr(lifecycle, "HELD", rng.choice([5, 12]))
+        pieces = sent(rows, 3)
+        for key in {row[0] for row in rows}:
+            own = [row for row in rows if row[0] == key]
+            events = lambda given: [row[2:] for row in given if row[0] == key and row[4] is not None]
+            want = lifecycle.needed(events(own))
+            newest = max(row[2] for row in own)
+            assert lifecycle.needed(events(whole)) == want == lifecycle.needed(events(pieces))
+            assert set(want) <= set(events(whole)) and len(events(whole)) <= len(want) + 1
+            assert max(row[2] for row in whole if row[0] == key) == newest == max(row[2] for row in pieces if row[0] == key)
+            # Rows that Spark drops behind the watermark make no difference.
+            late = rng.randrange(15)
+            assert lifecycle.needed(e for e in events(whole) if e[0] > late) == lifecycle.needed(e for e in events(own) if e[0] > late)
+    rows = [(i % 3, i, i, i, (0, 1, 2, 3, 1)[i % 5]) for i in range(30_000)]
+    monkeypatch.setattr(lifecycle, "HELD", 10_000)
+    assert len(sent(rows, 1000)) < 30
+
+
 def test_a_key_takes_one_write_a_batch(spark):
     """However many hours a key has events in: it holds the few that matter, in one value."""
 
