@@ -55,22 +55,27 @@ class Level(NamedTuple):
 def serial(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all bytes of the texts, and how many each text has."""
     docs, counts, lengths = len(words.counts), words.counts, words.ends - words.starts
-    doc = np.repeat(np.arange(docs), counts)
-    size = np.bincount(doc, lengths + 1, docs).astype(np.int64) + (counts == 0)
-    begin = np.cumsum(size + DEPTH) - size
-    within = np.cumsum(lengths + 1) - (lengths + 1)
-    shift = begin[doc] + within - within[words.first[:-1][doc]] if len(doc) else within
-    text = np.full(int((size + DEPTH).sum()), 32, np.uint8)
-    run = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = np.arange(len(run)) - run
-    text[np.repeat(shift, lengths) + place] = words.data[np.repeat(words.starts, lengths) + place]
+    after = np.cumsum(lengths + 1)
+    # Each word with the byte after it, which becomes a space, or a line end after the last.
+    source = np.repeat(words.starts - (after - lengths - 1), lengths + 1)
+    source += np.arange(len(source))
+    text = words.data.take(source, mode="clip") if len(source) else np.zeros(0, np.uint8)
+    text[after - 1] = 32
+    upto = np.concatenate([[0], after])[words.first]
+    if not counts.all():
+        text = np.insert(text, upto[1:][counts == 0], 10)
+    size = np.diff(upto) + (counts == 0)
+    begin = np.cumsum(size) - size
     text[begin + size - 1] = 10
-    text[(begin[:, None] - 1 - np.arange(DEPTH)).ravel()] = 10
-    keys = text[DEPTH:].astype(np.uint64)
-    for back in range(1, DEPTH + 1):
-        keys |= text[DEPTH - back : len(text) - back].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - back))
-    own = np.repeat(begin - DEPTH - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    return keys[own], size
+    # A number that starts DEPTH + 1 bytes before a byte has its context in place.
+    held = np.full(len(text) + 8, 10, np.uint8)
+    held[DEPTH + 1 : DEPTH + 1 + len(text)] = text
+    keys = np.ndarray(len(text), "<u8", held, strides=(1,)) & np.uint64((1 << 8 * (DEPTH + 1)) - 256)
+    keys |= text
+    for at in range(min(DEPTH, int(size.max(initial=0)))):  # before a text there are line ends
+        place, none = begin[size > at] + at, (1 << 8 * (DEPTH + 1 - at)) - 256
+        keys[place] = keys[place] & np.uint64((1 << 64) - 1 - none) | np.uint64(0x0A0A0A0A0A0A0A0A & none)
+    return keys, size
 
 
 def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -87,18 +92,38 @@ def bucket_of(kind: int, keys: np.ndarray, parts: int) -> np.ndarray:
     return (held % np.uint64(parts)).astype(np.int64)
 
 
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Places where another key begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(keys, kind="stable")
+    # Sums of whole numbers are the same in any order.
+    whole = all(v.dtype.kind == "i" for v in values)
+    order = np.argsort(keys, kind=None if whole else "stable")
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    first = _firsts(keys)
     return keys[first], *[np.add.reduceat(v[order], first) if len(keys) else v for v in values]
 
 
+def _unique(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys, ascending; sorting numbers takes a small part of the time of ``np.unique``, which hashes them."""
+    keys = np.sort(keys)
+    return keys[_firsts(keys)]
+
+
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and how often each occurs; found by hashing, as only few of the keys are distinct."""
-    codes, own = pd.factorize(keys)
-    order = np.argsort(own)
-    return own[order], np.bincount(codes, minlength=len(own))[order]
+    """Distinct keys, ascending, and how often each occurs."""
+    keys = np.sort(keys)
+    first = _firsts(keys)
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def _places(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Where in the ascending ``among`` each key is; looked up in order, so that neighbours are close."""
+    order, out = np.argsort(keys), np.empty(len(keys), np.int64)
+    out[order] = np.searchsorted(among, keys[order])
+    return out
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -170,7 +195,8 @@ def chances(keys: np.ndarray, levels: list[Level]) -> np.ndarray:
 def _runs(kind: int, keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places of its keys) in a fixed order."""
     bucket = bucket_of(kind, keys, parts)
-    order = np.argsort(bucket, kind="stable")
+    # Stable sorts of small numbers take one pass.
+    order = np.argsort(bucket.astype(np.uint16) if parts <= 1 << 16 else bucket, kind="stable")
     edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     for lo, hi in zip(edges, [*edges[1:], len(order)]):
         yield int(bucket[order[lo]]), order[lo:hi]
@@ -274,9 +300,9 @@ def _distinct(rows: pa.RecordBatch) -> dict[int, np.ndarray]:
     found = {WORD: [np.zeros(0, np.uint64)], GRAM: [np.zeros(0, np.uint64)]}
     for part in row_groups(rows, limit=SLICE):
         words = words_of(part.column("text"), lower=True)
-        found[WORD].append(pd.unique(tokens(words)[0]))
-        found[GRAM].append(pd.unique(serial(words)[0]))
-    return {k: np.unique(np.concatenate(v)) for k, v in found.items()}
+        found[WORD].append(_unique(tokens(words)[0]))
+        found[GRAM].append(_unique(serial(words)[0]))
+    return {k: _unique(np.concatenate(v)) for k, v in found.items()}
 
 
 def _ask(parts: int):
@@ -296,7 +322,7 @@ def _answer(top):
         """Counts of words, or logarithms of chances, in the order asked."""
         known = [_arrays(part["keys"], np.uint64), _arrays(part["counts"], np.int64)]
         each = [np.frombuffer(x.as_buffer(), np.uint64) for x in asked["keys"]]
-        distinct = np.unique(np.concatenate(each)) if each else np.zeros(0, np.uint64)
+        distinct = _unique(np.concatenate(each)) if each else np.zeros(0, np.uint64)
         if not each:
             values = distinct
         elif asked["kind"][0].as_py() == WORD:
@@ -327,14 +353,14 @@ def _score(parts: int):
         came = {(k, b): v for k, b, v in zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["value"])}
         keys, value = {}, {}
         for kind, number in ((WORD, np.int64), (GRAM, np.float64)):
-            keys[kind] = np.unique(np.concatenate([s[kind][0] for _, s in slices]))
+            keys[kind] = _unique(np.concatenate([s[kind][0] for _, s in slices]))
             value[kind] = np.zeros(len(keys[kind]), number)
             for bucket, at in _runs(kind, keys[kind], parts):
                 value[kind][at] = np.frombuffer(came[kind, bucket].as_buffer(), number)
         out = []
         for part, found in slices:
             n = len(part)
-            each = {k: value[k][np.searchsorted(keys[k], own)][back] for k, (own, back, _) in found.items()}
+            each = {k: value[k][_places(own, keys[k])][back] for k, (own, back, _) in found.items()}
             text = {k: np.repeat(np.arange(n), sizes) for k, (_, _, sizes) in found.items()}
             seen = each[WORD]
             out.append(pa.RecordBatch.from_arrays([

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -130,3 +131,28 @@ def test_questions_of_many_groups(spark, rows, got, monkeypatch):
 
 def test_empty(no_docs):
     assert ct.language_model(no_docs).count() == 0
+
+
+def test_keys_of_bytes_take_little_memory():
+    """Also where texts are short, empty or null, each byte has its own text's bytes before it and line ends before those."""
+    given = [None, "", " ", "a", "Ab cd  e\tf", " é leads", "wwwwwwwww", "", "x y"]
+    column = pa.array(["other words", *given * 3]).slice(1)
+    keys, sizes = ct.serial(words_of(column, lower=True))
+    texts = [b"\n" * ct.DEPTH + stream(t) for t in given * 3]
+    want = [int.from_bytes(bytes([t[i], *t[i - ct.DEPTH:i]]), "little") for t in texts for i in range(ct.DEPTH, len(t))]
+    assert keys.tolist() == want and sizes.tolist() == [len(t) - ct.DEPTH for t in texts]
+    words = words_of(pa.array(["some words of a text " * 5000] * 5))
+    tracemalloc.start()
+    keys, _ = ct.serial(words)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 * len(keys)
+
+
+def test_distinct_keys_are_sorted_not_hashed(monkeypatch):
+    """``np.unique`` takes a hundred times as long as a sort of so many numbers."""
+    monkeypatch.setattr(np, "unique", None)
+    rows = pa.record_batch([pa.array([2, 1, None]), pa.array(["b a b", None, "A"]), pa.array([0, 0, 0])], ["doc_id", "text", "tag"])
+    found = ct._distinct(rows)
+    assert len(found[ct.WORD]) == 3 and found[ct.GRAM].tolist() == sorted(set(ct.serial(words_of(rows["text"], lower=True))[0].tolist()))
+    assert ct._places(np.array([9, 3, 5], np.uint64), np.array([1, 3, 5, 9], np.uint64)).tolist() == [3, 1, 2]
